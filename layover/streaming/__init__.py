@@ -1,0 +1,8 @@
+"""Structured Streaming.
+
+The reference has no streaming work: no watermark, streaming window,
+state or late data appears in it.  All of its jobs are batch jobs over
+whole tables, so nothing is built here.  (Every job in ``layover.plans``
+is a pure DataFrame plan and could be fed by ``readStream`` sources where
+its operators are streaming-compatible, but no such job is registered.)
+"""
