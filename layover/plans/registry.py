@@ -10,11 +10,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from layover.plans import retention
+from layover.plans import fleet, quality, retention
 
 Job = Callable[..., DataFrame]
 
 JOBS: dict[str, Job] = {
+    # A. fleet and route exploration
+    "aircraft_usage": fleet.aircraft_usage,
+    "flight_no_aircraft_types": fleet.flight_no_aircraft_types,
+    "airport_pair_flight_nos": fleet.airport_pair_flight_nos,
+    "route_flight_nos": fleet.route_flight_nos,
+    "route_flight_no_histogram": fleet.route_flight_no_histogram,
+    "aircraft_range_usage": fleet.aircraft_range_usage,
+    "route_model_usage": fleet.route_model_usage,
+    "route_range_spread": fleet.route_range_spread,
+    "route_flight_count_spread": fleet.route_flight_count_spread,
+    "route_range_spread_grouped": fleet.route_range_spread_grouped,
+    "flights_with_airports": fleet.flights_with_airports,
+    # B. flight-time data quality
+    "flight_length_ntiles": quality.flight_length_ntiles,
+    "negative_duration_routes": quality.negative_duration_routes,
+    "arrival_delay_histogram": quality.arrival_delay_histogram,
+    "negative_duration_status": quality.negative_duration_status,
+    "negative_duration_deltas": quality.negative_duration_deltas,
+    "swapped_time_flights": quality.swapped_time_flights,
+    "route_error_proportion": quality.route_error_proportion,
+    "route_durations": quality.route_durations,
+    "duration_ratio": quality.duration_ratio,
+    "duration_ratio_histogram": quality.duration_ratio_histogram,
     # E. retention features
     "trips": retention.trips,
     "account_booking_rates": retention.account_booking_rates,
@@ -31,9 +54,9 @@ JOBS: dict[str, Job] = {
 
 
 def oracle() -> dict[str, str]:
-    from layover.oracle import retention as r
+    from layover.oracle import exploration, retention
 
     out: dict[str, str] = {}
-    for mod in (r,):
+    for mod in (exploration, retention):
         out.update(mod.ORACLE)
     return out
