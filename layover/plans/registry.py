@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from layover.plans import fleet, quality, retention
+from layover.plans import accounts, bookings, fleet, quality, retention
 
 Job = Callable[..., DataFrame]
 
@@ -38,6 +38,36 @@ JOBS: dict[str, Job] = {
     "route_durations": quality.route_durations,
     "duration_ratio": quality.duration_ratio,
     "duration_ratio_histogram": quality.duration_ratio_histogram,
+    # C. account, passenger and boarding integrity
+    "frequent_flyer_accounts": accounts.frequent_flyer_accounts,
+    "account_passenger_names": accounts.account_passenger_names,
+    "account_flight_counts": accounts.account_flight_counts,
+    "account_distinct_names": accounts.account_distinct_names,
+    "account_top_passenger": accounts.account_top_passenger,
+    "account_top_passenger_is_holder": accounts.account_top_passenger_is_holder,
+    "passengers_per_booking": accounts.passengers_per_booking,
+    "booking_count_comparison": accounts.booking_count_comparison,
+    "passenger_boarding": accounts.passenger_boarding,
+    "passenger_legs": accounts.passenger_legs,
+    "passenger_id_coverage": accounts.passenger_id_coverage,
+    "passengers_without_boarding": accounts.passengers_without_boarding,
+    "passengers_without_boarding_detail": accounts.passengers_without_boarding_detail,
+    "boarding_leg_passenger_sample": accounts.boarding_leg_passenger_sample,
+    "boarding_legs": accounts.boarding_legs,
+    "passenger_leg_boarding": accounts.passenger_leg_boarding,
+    "boarding_coverage": accounts.boarding_coverage,
+    "account_boarding_drilldown": accounts.account_boarding_drilldown,
+    "account_flight_drilldown": accounts.account_flight_drilldown,
+    "slice_flight_drilldown": accounts.slice_flight_drilldown,
+    "booking_leg_ts_agreement": accounts.booking_leg_ts_agreement,
+    # D. booking behaviour
+    "booking_lead_days": bookings.booking_lead_days,
+    "booking_lead_days_export": bookings.booking_lead_days_export,
+    "account_lead_days": bookings.account_lead_days,
+    "bookings_per_day": bookings.bookings_per_day,
+    "lead_days_before_after": bookings.lead_days_before_after,
+    "missed_connections": bookings.missed_connections,
+    "delayed_flight_customers": bookings.delayed_flight_customers,
     # E. retention features
     "trips": retention.trips,
     "account_booking_rates": retention.account_booking_rates,
@@ -54,9 +84,9 @@ JOBS: dict[str, Job] = {
 
 
 def oracle() -> dict[str, str]:
-    from layover.oracle import exploration, retention
+    from layover.oracle import exploration, integrity, retention
 
     out: dict[str, str] = {}
-    for mod in (exploration, retention):
+    for mod in (exploration, integrity, retention):
         out.update(mod.ORACLE)
     return out
