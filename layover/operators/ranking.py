@@ -15,6 +15,10 @@ no PARTITION BY run in one task.  Instead:
 The global index is ``offset[partition] + position``.  Ordering columns
 must form a total order (add a unique tie-breaker), so the index is
 deterministic and re-computed identically if a task is retried.
+
+The range-sorted frame is read twice (counts, then positions), so it is
+checkpointed once to the shared checkpoint folder: the upstream plan runs
+a single time and the lineage of the result is cut.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 
 def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """1-based position of each row in the total order ``order``."""
     order = list(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -34,6 +38,11 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     r = r.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    if materialize:
+        from layover.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        r = r.checkpoint(eager=True)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -84,7 +93,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: st
         sizes = first.select(group, "_n")
     else:
         gi = global_index(x, [value], "_idx")
-        sizes = x.agg(F.count(F.lit(1)).alias("_n"))
+        sizes = gi.agg(F.count(F.lit(1)).alias("_n"))
     wanted = sizes.crossJoin(F.broadcast(probs_df)).withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
     wanted = wanted.select(*keys, "q", "p", "_h",
                            F.floor("_h").cast("long").alias("_lo"), F.ceil("_h").cast("long").alias("_hi"))

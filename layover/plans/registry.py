@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from layover.plans import accounts, bookings, fleet, quality, retention
+from layover.plans import accounts, bookings, fleet, hierarchical, quality, retention, survival
 
 Job = Callable[..., DataFrame]
 
@@ -80,13 +80,32 @@ JOBS: dict[str, Job] = {
     "censored_accounts": retention.censored_accounts,
     "non_censored_flights": retention.non_censored_flights,
     "survival_table": retention.survival_table,
+    # F. survival and booking-rate estimation
+    "mean_days_to_next": survival.mean_days_to_next,
+    "rate_posterior": survival.rate_posterior,
+    "rate_posterior_by_missed": survival.rate_posterior_by_missed,
+    "rate_interval": survival.rate_interval,
+    "mean_time_to_next": survival.mean_time_to_next,
+    "survival_at_horizon": survival.survival_at_horizon,
+    "time_quantile": survival.time_quantile,
+    "account_flights_by_missed": survival.account_flights_by_missed,
+    "missed_accounts": survival.missed_accounts,
+    "account_index": survival.account_index,
+    "account_sample": survival.account_sample,
+    "stratum_sufficient_stats": survival.stratum_sufficient_stats,
+    "account_rate_shrinkage": survival.account_rate_shrinkage,
+    "stratified_rate_ratio": survival.stratified_rate_ratio,
+    "hierarchical_rate_fit": hierarchical.hierarchical_rate_fit,
+    "rate_deciles": survival.rate_deciles,
+    "calibration_summary": survival.calibration_summary,
+    "posterior_histogram": survival.posterior_histogram,
 }
 
 
 def oracle() -> dict[str, str]:
-    from layover.oracle import exploration, integrity, retention
+    from layover.oracle import exploration, integrity, retention, survival
 
     out: dict[str, str] = {}
-    for mod in (exploration, integrity, retention):
+    for mod in (exploration, integrity, retention, survival):
         out.update(mod.ORACLE)
     return out

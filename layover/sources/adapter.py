@@ -234,5 +234,46 @@ class Airline:
         )
 
 
+TABLES = ("booking", "booking_leg", "flight", "aircraft", "airport", "account", "frequent_flyer",
+          "passenger", "boarding_pass")
+
+#: sort order of each stored table (tightens Parquet min/max statistics for pushdown)
+_SORT = {"booking": "account_id", "booking_leg": "booking_id", "flight": "flight_id",
+         "passenger": "booking_id", "boarding_pass": "booking_leg_id"}
+
+_STORED: dict[tuple[str, str], Airline] = {}
+
+
+def materialize(air: Airline, root: str) -> Airline:
+    """Write the nine airline tables as Parquet under ``root`` and return an
+    :class:`Airline` that scans them (the ETL step of a real deployment, where
+    these are base tables).  Each write is one job; reads get pushdown."""
+    spark = air.spark
+    frames = {}
+    for name in TABLES:
+        df = getattr(air, name)
+        if name in _SORT:
+            df = df.sortWithinPartitions(_SORT[name])
+        path = f"{root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        frames[name] = spark.read.parquet(path)
+    return Airline.from_frames(spark, **frames)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Airline:
+    """The airline tables of ``sf_dir``, derived once per application and kept
+    as Parquet in the shared checkpoint folder."""
+    import os
+    import uuid
+
+    from layover.session import checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _STORED:
+        root = f"{checkpoint_dir(spark)}/airline-{uuid.uuid4().hex}"
+        _STORED[key] = materialize(Airline.from_dir(spark, sf_dir), root)
+    return _STORED[key]
+
+
 def load(spark: SparkSession, sf_dir: str) -> Airline:
     return Airline.from_dir(spark, sf_dir)
