@@ -54,7 +54,12 @@ def leg_gaps(air: Airline) -> DataFrame:
 
 
 def booking_summary(air: Airline) -> DataFrame:
-    """One row per booking with legs: missed flag, leg count and the last leg."""
+    """One row per booking with legs: missed flag, leg count and the last leg
+    (staged once per job)."""
+    return air.stage("booking_summary", lambda: _booking_summary(air))
+
+
+def _booking_summary(air: Airline) -> DataFrame:
     g = leg_gaps(air)
     last = F.max(F.struct("leg_num", "flight_id", "scheduled_departure", "scheduled_arrival",
                           "actual_departure", "actual_arrival", "mins_since_last_flight_arrival"))
@@ -80,8 +85,13 @@ def flight_time_bounds(air: Airline) -> DataFrame:
                       max_flight_time=F.max("scheduled_departure"))
 
 
-def trips_full(air: Airline, bucket_seconds: int = ACCOUNT_BUCKET_SECONDS) -> DataFrame:
-    """``trips`` plus internal columns (leg count, last flight id)."""
+def trips_full(air: Airline) -> DataFrame:
+    """``trips`` plus internal columns (leg count, last flight id); staged once
+    per job, as the reference materialises its core tables."""
+    return air.stage("trips", lambda: _trips_full(air))
+
+
+def _trips_full(air: Airline, bucket_seconds: int = ACCOUNT_BUCKET_SECONDS) -> DataFrame:
     b = air.booking.select("booking_id", "account_id", "update_ts")
     b = running_sum(b, ["account_id"], "update_ts", time_bucket("update_ts", bucket_seconds),
                     out="cumulative_bookings", total="_n_account")
@@ -224,14 +234,14 @@ def time_to_next_pairs(air: Airline) -> DataFrame:
     return pairs.unionByName(lone)
 
 
-def non_censored_flights(air: Airline) -> DataFrame:
+def non_censored_flights(air: Airline, with_arrival: bool = False) -> DataFrame:
     """Observed durations: each pair with the flag of the *preceding* trip."""
     t = trips_full(air)
     bookings, arrivals = _booking_events(t)
     pairs = next_booking_pairs(bookings, arrivals)
     prev_flag = t.select(F.col("booking_id").alias("booking_id_2"), "missed_flight_flag")
-    return pairs.join(prev_flag, "booking_id_2", "inner").select(
-        "account_id", "hours_to_next_booking", "missed_flight_flag")
+    cols = ["account_id", "hours_to_next_booking", "missed_flight_flag"] + (["actual_arrival"] if with_arrival else [])
+    return pairs.join(prev_flag, "booking_id_2", "inner").select(*cols)
 
 
 def time_to_next_by_ordinal(air: Airline) -> DataFrame:
@@ -298,13 +308,22 @@ def censored_accounts(air: Airline) -> DataFrame:
         F.coalesce("missed_flight_flag", F.lit(0)).cast("int").alias("missed_flight_flag"))
 
 
-def survival_table(air: Airline) -> DataFrame:
-    """Observed (censored_id 0) and censored (1) durations in days;
-    censored rows only for accounts with an observed duration."""
-    obs = non_censored_flights(air)
+def survival_events(air: Airline) -> DataFrame:
+    """``survival_table`` plus the arrival that starts each duration (staged)."""
+    return air.stage("survival_events", lambda: _survival_events(air))
+
+
+def _survival_events(air: Airline) -> DataFrame:
+    obs = non_censored_flights(air, with_arrival=True)
     cens = censored_accounts(air).join(obs.select("account_id"), "account_id", "left_semi")
     a = obs.select("account_id", "missed_flight_flag", F.lit(0).alias("censored_id"),
-                   (F.col("hours_to_next_booking") / 24.0).alias("days"))
+                   (F.col("hours_to_next_booking") / 24.0).alias("days"), "actual_arrival")
     b = cens.select("account_id", "missed_flight_flag", F.lit(1).alias("censored_id"),
-                    (hours_between("last_flight", "actual_arrival") / 24.0).alias("days"))
+                    (hours_between("last_flight", "actual_arrival") / 24.0).alias("days"), "actual_arrival")
     return a.unionByName(b)
+
+
+def survival_table(air: Airline) -> DataFrame:
+    """Observed (censored_id 0) and censored (1) durations in days;
+    censored rows only for accounts with an observed duration."""
+    return survival_events(air).drop("actual_arrival")

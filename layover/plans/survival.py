@@ -27,7 +27,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layover.functions.time import hours_between
 from layover.operators.bounds import attach, scalar_row
 from layover.operators.histogram import equal_width
 from layover.operators.ranking import exact_quantiles, global_index
@@ -57,20 +56,7 @@ def _r(c: Column) -> Column:
 # The survival table with its event time
 # ---------------------------------------------------------------------------
 def survival_events(air: Airline) -> DataFrame:
-    """``survival_table`` plus the arrival that starts each duration."""
-    t = retention.trips_full(air)
-    bookings, arrivals = retention._booking_events(t)
-    from layover.operators.asof import next_booking_pairs
-
-    pairs = next_booking_pairs(bookings, arrivals)
-    prev_flag = t.select(F.col("booking_id").alias("booking_id_2"), "missed_flight_flag")
-    obs = pairs.join(prev_flag, "booking_id_2", "inner")
-    cens = retention.censored_accounts(air).join(obs.select("account_id"), "account_id", "left_semi")
-    a = obs.select("account_id", "missed_flight_flag", F.lit(0).alias("censored_id"),
-                   (F.col("hours_to_next_booking") / 24.0).alias("days"), "actual_arrival")
-    b = cens.select("account_id", "missed_flight_flag", F.lit(1).alias("censored_id"),
-                    (hours_between("last_flight", "actual_arrival") / 24.0).alias("days"), "actual_arrival")
-    return a.unionByName(b)
+    return retention.survival_events(air)
 
 
 def _events(df: DataFrame) -> Column:

@@ -64,6 +64,31 @@ class Airline:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames = frames or {}
+        self._staged: dict[str, DataFrame] = {}
+
+    # -- per-job staging -------------------------------------------------------
+    def fork(self) -> "Airline":
+        """A fresh job context over the same tables (staged results not shared)."""
+        a = Airline(self.spark, self.sf_dir, dict(self._frames))
+        for name in TABLES:
+            if name in self.__dict__:
+                a.__dict__[name] = self.__dict__[name]
+        return a
+
+    def stage(self, name: str, build) -> DataFrame:
+        """Compute ``build()`` once in this job context and store it as Parquet in
+        the shared checkpoint folder; later uses in the job scan the stored copy
+        (column pruning, filter pushdown, real statistics, and lineage cut so a
+        lost executor does not replay the whole pipeline)."""
+        if name not in self._staged:
+            import uuid
+
+            from layover.session import checkpoint_dir
+
+            path = f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            self._staged[name] = self.spark.read.parquet(path)
+        return self._staged[name]
 
     # -- construction --------------------------------------------------------
     @classmethod
@@ -235,7 +260,7 @@ class Airline:
 
 
 TABLES = ("booking", "booking_leg", "flight", "aircraft", "airport", "account", "frequent_flyer",
-          "passenger", "boarding_pass")
+          "passenger", "boarding_pass")  # in dependency order
 
 #: sort order of each stored table (tightens Parquet min/max statistics for pushdown)
 _SORT = {"booking": "account_id", "booking_leg": "booking_id", "flight": "flight_id",
@@ -250,13 +275,14 @@ def materialize(air: Airline, root: str) -> Airline:
     these are base tables).  Each write is one job; reads get pushdown."""
     spark = air.spark
     frames = {}
-    for name in TABLES:
+    for name in TABLES:  # dependency order: later tables derive from the stored earlier ones
         df = getattr(air, name)
         if name in _SORT:
             df = df.sortWithinPartitions(_SORT[name])
         path = f"{root}/{name}"
         df.write.mode("overwrite").parquet(path)
         frames[name] = spark.read.parquet(path)
+        air.__dict__[name] = frames[name]
     return Airline.from_frames(spark, **frames)
 
 
