@@ -17,10 +17,10 @@ posterior variance of the gradient (Louis' identity).
 
 Spark shape: the per-account statistics are one aggregate, checkpointed
 to the shared checkpoint folder (cutting lineage, surviving executor
-loss).  Each Newton step is ONE global aggregate over them: the
-quadrature runs inside each row with ``transform``/``aggregate`` higher-
-order functions (JVM-side, no Python UDF) and the map-side partial sums
-reduce it to ten numbers, which the driver turns into the next step.
+loss).  Each Newton step is ONE global aggregate over them: the 21-node
+quadrature is unrolled into flat column expressions inside each row
+(JVM-side, whole-stage codegen, no Python UDF) and the map-side partial
+sums reduce it to ten numbers, which the driver turns into the next step.
 """
 
 from __future__ import annotations
@@ -56,41 +56,67 @@ def account_stats(air: Airline) -> DataFrame:
     return _account_strata(retention.survival_table(air)).where((F.col("t0") + F.col("t1")) > 0)
 
 
+def _step_sql(nodes: list[tuple[float, float]]) -> list[list[str]]:
+    """The per-account quadrature as layers of SQL expressions (built once).
+
+    Layer 1: node exposures e0_k, e1_k; layer 2: log-integrand l_k;
+    layer 3: the max of l; layer 4: weights w_k; layer 5: the weighted sums.
+    Intermediates stay columns so expensive terms are computed once.
+    """
+    K = range(len(nodes))
+    keep = ["d0", "d1", "_b", "_m", "_t"]
+    e = [f"t0 * exp(_b + _t * ({eta!r})) AS e0_{k}" for k, (_, eta) in enumerate(nodes)] + \
+        [f"t1 * exp(_m + _t * ({eta!r})) AS e1_{k}" for k, (_, eta) in enumerate(nodes)]
+    ek = [f"e0_{k}" for k in K] + [f"e1_{k}" for k in K]
+    ll = [f"({lw!r}) + d0 * (_b + _t * ({eta!r})) + d1 * (_m + _t * ({eta!r})) - e0_{k} - e1_{k} AS l_{k}"
+          for k, (lw, eta) in enumerate(nodes)]
+    mx = "greatest(" + ", ".join(f"l_{k}" for k in K) + ") AS mx"
+    w = [f"exp(l_{k} - mx) AS w_{k}" for k in K]
+    terms = {
+        "w": "w_{k}",
+        "gb": "w_{k} * (d0 - e0_{k})",
+        "gm": "w_{k} * (d1 - e1_{k})",
+        "gt": "w_{k} * ({eta!r}) * (d0 + d1 - e0_{k} - e1_{k})",
+        "hbb": "-w_{k} * e0_{k}",
+        "hmm": "-w_{k} * e1_{k}",
+        "htt": "-w_{k} * ({eta2!r}) * (e0_{k} + e1_{k})",
+        "hbt": "-w_{k} * ({eta!r}) * e0_{k}",
+        "hmt": "-w_{k} * ({eta!r}) * e1_{k}",
+        "gbgb": "w_{k} * (d0 - e0_{k}) * (d0 - e0_{k})",
+        "gmgm": "w_{k} * (d1 - e1_{k}) * (d1 - e1_{k})",
+        "gtgt": "w_{k} * ({eta2!r}) * (d0 + d1 - e0_{k} - e1_{k}) * (d0 + d1 - e0_{k} - e1_{k})",
+        "gbgm": "w_{k} * (d0 - e0_{k}) * (d1 - e1_{k})",
+        "gbgt": "w_{k} * ({eta!r}) * (d0 - e0_{k}) * (d0 + d1 - e0_{k} - e1_{k})",
+        "gmgt": "w_{k} * ({eta!r}) * (d1 - e1_{k}) * (d0 + d1 - e0_{k} - e1_{k})",
+    }
+    sums = [" + ".join(t.format(k=k, eta=eta, eta2=eta * eta) for k, (_, eta) in enumerate(nodes)) + f" AS s_{f}"
+            for f, t in terms.items()]
+    return [
+        keep + e,
+        keep + ek + ll,
+        ["d0", "d1"] + ek + [f"l_{k}" for k in K] + [mx],
+        ["d0", "d1", "mx"] + ek + w,
+        ["mx"] + sums,
+    ]
+
+
+_SQL = _step_sql(_nodes())
+
+
 def _step_aggregate(stats: DataFrame, beta: float, beta_m: float, tau: float) -> dict:
-    """Sum over accounts of log-likelihood, gradient and Hessian pieces."""
-    nodes = F.array(*[F.struct(F.lit(lw).alias("lw"), F.lit(eta).alias("eta")) for lw, eta in _nodes()])
-    d0, t0, d1, t1 = F.col("d0"), F.col("t0"), F.col("d1"), F.col("t1")
-    b, m, t = F.lit(beta), F.lit(beta_m), F.lit(tau)
-
-    def node(n: Column) -> Column:
-        e0 = t0 * F.exp(b + t * n.eta)
-        e1 = t1 * F.exp(m + t * n.eta)
-        gb, gm = d0 - e0, d1 - e1
-        gt = n.eta * (d0 + d1 - e0 - e1)
-        return F.struct(
-            (n.lw + d0 * (b + t * n.eta) + d1 * (m + t * n.eta) - e0 - e1).alias("l"),
-            gb.alias("gb"), gm.alias("gm"), gt.alias("gt"),
-            (-e0).alias("hbb"), (-e1).alias("hmm"), (-(n.eta * n.eta) * (e0 + e1)).alias("htt"),
-            (-n.eta * e0).alias("hbt"), (-n.eta * e1).alias("hmt"))
-
-    x = stats.select(F.transform(nodes, node).alias("nd"))
-    x = x.select("nd", F.array_max(F.transform("nd", lambda s: s.l)).alias("mx"))
-    zero = F.struct(*[F.lit(0.0).alias(f) for f in _FIELDS])
-
-    def acc(a: Column, s: Column) -> Column:
-        w = F.exp(s.l - F.col("mx"))
-        return F.struct(
-            (a.w + w).alias("w"),
-            (a.gb + w * s.gb).alias("gb"), (a.gm + w * s.gm).alias("gm"), (a.gt + w * s.gt).alias("gt"),
-            (a.hbb + w * s.hbb).alias("hbb"), (a.hmm + w * s.hmm).alias("hmm"), (a.htt + w * s.htt).alias("htt"),
-            (a.hbt + w * s.hbt).alias("hbt"), (a.hmt + w * s.hmt).alias("hmt"),
-            (a.gbgb + w * s.gb * s.gb).alias("gbgb"), (a.gmgm + w * s.gm * s.gm).alias("gmgm"),
-            (a.gtgt + w * s.gt * s.gt).alias("gtgt"), (a.gbgm + w * s.gb * s.gm).alias("gbgm"),
-            (a.gbgt + w * s.gb * s.gt).alias("gbgt"), (a.gmgt + w * s.gm * s.gt).alias("gmgt"))
-
-    x = x.select("mx", F.aggregate("nd", zero, acc).alias("s"))
-    W = F.col("s.w")
-    e = {f: F.col("s." + f) / W for f in _FIELDS[1:]}
+    """Sum over accounts of log-likelihood, gradient and Hessian pieces.
+
+    The quadrature is unrolled into flat column expressions (compiled by
+    whole-stage codegen); the current parameters come from a one-row
+    broadcast frame, so the expressions are identical in every iteration.
+    """
+    spark = stats.sparkSession
+    par = spark.createDataFrame([(float(beta), float(beta_m), float(tau))], "_b DOUBLE, _m DOUBLE, _t DOUBLE")
+    x = stats.crossJoin(F.broadcast(par))
+    for layer in _SQL:
+        x = x.selectExpr(*layer)
+    W = F.col("s_w")
+    e = {f: F.col("s_" + f) / W for f in _FIELDS[1:]}
     # per-account marginal log-likelihood, gradient and Louis Hessian
     per = x.select(
         (F.col("mx") + F.log(W)).alias("ll"),
