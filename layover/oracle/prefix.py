@@ -98,7 +98,21 @@ boarding_pass AS (
 )"""
 
 
-def with_prefix(body: str, extra_ctes: str = "") -> str:
+class OracleSQL(str):
+    """SQL text ``WITH <prefix>, <extra> <body>`` that can also be rendered
+    without the adapter prefix, for airline tables registered directly."""
+
+    extra: str
+    body: str
+
+    def without_prefix(self) -> str:
+        return (("WITH " + self.extra + "\n") if self.extra else "") + self.body
+
+
+def with_prefix(body: str, extra_ctes: str = "") -> OracleSQL:
     """``WITH <prefix>[, extra] <body>``."""
-    ctes = PREFIX + ((",\n" + extra_ctes.strip().rstrip(",")) if extra_ctes.strip() else "")
-    return "WITH " + ctes.strip() + "\n" + body.strip()
+    extra = extra_ctes.strip().rstrip(",")
+    ctes = PREFIX + ((",\n" + extra) if extra else "")
+    q = OracleSQL("WITH " + ctes.strip() + "\n" + body.strip())
+    q.extra, q.body = extra, body.strip()
+    return q

@@ -47,6 +47,16 @@ shr AS (
   FROM per CROSS JOIN mom
 )"""
 
+def per_from(src: str, name: str) -> str:
+    return PER.strip().replace("per AS", f"{name} AS", 1).replace("FROM surv GROUP", f"FROM {src} GROUP")
+
+
+def shrink_from(per: str, name: str) -> str:
+    return (SHRINK.strip().replace("mom AS", f"{name}_mom AS", 1).replace("shr AS", f"{name} AS", 1)
+            .replace("FROM per)", f"FROM {per})").replace("FROM per CROSS JOIN mom", f"FROM {per} CROSS JOIN {name}_mom")
+            .replace("SELECT per.*", f"SELECT {per}.*"))
+
+
 WH = "(a / b) * power(1.0 - 1.0 / (9 * a) + ({z}) / (3 * sqrt(a)), 3)"
 Z80, Z95 = "1.2815515655446004", "1.959963984540054"
 
@@ -116,4 +126,20 @@ SELECT CAST(i - 1 AS INTEGER) AS q, ps[i] AS p, round(qs[i], {R}) AS quantile
 FROM (SELECT quantile_cont(shrunk_rate, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs,
              [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9] AS ps FROM shr)
 CROSS JOIN (SELECT unnest(range(1, 10)) AS i)""", PER, SHRINK),
+    "calibration_summary": _q(f"""
+SELECT count(*) AS n_accounts, round(avg(estimate - actual), {R}) AS mean_error,
+       round(avg(abs(estimate - actual)) / avg(abs(actual)), {R}) AS relative_abs_error,
+       round(avg(CASE WHEN estimate <= actual THEN 1.0 ELSE 0.0 END), {R}) AS share_estimate_below
+FROM (SELECT account_id, shrunk_rate AS estimate FROM est_b)
+JOIN (SELECT account_id, events / exposure_days AS actual FROM per_a WHERE exposure_days > 0) USING (account_id)""",
+                              "bef AS (SELECT * FROM surv_ev WHERE actual_arrival < TIMESTAMP '1998-07-01 00:00:00')",
+                              "aft AS (SELECT * FROM surv_ev WHERE actual_arrival >= TIMESTAMP '1998-07-01 00:00:00')",
+                              per_from("bef", "per_b"), per_from("aft", "per_a"), shrink_from("per_b", "est_b")),
+    "posterior_histogram": _q(f"""
+SELECT has_missed, CAST(bin AS INTEGER) AS bin, round(lo + bin * w, {R}) AS bin_lo,
+       round(lo + (bin + 1) * w, {R}) AS bin_hi, count(*) AS n
+FROM (SELECT CASE WHEN n_missed > 0 THEN 1 ELSE 0 END AS has_missed, lo, w,
+             CASE WHEN w = 0 THEN 0 ELSE least(floor((shrunk_rate - lo) / w), 29) END AS bin
+      FROM shr CROSS JOIN (SELECT min(shrunk_rate) AS lo, (max(shrunk_rate) - min(shrunk_rate)) / 30.0 AS w FROM shr))
+GROUP BY has_missed, bin, lo, w""", PER, SHRINK),
 }

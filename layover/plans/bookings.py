@@ -17,7 +17,7 @@ from layover.functions.time import days_between, minutes_between, seconds_betwee
 from layover.plans.retention import booking_summary, leg_gaps
 from layover.sources.adapter import Airline
 from layover.sources.files import read_csv, write_csv
-from layover.session import checkpoint_dir
+from layover.session import checkpoint_dir, register_scratch
 
 #: booking-date split of the before/after comparison (fixture default)
 SPLIT_DATE = "1998-05-15"
@@ -43,7 +43,8 @@ LEAD_SCHEMA = ("booking_id BIGINT, flight_id BIGINT, actual_departure TIMESTAMP_
 
 def booking_lead_days_export(air: Airline, path: str | None = None) -> DataFrame:
     """Write ``booking_lead_days`` as CSV with a header, read it back."""
-    out = path or f"{checkpoint_dir(air.spark)}/exports/booking_lead_days-{uuid.uuid4().hex}"
+    out = path or register_scratch(
+        air.spark, f"{checkpoint_dir(air.spark)}/exports/booking_lead_days-{uuid.uuid4().hex}")
     write_csv(booking_lead_days(air), out)
     return read_csv(air.spark, out, LEAD_SCHEMA)
 

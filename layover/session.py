@@ -15,7 +15,9 @@ Everything here is plain Spark configuration.  The important choices:
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,6 +41,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "16g")
+    # delete reliable RDD checkpoints once their DataFrames are garbage collected
+    conf.setdefault("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -92,3 +96,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     local = os.path.abspath(tempfile.mkdtemp(prefix="layover-ckpt-"))
     sc.setCheckpointDir(local)
     _LOCAL_DIRS[sc.applicationId] = local
+
+
+# ---------------------------------------------------------------------------
+# Scratch outputs (staged tables, stored adapter tables) are removed at exit.
+# ---------------------------------------------------------------------------
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def register_scratch(spark: SparkSession, path: str) -> str:
+    """Remember a folder this process wrote under the checkpoint dir."""
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def release_scratch() -> None:
+    """Delete the scratch folders written by this process (local or shared FS)."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        if path.startswith("file:") or "://" not in path:
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+            continue
+        try:  # other file systems through Hadoop, while the JVM is up
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - best effort at shutdown
+            pass
+
+
+atexit.register(release_scratch)

@@ -83,9 +83,10 @@ class Airline:
         if name not in self._staged:
             import uuid
 
-            from layover.session import checkpoint_dir
+            from layover.session import checkpoint_dir, register_scratch
 
-            path = f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}/{name}"
+            path = register_scratch(self.spark, f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}")
+            path = f"{path}/{name}"
             build().write.mode("overwrite").parquet(path)
             self._staged[name] = self.spark.read.parquet(path)
         return self._staged[name]
@@ -292,11 +293,11 @@ def stored(spark: SparkSession, sf_dir: str) -> Airline:
     import os
     import uuid
 
-    from layover.session import checkpoint_dir
+    from layover.session import checkpoint_dir, register_scratch
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _STORED:
-        root = f"{checkpoint_dir(spark)}/airline-{uuid.uuid4().hex}"
+        root = register_scratch(spark, f"{checkpoint_dir(spark)}/airline-{uuid.uuid4().hex}")
         _STORED[key] = materialize(Airline.from_dir(spark, sf_dir), root)
     return _STORED[key]
 
