@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layover.functions.time import days_between, minutes_between, seconds_between
-from layover.plans.retention import booking_summary, leg_gaps
+from layover.operators.histogram import equal_width
+from layover.plans.retention import booking_summary, leg_gaps, non_censored_flights
 from layover.sources.adapter import Airline
 from layover.sources.files import read_csv, write_csv
 from layover.session import checkpoint_dir, register_scratch
@@ -109,3 +110,13 @@ def delayed_flight_customers(air: Airline, n: int = TOP_DELAYED) -> DataFrame:
     x = x.join(p, x.booking_id == p.book_id, "left")
     x = x.join(b, x.book_id == b.b_booking_id, "left").drop("book_id", "b_booking_id")
     return x.where(F.col("update_ts").isNotNull())
+
+
+def lead_days_histogram(air: Airline, bins: int = 30) -> DataFrame:
+    """Histogram of positive booking lead days (the reference's early_days > 0)."""
+    return equal_width(_lead(air).where(F.col("early_days") > 0), "early_days", bins)
+
+
+def hours_to_next_histogram(air: Airline, bins: int = 30) -> DataFrame:
+    """Histogram of observed hours from an arrival to the next booking."""
+    return equal_width(non_censored_flights(air), "hours_to_next_booking", bins)

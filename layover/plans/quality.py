@@ -113,3 +113,8 @@ def duration_ratio(air: Airline) -> DataFrame:
 def duration_ratio_histogram(air: Airline, bins: int = RATIO_BINS, lo: float | None = None,
                              hi: float | None = None) -> DataFrame:
     return equal_width(duration_ratio(air), "ratio_length", bins, lo, hi)
+
+
+def route_duration_histogram(air: Airline, bins: int = 40, route_label: str | None = None) -> DataFrame:
+    """Histogram of actual flight minutes (of one route when given)."""
+    return equal_width(route_durations(air, route_label), "flight_length", bins)

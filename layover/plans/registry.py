@@ -38,6 +38,7 @@ JOBS: dict[str, Job] = {
     "route_durations": quality.route_durations,
     "duration_ratio": quality.duration_ratio,
     "duration_ratio_histogram": quality.duration_ratio_histogram,
+    "route_duration_histogram": quality.route_duration_histogram,
     # C. account, passenger and boarding integrity
     "frequent_flyer_accounts": accounts.frequent_flyer_accounts,
     "account_passenger_names": accounts.account_passenger_names,
@@ -68,6 +69,8 @@ JOBS: dict[str, Job] = {
     "lead_days_before_after": bookings.lead_days_before_after,
     "missed_connections": bookings.missed_connections,
     "delayed_flight_customers": bookings.delayed_flight_customers,
+    "lead_days_histogram": bookings.lead_days_histogram,
+    "hours_to_next_histogram": bookings.hours_to_next_histogram,
     # E. retention features
     "trips": retention.trips,
     "account_booking_rates": retention.account_booking_rates,
