@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from layover.functions.text import dotted_name
 from layover.operators.firsts import argmax_ties
+from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
 #: the reference's drill-down constants, used as fixture defaults
@@ -46,12 +47,13 @@ def account_passenger_names(air: Airline) -> DataFrame:
 
 def account_flight_counts(air: Airline) -> DataFrame:
     p = _passenger_names(air).where(F.col("account_id").isNotNull())
-    return p.groupBy("account_id").agg(F.count("name").alias("n_trips"))
+    return pg_sort(p.groupBy("account_id").agg(F.count("name").alias("n_trips")), "n_trips desc", "account_id")
 
 
 def account_distinct_names(air: Airline) -> DataFrame:
     p = _passenger_names(air).where(F.col("account_id").isNotNull())
-    return p.groupBy("account_id").agg(F.countDistinct("name").alias("n_names"))
+    return pg_sort(p.groupBy("account_id").agg(F.countDistinct("name").alias("n_names")), "n_names desc",
+                   "account_id")
 
 
 def _top_passengers(air: Airline) -> DataFrame:
@@ -121,8 +123,9 @@ def passengers_without_boarding_detail(air: Airline, floor: int = 0, n: int = FI
     p = air.passenger.where(F.col("passenger_id") > floor).select("passenger_id").distinct()
     bp = air.boarding_pass.where(F.col("passenger_id") > floor).select("passenger_id")
     first = p.join(bp, "passenger_id", "left_anti").orderBy("passenger_id").limit(n)
-    return first.join(air.passenger, "passenger_id", "left").select(
+    x = first.join(air.passenger, "passenger_id", "left").select(
         "passenger_id", "booking_id", "first_name", "last_name", "account_id", "update_ts")
+    return pg_sort(x, "booking_id", "passenger_id")
 
 
 def boarding_leg_passenger_sample(air: Airline, n: int = FIRST_N, leg_id_ceil: int = LEG_ID_CEIL,
@@ -179,6 +182,10 @@ def account_boarding_drilldown(air: Airline, account_id: int | None = None, modu
                                remainder: int = 0) -> DataFrame:
     """Passenger legs joined to boarding passes on the passenger id (one
     account when given, else all)."""
+    return pg_sort(_boarding_drilldown(air, account_id, modulus, remainder), "first_name", "last_name")
+
+
+def _boarding_drilldown(air: Airline, account_id: int | None, modulus: int, remainder: int) -> DataFrame:
     x = _with_passes(_passenger_leg_rows(air, modulus, remainder), air, "passenger")
     return x if account_id is None else x.where(F.col("account_id") == account_id)
 
@@ -191,14 +198,18 @@ def _flight_cols(air: Airline) -> DataFrame:
 
 def account_flight_drilldown(air: Airline, account_id: int | None = None, modulus: int = 1,
                              remainder: int = 0) -> DataFrame:
-    x = account_boarding_drilldown(air, account_id, modulus, remainder)
+    return pg_sort(_flight_drilldown(air, account_id, modulus, remainder), "first_name", "last_name")
+
+
+def _flight_drilldown(air: Airline, account_id: int | None, modulus: int, remainder: int) -> DataFrame:
+    x = _boarding_drilldown(air, account_id, modulus, remainder)
     f = _flight_cols(air)
     return x.join(f, x.flight_id == f.f_flight_id, "left").drop("f_flight_id")
 
 
 def slice_flight_drilldown(air: Airline, modulus: int = 1, remainder: int = 0) -> DataFrame:
     """The whole slice with flights (the reference orders it by flight number)."""
-    return account_flight_drilldown(air, None, modulus, remainder)
+    return pg_sort(_flight_drilldown(air, None, modulus, remainder), "flight_no", "scheduled_departure")
 
 
 def booking_leg_ts_agreement(air: Airline, modulus: int = 1, remainder: int = 0) -> DataFrame:

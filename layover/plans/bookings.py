@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from layover.functions.time import days_between, minutes_between, seconds_between
 from layover.operators.histogram import equal_width
+from layover.operators.sorting import pg_sort
 from layover.plans.retention import booking_summary, leg_gaps, non_censored_flights
 from layover.sources.adapter import Airline
 from layover.sources.files import read_csv, write_csv
@@ -35,7 +36,8 @@ def _lead(air: Airline) -> DataFrame:
 
 
 def booking_lead_days(air: Airline) -> DataFrame:
-    return _lead(air).select("booking_id", "flight_id", "actual_departure", "booking_time", "early_days")
+    x = _lead(air).select("booking_id", "flight_id", "actual_departure", "booking_time", "early_days")
+    return pg_sort(x, "early_days", "booking_id", "flight_id")
 
 
 LEAD_SCHEMA = ("booking_id BIGINT, flight_id BIGINT, actual_departure TIMESTAMP_NTZ, "
@@ -46,7 +48,7 @@ def booking_lead_days_export(air: Airline, path: str | None = None) -> DataFrame
     """Write ``booking_lead_days`` as CSV with a header, read it back."""
     out = path or register_scratch(
         air.spark, f"{checkpoint_dir(air.spark)}/exports/booking_lead_days-{uuid.uuid4().hex}")
-    write_csv(booking_lead_days(air), out)
+    write_csv(booking_lead_days(air), out)  # sorted by lead days, as the reference's COPY
     return read_csv(air.spark, out, LEAD_SCHEMA)
 
 
@@ -57,13 +59,13 @@ def account_lead_days(air: Airline, min_count: int = MIN_ACCOUNT_LEGS) -> DataFr
     g = x.join(p, "booking_id", "inner").groupBy("account_id").agg(
         F.round(F.avg("early_days"), 6).alias("avg_early_days"), F.max("early_days").alias("max_early_days"),
         F.min("early_days").alias("min_early_days"), F.count(F.lit(1)).alias("n_legs"))
-    return g.where(F.col("n_legs") > min_count)
+    return pg_sort(g.where(F.col("n_legs") > min_count), "avg_early_days desc", "account_id")
 
 
 def bookings_per_day(air: Airline) -> DataFrame:
     day = F.to_date("update_ts").cast("timestamp_ntz")  # the day, as a midnight timestamp
-    return air.booking.groupBy(day.alias("booking_date")).agg(
-        F.count(F.lit(1)).alias("n_bookings"))
+    return pg_sort(air.booking.groupBy(day.alias("booking_date")).agg(
+        F.count(F.lit(1)).alias("n_bookings")), "booking_date")
 
 
 def lead_days_before_after(air: Airline, split_date: str = SPLIT_DATE) -> DataFrame:
@@ -79,7 +81,8 @@ def lead_days_before_after(air: Airline, split_date: str = SPLIT_DATE) -> DataFr
                  F.when(F.col("booking_time") >= split, F.col("early_days")).alias("early_days_after_may"))
     aaa = x.groupBy("early_days_before_june").agg(F.count(F.lit(1)).alias("before_june_count"))
     bbb = x.groupBy("early_days_after_may").agg(F.count(F.lit(1)).alias("after_may_count"))
-    return aaa.join(bbb, aaa.early_days_before_june == bbb.early_days_after_may, "left")
+    x = aaa.join(bbb, aaa.early_days_before_june == bbb.early_days_after_may, "left")
+    return pg_sort(x, "early_days_before_june")
 
 
 def missed_connections(air: Airline) -> DataFrame:
@@ -91,7 +94,8 @@ def missed_connections(air: Airline) -> DataFrame:
     return x.select("booking_id", "flight_id", "leg_num", "actual_departure", "actual_arrival",
                     "mins_since_last_flight_arrival",
                     F.when(F.col("missed_flight_flag") == 1, F.lit("Missed_flight"))
-                     .otherwise(F.lit("Made_flight")).alias("missed_flight_flag"))
+                     .otherwise(F.lit("Made_flight")).alias("missed_flight_flag")).transform(
+        lambda d: pg_sort(d, "booking_id", "leg_num"))
 
 
 def delayed_flight_customers(air: Airline, n: int = TOP_DELAYED) -> DataFrame:
@@ -109,7 +113,7 @@ def delayed_flight_customers(air: Airline, n: int = TOP_DELAYED) -> DataFrame:
     x = top.join(legs, top.flight_id == legs.flght_id, "left").drop("flght_id")
     x = x.join(p, x.booking_id == p.book_id, "left")
     x = x.join(b, x.book_id == b.b_booking_id, "left").drop("book_id", "b_booking_id")
-    return x.where(F.col("update_ts").isNotNull())
+    return pg_sort(x.where(F.col("update_ts").isNotNull()), "update_ts desc", "flight_id", "passenger_id")
 
 
 def lead_days_histogram(air: Airline, bins: int = 30) -> DataFrame:

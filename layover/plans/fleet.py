@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layover.functions.text import route
+from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
 #: flight counts left out of the route spread tables (the reference's outliers)
@@ -34,12 +35,14 @@ def aircraft_usage(air: Airline) -> DataFrame:
 
 
 def flight_no_aircraft_types(air: Airline) -> DataFrame:
-    return air.flight.groupBy("flight_no").agg(F.countDistinct("aircraft_code").alias("n_aircraft_types"))
+    g = air.flight.groupBy("flight_no").agg(F.countDistinct("aircraft_code").alias("n_aircraft_types"))
+    return pg_sort(g, "n_aircraft_types desc", "flight_no")
 
 
 def airport_pair_flight_nos(air: Airline) -> DataFrame:
-    return air.flight.groupBy("arrival_airport", "departure_airport").agg(
+    g = air.flight.groupBy("arrival_airport", "departure_airport").agg(
         F.countDistinct("flight_no").alias("n_flight_nos"))
+    return pg_sort(g, "n_flight_nos desc", "arrival_airport", "departure_airport")
 
 
 def route_flight_nos(air: Airline) -> DataFrame:
@@ -53,8 +56,9 @@ def route_flight_no_histogram(air: Airline) -> DataFrame:
 
 
 def aircraft_range_usage(air: Airline) -> DataFrame:
-    return _flights_aircraft(air).groupBy("aircraft_code", "range", "class").agg(
+    g = _flights_aircraft(air).groupBy("aircraft_code", "range", "class").agg(
         F.count(F.lit(1)).alias("n_flights"))
+    return pg_sort(g, "n_flights desc", "aircraft_code")
 
 
 def route_model_usage(air: Airline) -> DataFrame:
@@ -68,7 +72,8 @@ def route_range_spread(air: Airline) -> DataFrame:
     """Distinct (route, model, range) with the route's min, max and spread of range."""
     g = _flights_aircraft(air).withColumn("route", route()).select("route", "model", "range").distinct()
     per = g.groupBy("route").agg(F.min("range").alias("min_range"), F.max("range").alias("max_range"))
-    return g.join(per, "route", "left").withColumn("range_diff", F.col("max_range") - F.col("min_range"))
+    x = g.join(per, "route", "left").withColumn("range_diff", F.col("max_range") - F.col("min_range"))
+    return pg_sort(x, "range_diff desc", "route", "model")
 
 
 def _route_aircraft_counts(air: Airline, excluded: Sequence[int]) -> DataFrame:
@@ -83,14 +88,16 @@ def route_flight_count_spread(air: Airline, excluded: Sequence[int] = EXCLUDED_F
     x = _route_aircraft_counts(air, excluded)
     per = x.groupBy("route").agg(F.max("flight_count").alias("max_flight"), F.min("flight_count").alias("min_flight"),
                                  (F.max("range") - F.min("range")).alias("diff"))
-    return x.join(per, "route", "left").select("route", "flight_count", "aircraft_code", "range",
-                                               "max_flight", "min_flight", "diff")
+    x = x.join(per, "route", "left").select("route", "flight_count", "aircraft_code", "range",
+                                            "max_flight", "min_flight", "diff")
+    return pg_sort(x, "diff desc", "route", "aircraft_code")
 
 
 def route_range_spread_grouped(air: Airline, excluded: Sequence[int] = EXCLUDED_FLIGHT_COUNTS) -> DataFrame:
     x = _route_aircraft_counts(air, excluded).select("route", "flight_count", "aircraft_code", "range").distinct()
     per = x.groupBy("route").agg(F.max("range").alias("max_range"), F.min("range").alias("min_range"))
-    return x.join(per, "route", "left").withColumn("range_diff", F.col("max_range") - F.col("min_range"))
+    x = x.join(per, "route", "left").withColumn("range_diff", F.col("max_range") - F.col("min_range"))
+    return pg_sort(x, "range_diff desc", "route", "aircraft_code")
 
 
 def flights_with_airports(air: Airline) -> DataFrame:

@@ -53,7 +53,7 @@ def _nodes() -> list[tuple[float, float]]:
 
 def account_stats(air: Airline) -> DataFrame:
     """d0, T0, d1, T1 per account (accounts with any exposure)."""
-    return _account_strata(retention.survival_table(air)).where((F.col("t0") + F.col("t1")) > 0)
+    return _account_strata(retention.survival_rows(air)).where((F.col("t0") + F.col("t1")) > 0)
 
 
 def _step_sql(nodes: list[tuple[float, float]]) -> list[list[str]]:

@@ -15,6 +15,7 @@ from layover.functions.text import route
 from layover.functions.time import minutes_between, seconds_between
 from layover.operators.histogram import equal_width
 from layover.operators.ranking import ntile
+from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
 TILES = 50
@@ -35,7 +36,8 @@ def flight_length_ntiles(air: Airline, tiles: int = TILES) -> DataFrame:
     """Min and max flight length (minutes) in each of ``tiles`` equal-count tiles."""
     d = _durations(air).where(F.col("actual_arrival").isNotNull()).select("flight_id", "flight_mins")
     t = ntile(d, ["flight_mins", "flight_id"], tiles, out="nt")
-    return t.groupBy("nt").agg(F.min("flight_mins").alias("min_length"), F.max("flight_mins").alias("max_length"))
+    g = t.groupBy("nt").agg(F.min("flight_mins").alias("min_length"), F.max("flight_mins").alias("max_length"))
+    return pg_sort(g, "nt")
 
 
 def _negative(air: Airline) -> DataFrame:
@@ -45,13 +47,14 @@ def _negative(air: Airline) -> DataFrame:
 
 
 def negative_duration_routes(air: Airline) -> DataFrame:
-    return _negative(air).groupBy(route().alias("route")).agg(F.count(F.lit(1)).alias("n_flights"))
+    g = _negative(air).groupBy(route().alias("route")).agg(F.count(F.lit(1)).alias("n_flights"))
+    return pg_sort(g, "n_flights desc", "route")
 
 
 def arrival_delay_histogram(air: Airline) -> DataFrame:
     f = air.flight.where(F.col("actual_arrival").isNotNull())
     d = F.round(minutes_between("actual_arrival", "scheduled_arrival"), 0).alias("arrival_delay_minutes")
-    return f.groupBy(d).agg(F.count(F.lit(1)).alias("n_flights"))
+    return pg_sort(f.groupBy(d).agg(F.count(F.lit(1)).alias("n_flights")), "arrival_delay_minutes")
 
 
 def negative_duration_status(air: Airline) -> DataFrame:
@@ -89,9 +92,10 @@ def route_error_proportion(air: Airline) -> DataFrame:
                                   F.max("flight_mins").alias("max_length_over_0"))
     x = aa.join(bb, "route", "left")
     u, o = F.col("count_flight_mins_under_0"), F.col("count_flight_mins_over_0")
-    return x.select("route", "schedule_length", "count_flight_mins_under_0", "min_length_under_0",
-                    "max_length_under_0", "count_flight_mins_over_0", "min_length_over_0", "max_length_over_0",
-                    (u / (u + o).cast("double")).alias("proportion_error"))
+    x = x.select("route", "schedule_length", "count_flight_mins_under_0", "min_length_under_0",
+                 "max_length_under_0", "count_flight_mins_over_0", "min_length_over_0", "max_length_over_0",
+                 (u / (u + o).cast("double")).alias("proportion_error"))
+    return pg_sort(x, "proportion_error desc", "route", "schedule_length")
 
 
 def route_durations(air: Airline, route_label: str | None = None) -> DataFrame:

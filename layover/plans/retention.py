@@ -19,6 +19,7 @@ from layover.operators.asof import next_booking_pairs, unmatched_first_booking
 from layover.operators.bounds import attach, scalar_row
 from layover.operators.firsts import argmax_ties
 from layover.operators.ordered import row_index, running_sum
+from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
 #: bucket width of the two-level per-account windows (seconds)
@@ -206,20 +207,21 @@ def time_to_next_flight_2(air: Airline) -> DataFrame:
     """Next-booking pairs with the preceding trip's booking id; one
     unmatched row (no earlier arrival) per account."""
     x = _next_flight(air, missed_only_unmatched=False)
-    return x.select("account_id", "updat_ts", "actual_arrival", "hours_to_next_booking", "booking_id",
-                    "booking_id_2", "remaining_bookings", "missed_flight_flag", "scheduled_departure",
-                    "scheduled_arrival", "min_flight_time", "max_flight_time", "days_since_start_of_dataset",
-                    "days_to_end_of_dataset")
+    x = x.select("account_id", "updat_ts", "actual_arrival", "hours_to_next_booking", "booking_id",
+                 "booking_id_2", "remaining_bookings", "missed_flight_flag", "scheduled_departure",
+                 "scheduled_arrival", "min_flight_time", "max_flight_time", "days_since_start_of_dataset",
+                 "days_to_end_of_dataset")
+    return pg_sort(x, "account_id", "updat_ts", "hours_to_next_booking")
 
 
 def time_to_next_flight(air: Airline) -> DataFrame:
     """As ``time_to_next_flight_2`` but unmatched rows only for missed bookings
     (the reference filters ``hours IS NOT NULL OR missed_flight_flag = 1``)."""
     x = _next_flight(air, missed_only_unmatched=True)
-    return x.select("account_id", "updat_ts", "actual_arrival", "hours_to_next_booking", "booking_id",
-                    "remaining_bookings", "missed_flight_flag", "scheduled_departure", "scheduled_arrival",
-                    "min_flight_time", "max_flight_time", "days_since_start_of_dataset",
-                    "days_to_end_of_dataset")
+    x = x.select("account_id", "updat_ts", "actual_arrival", "hours_to_next_booking", "booking_id",
+                 "remaining_bookings", "missed_flight_flag", "scheduled_departure", "scheduled_arrival",
+                 "min_flight_time", "max_flight_time", "days_since_start_of_dataset", "days_to_end_of_dataset")
+    return pg_sort(x, "account_id", "updat_ts", "hours_to_next_booking")
 
 
 def time_to_next_pairs(air: Airline) -> DataFrame:
@@ -231,7 +233,7 @@ def time_to_next_pairs(air: Airline) -> DataFrame:
     lone = unmatched_first_booking(bookings, arrivals).select(
         "account_id", "updat_ts", F.lit(None).cast("timestamp_ntz").alias("actual_arrival"),
         F.lit(None).cast("double").alias("hours_to_next_booking"))
-    return pairs.unionByName(lone)
+    return pg_sort(pairs.unionByName(lone), "account_id", "updat_ts", "hours_to_next_booking")
 
 
 def non_censored_flights(air: Airline, with_arrival: bool = False) -> DataFrame:
@@ -323,7 +325,12 @@ def _survival_events(air: Airline) -> DataFrame:
     return a.unionByName(b)
 
 
+def survival_rows(air: Airline) -> DataFrame:
+    """The survival table, unordered (for use inside other jobs)."""
+    return survival_events(air).drop("actual_arrival")
+
+
 def survival_table(air: Airline) -> DataFrame:
     """Observed (censored_id 0) and censored (1) durations in days;
     censored rows only for accounts with an observed duration."""
-    return survival_events(air).drop("actual_arrival")
+    return pg_sort(survival_rows(air), "account_id", "censored_id")
