@@ -12,9 +12,10 @@ timeline is an arrival, where the timeline holds
 ordered by ``(time, kind, id)``.  Bookings sort before arrivals at an
 equal time because the join condition is strict (``booking > arrival``).
 
-The predecessor is found with the two-level ``previous_event`` operator
-(time-bucketed windows plus a per-bucket summary), so a hot account does
-not land in a single task.  Work is linear in the number of events.
+The predecessor is found with the parallel-scan ``previous_event``
+operator (range-partitioned on account and time, with a carry table across
+partitions), so a hot account does not land in a single task.  Work is
+linear in the number of events.
 """
 
 from __future__ import annotations
@@ -22,14 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layover.functions.time import hours_between, time_bucket
+from layover.functions.time import hours_between
 from layover.operators.ordered import previous_event
 
-DEFAULT_BUCKET_SECONDS = 86400
 
-
-def next_booking_pairs(bookings: DataFrame, arrivals: DataFrame, key: str = "account_id",
-                       bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def next_booking_pairs(bookings: DataFrame, arrivals: DataFrame, key: str = "account_id") -> DataFrame:
     """Pairs (arrival, first later booking) with no booking in between.
 
     ``bookings``: (key, booking_ts, booking_id); ``arrivals``: (key,
@@ -41,7 +39,7 @@ def next_booking_pairs(bookings: DataFrame, arrivals: DataFrame, key: str = "acc
     a = (arrivals.groupBy(key, "arrival_ts").agg(F.min("arrival_id").alias("id"))
          .select(key, F.col("arrival_ts").alias("t"), F.lit(1).alias("kind"), "id"))
     ev = b.unionByName(a)
-    ev = previous_event(ev, [key], ["t", "kind", "id"], time_bucket("t", bucket_seconds), out="prev")
+    ev = previous_event(ev, [key], ["t", "kind", "id"], out="prev")
     pairs = ev.where((F.col("kind") == 0) & (F.col("prev.kind") == 1))
     return pairs.select(
         key,

@@ -1,21 +1,27 @@
-"""Skew-safe ordered operations inside a key (two-level windows).
+"""Skew-safe ordered operations inside a key (parallel scans).
 
 A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key
-to one task.  Accounts are heavily skewed (one account may hold a large
-share of all bookings), so the ordered operations the jobs need --
-running counts with peers, row numbers, and the previous event -- are
-computed in two levels:
-
-1. inside ``(key, bucket)`` with an ordinary window, where ``bucket`` is a
-   monotone function of the ordering (a time bucket, or the first
-   ordering column).  A hot key is spread over many buckets, hence tasks.
-2. across buckets of one key, on a *summary* table with one row per
-   ``(key, bucket)`` (built by a partial aggregate).  Its window sees at
-   most one row per bucket, which is bounded by the bucket domain (e.g.
-   the number of hours in the data), not by the number of rows.
-
-The two levels are combined with an equi-join on ``(key, bucket)``; the
-row side is already partitioned on those columns by the level-1 window.
+to one task.  Accounts are heavily skewed (one account may hold a third
+of all bookings, and one timestamp of one account may hold many copies),
+so the ordered operations the jobs need -- running sums with peers, row
+numbers, the previous event -- are computed as a parallel scan:
+
+1. rows that are peers in the order (equal key and order value) are
+   collapsed first by a partial aggregate where the operation allows it
+   (running sums), so no group of copies reaches one task;
+2. the rows are range-partitioned on ``(key, order)``: Spark samples the
+   bounds, so a hot key is split over as many partitions as its size
+   needs, and every partition holds a contiguous run of each key;
+3. inside each (partition, key) an ordinary window computes the local
+   result;
+4. a small table with one row per (partition, key) -- at most one row per
+   key plus one per partition boundary -- carries each key's prefix from
+   the partitions before it (a window over that table sees, for a hot
+   key, as many rows as the partitions it spans).
+
+The range-partitioned frame is read twice (local scan and carry table), so
+it is checkpointed once to the shared checkpoint folder: partition ids
+stay consistent even if tasks are retried, and the lineage is cut.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "_bkt"
+_P = "_pid"
 
 
 def _cols(xs) -> list:
@@ -33,77 +39,91 @@ def _cols(xs) -> list:
 
 
 def _join_summary(x: DataFrame, s: DataFrame, on: list[str], take: list[str]) -> DataFrame:
-    """Attach summary columns ``take`` to rows on ``on`` (NULL-safe equality,
-    so NULL keys or buckets keep their rows)."""
+    """Attach columns ``take`` of ``s`` to rows of ``x`` on ``on`` (NULL-safe
+    equality, so NULL keys keep their rows)."""
     cond = [F.col("_x." + k).eqNullSafe(F.col("_s." + k)) for k in on]
     y = x.alias("_x").join(s.alias("_s"), cond, "inner")
     return y.select("_x.*", *[F.col("_s." + c).alias(c) for c in take])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, bucket: Column | str,
-                value: Column | None = None, out: str = "running", total: str | None = None) -> DataFrame:
-    """``sum(value) over (partition by keys order by order)`` (RANGE frame, peers
-    included; ``value`` None counts rows) and optionally the per-key total.
+def _range_partitioned(df: DataFrame, keys: list[str], order: list[Column],
+                       partitions: int | None = None) -> DataFrame:
+    """Range-partition on (keys, order), tag rows with their partition id and
+    checkpoint (reliable, shared folder)."""
+    from layover.session import ensure_checkpoint_dir
 
-    ``bucket`` must be a monotone function of ``order`` so peers share a bucket.
-    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(_P, F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    return r.checkpoint(eager=True)
+
+
+def _order_cols(order: Sequence) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column | None = None,
+                out: str = "running", total: str | None = None) -> DataFrame:
+    """``sum(value) over (partition by keys order by order)`` with the default
+    RANGE frame (peers included; ``value`` None counts rows), and optionally
+    the per-key total ``sum(value) over (partition by keys)``."""
     keys = _cols(keys)
     v = F.lit(1) if value is None else value
-    x = df.withColumn(_B, F.col(bucket) if isinstance(bucket, str) else bucket).withColumn("_v", v)
-    w_in = Window.partitionBy(*keys, _B).orderBy(order)  # default frame: RANGE .. CURRENT ROW
-    x = x.withColumn("_cum_in", F.sum("_v").over(w_in))
-    s = x.groupBy(*keys, _B).agg(F.sum("_v").alias("_nb"))
-    ws = Window.partitionBy(*keys).orderBy(_B)
-    s = s.select(
-        *keys, _B,
-        F.coalesce(F.sum("_nb").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-         .alias("_before"),
-        F.sum("_nb").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    y = _join_summary(x, s, [*keys, _B], ["_before", "_total"])
-    y = y.withColumn(out, (F.col("_before") + F.col("_cum_in")).cast("long"))
+    peers = df.withColumn("_v", v).groupBy(*keys, order).agg(F.sum("_v").alias("_s"))
+    r = _range_partitioned(peers, keys, _order_cols([order]))
+    loc = r.withColumn("_loc", F.sum("_s").over(
+        Window.partitionBy(_P, *keys).orderBy(F.col(order).asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    carry = r.groupBy(_P, *keys).agg(F.sum("_s").alias("_t"))
+    wk = Window.partitionBy(*keys).orderBy(_P)
+    carry = carry.select(
+        _P, *keys,
+        F.coalesce(F.sum("_t").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_t").over(Window.partitionBy(*keys)).alias("_total"))
+    res = _join_summary(loc, carry, [_P, *keys], ["_before", "_total"])
+    res = res.select(*keys, order, (F.col("_before") + F.col("_loc")).cast("long").alias(out),
+                     F.col("_total").cast("long").alias("_total"))
+    y = _join_summary(df, res, [*keys, order], [out, "_total"])
     if total:
-        y = y.withColumn(total, F.col("_total").cast("long"))
-    return y.drop(_B, "_v", "_cum_in", "_before", "_total")
+        y = y.withColumnRenamed("_total", total)
+    return y.drop("_total")
 
 
-def running_count(df: DataFrame, keys: Sequence[str], order: str, bucket: Column | str,
-                  out: str = "running_count", total: str | None = None) -> DataFrame:
-    """``count(*) over (partition by keys order by order)`` with peers (see running_sum)."""
-    return running_sum(df, keys, order, bucket, None, out, total)
+def running_count(df: DataFrame, keys: Sequence[str], order: str, out: str = "running_count",
+                  total: str | None = None) -> DataFrame:
+    """``count(*) over (partition by keys order by order)`` with peers."""
+    return running_sum(df, keys, order, None, out, total)
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str,
-              out: str = "row_index") -> DataFrame:
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "row_index") -> DataFrame:
     """``row_number() over (partition by keys order by order)``, ascending with
-    NULLs last.  ``bucket`` is a monotone function of the leading ordering
-    column (NULL where it is NULL); ``order`` must be a total order."""
-    keys, order = _cols(keys), _cols(order)
-    ocols = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    x = df.withColumn(_B, F.col(bucket) if isinstance(bucket, str) else bucket)
-    x = x.withColumn("_rn_in", F.row_number().over(Window.partitionBy(*keys, _B).orderBy(*ocols)))
-    s = x.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_nb"))
-    ws = Window.partitionBy(*keys).orderBy(F.col(_B).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select(*keys, _B, F.coalesce(F.sum("_nb").over(ws), F.lit(0)).alias("_before"))
-    y = _join_summary(x, s, [*keys, _B], ["_before"])
-    return y.withColumn(out, (F.col("_before") + F.col("_rn_in")).cast("int")).drop(_B, "_rn_in", "_before")
-
-
-def previous_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+    NULLs last; ``order`` must be a total order inside a key."""
+    keys = _cols(keys)
+    ocols = _order_cols(_cols(order))
+    r = _range_partitioned(df, keys, ocols)
+    loc = r.withColumn("_rn_in", F.row_number().over(Window.partitionBy(_P, *keys).orderBy(*ocols)))
+    carry = r.groupBy(_P, *keys).agg(F.count(F.lit(1)).alias("_nb"))
+    wk = Window.partitionBy(*keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.select(_P, *keys, F.coalesce(F.sum("_nb").over(wk), F.lit(0)).alias("_before"))
+    y = _join_summary(loc, carry, [_P, *keys], ["_before"])
+    return y.withColumn(out, (F.col("_before") + F.col("_rn_in")).cast("int")).drop(_P, "_rn_in", "_before")
+
+
+def previous_event(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    payload: Sequence[str] = (), out: str = "prev") -> DataFrame:
     """``lag(struct(order..., payload...)) over (partition by keys order by order)``.
 
-    ``order`` must be a total order inside a key (add a unique tie-breaker),
-    and ``bucket`` a monotone function of the leading ordering column.
+    ``order`` must be a total order inside a key (add a unique tie-breaker).
     The result column ``out`` is a struct with the ordering and payload
     fields of the preceding row (NULL for the first row of a key).
     """
     keys, order, payload = _cols(keys), _cols(order), _cols(payload)
     ev = F.struct(*[F.col(c) for c in order + payload])
-    x = df.withColumn(_B, bucket).withColumn("_ev", ev)
-    x = x.withColumn("_prev_in", F.lag("_ev").over(Window.partitionBy(*keys, _B).orderBy(*order)))
-    # last event of each bucket: max of the struct is lexicographic in the ordering fields
-    s = x.groupBy(*keys, _B).agg(F.max("_ev").alias("_last"))
-    s = s.select(*keys, _B, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_B)).alias("_prev_b"))
-    y = _join_summary(x, s, [*keys, _B], ["_prev_b"])
-    return y.withColumn(out, F.coalesce("_prev_in", "_prev_b")).drop(_B, "_ev", "_prev_in", "_prev_b")
+    r = _range_partitioned(df.withColumn("_ev", ev), keys, [F.col(c).asc() for c in order])
+    loc = r.withColumn("_prev_in", F.lag("_ev").over(Window.partitionBy(_P, *keys).orderBy(*order)))
+    # last event of each (partition, key): max of the struct is lexicographic in the ordering fields
+    carry = r.groupBy(_P, *keys).agg(F.max("_ev").alias("_last"))
+    carry = carry.select(_P, *keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_P)).alias("_prev_b"))
+    y = _join_summary(loc, carry, [_P, *keys], ["_prev_b"])
+    return y.withColumn(out, F.coalesce("_prev_in", "_prev_b")).drop(_P, "_ev", "_prev_in", "_prev_b")

@@ -12,9 +12,8 @@ tables with :meth:`Airline.from_frames` and every job runs unchanged.
 
 Scale notes
 -----------
-* ``leg_num`` is a per-order row number.  It is computed in two levels
-  (row number inside ``(order, line number)`` plus a per-order prefix of
-  the group sizes) so that no single task has to hold a huge order.
+* ``leg_num`` is a per-order row number, computed by the parallel-scan
+  ``row_index`` so that no single task has to hold a huge order.
 * ``flight`` columns are pure functions of ``flight_id``; the table is the
   distinct flight ids of the legs (a partial aggregate, skew-safe).
 * ``passenger`` is a narrow ``explode`` of orders; ``boarding_pass`` is an
@@ -123,8 +122,7 @@ class Airline:
         if (g := self._given("booking_leg")) is not None:
             return g
         li = self._raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-        li = row_index(li, keys=["l_orderkey"], order=["l_linenumber", "l_suppkey", "l_partkey"],
-                       bucket="l_linenumber", out="leg_num")
+        li = row_index(li, keys=["l_orderkey"], order=["l_linenumber", "l_suppkey", "l_partkey"], out="leg_num")
         o = self._raw("orders").select("o_orderkey", "o_orderdate")
         legs = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
         d = (F.datediff(F.to_date("o_orderdate"), F.to_date(_ts(EPOCH))).cast("long")

@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from layover.functions.time import time_bucket
 from layover.operators.asof import next_booking_pairs, unmatched_first_booking
 from layover.operators.firsts import argmax_ties, first_per_key
 from layover.operators.histogram import equal_width
@@ -36,10 +35,10 @@ SCHEMA = "k LONG, ts TIMESTAMP_NTZ, id LONG, v INT"
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("width", [3600, 86400])
-def test_running_sum_equals_window(spark, seed, width):
-    df = spark.createDataFrame(_events(seed), SCHEMA)
-    got = running_sum(df, ["k"], "ts", time_bucket("ts", width), value=F.col("v"), out="r", total="n")
+@pytest.mark.parametrize("hot", [0.4, 0.9])
+def test_running_sum_equals_window(spark, seed, hot):
+    df = spark.createDataFrame(_events(seed, hot_share=hot), SCHEMA)
+    got = running_sum(df, ["k"], "ts", value=F.col("v"), out="r", total="n")
     w = Window.partitionBy("k").orderBy("ts")
     want = df.withColumn("r", F.sum("v").over(w).cast("long")).withColumn(
         "n", F.sum("v").over(Window.partitionBy("k")).cast("long"))
@@ -51,7 +50,7 @@ def test_running_sum_equals_window(spark, seed, width):
 def test_row_index_equals_row_number(spark, seed):
     rows = [(k, ts if i % 7 else None, i, v) for (k, ts, i, v) in _events(seed)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = row_index(df, ["k"], ["ts", "id"], time_bucket("ts", 3600), out="rn")
+    got = row_index(df, ["k"], ["ts", "id"], out="rn")
     w = Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_last(), "id")
     want = df.withColumn("rn", F.row_number().over(w))
     ok, why = same(got.toPandas(), want.toPandas())
@@ -61,7 +60,7 @@ def test_row_index_equals_row_number(spark, seed):
 @pytest.mark.parametrize("seed", [6, 7])
 def test_previous_event_equals_lag(spark, seed):
     df = spark.createDataFrame(_events(seed), SCHEMA)
-    got = previous_event(df, ["k"], ["ts", "id"], time_bucket("ts", 3600), payload=["v"], out="p")
+    got = previous_event(df, ["k"], ["ts", "id"], payload=["v"], out="p")
     got = got.select("k", "ts", "id", "v", F.col("p.id").alias("pid"), F.col("p.v").alias("pv"))
     w = Window.partitionBy("k").orderBy("ts", "id")
     want = df.select("k", "ts", "id", "v", F.lag("id").over(w).alias("pid"), F.lag("v").over(w).alias("pv"))
@@ -69,6 +68,26 @@ def test_previous_event_equals_lag(spark, seed):
     assert ok, why
 
 
+def test_hot_key_spans_partitions_and_ties_collapse(spark):
+    """One key holds 90 % of the rows and one timestamp of it 1,000 copies:
+    the scan splits the key over several partitions, and the result still
+    equals the single-task window."""
+    from layover.operators.ordered import _range_partitioned
+
+    rows = [(0, T0, i, 1) for i in range(1000)]  # a group of copies
+    rows += [(0, T0 + timedelta(minutes=i), 1000 + i, 1) for i in range(2000)]
+    rows += [(k, T0 + timedelta(minutes=k), 5000 + k, 1) for k in range(1, 300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = _range_partitioned(df, ["k"], [F.col("ts").asc_nulls_last()])
+    spans = parts.where("k = 0").select("_pid").distinct().count()
+    assert spans > 1
+    got = running_sum(df, ["k"], "ts", out="r", total="n")
+    want = df.withColumn("r", F.count(F.lit(1)).over(Window.partitionBy("k").orderBy("ts")).cast("long")) \
+             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")).cast("long"))
+    ok, why = same(got.toPandas(), want.toPandas())
+    assert ok, why
+
+
 def test_global_index_and_ntile(spark):
     rnd = random.Random(9)
     rows = [(i, float(rnd.randint(0, 50))) for i in range(1003)]
@@ -149,7 +168,7 @@ def test_timeline_pairs_equal_range_join(spark, seed):
             a.append((acc, arr, i))
     bookings = spark.createDataFrame(b, "account_id LONG, booking_ts TIMESTAMP_NTZ, booking_id LONG")
     arrivals = spark.createDataFrame(a, "account_id LONG, arrival_ts TIMESTAMP_NTZ, arrival_id LONG")
-    got = next_booking_pairs(bookings, arrivals, bucket_seconds=86400 * 7)
+    got = next_booking_pairs(bookings, arrivals)
     want = _literal_pairs(spark, bookings, arrivals)
     ok, why = same(got.toPandas(), want.toPandas())
     assert ok, why
