@@ -174,12 +174,19 @@ def hierarchical_rate_fit(air: Airline, beta_prior: tuple[float, float] | None =
     """
     spark = air.spark
     stats = account_stats(air).checkpoint(eager=True)
-    tot = stats.agg(F.sum(F.col("d0") + F.col("d1")).alias("d"), F.sum(F.col("t0") + F.col("t1")).alias("t")).first()
-    centre = math.log(tot["d"] / tot["t"]) if tot["d"] and tot["t"] else -2.1
+    tot = stats.agg(*[F.sum(c).alias(c) for c in ("d0", "t0", "d1", "t1")]).first()
+    d, t = (tot["d0"] or 0) + (tot["d1"] or 0), (tot["t0"] or 0) + (tot["t1"] or 0)
+    centre = math.log(d / t) if d and t else -2.1
+
+    def log_rate(dd, tt):
+        return math.log(dd / tt) if dd and tt else centre
+
     priors = {"beta": beta_prior or (centre, BETA_PRIOR_SD),
               "beta_missed": beta_missed_prior or (centre, BETA_PRIOR_SD),
               "tau": tau_prior}
-    res = fit(stats, priors, (priors["beta"][0], priors["beta_missed"][0], tau_prior[0]))
+    # start from each group's pooled log rate (close to the mode when tau is small)
+    start = (log_rate(tot["d0"], tot["t0"]), log_rate(tot["d1"], tot["t1"]), tau_prior[0])
+    res = fit(stats, priors, start)
     rows = []
     for i, name in enumerate(("beta", "beta_missed", "tau")):
         est, se = float(res["theta"][i]), float(res["se"][i])

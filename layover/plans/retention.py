@@ -90,10 +90,10 @@ def trips_full(air: Airline) -> DataFrame:
     return air.stage("trips", lambda: _trips_full(air))
 
 
-def _trips_full(air: Airline) -> DataFrame:
+def _trips_full(air: Airline, summary: DataFrame | None = None) -> DataFrame:
     b = air.booking.select("booking_id", "account_id", "update_ts")
     b = running_sum(b, ["account_id"], "update_ts", out="cumulative_bookings", total="_n_account")
-    t = b.join(booking_summary(air), "booking_id", "left")
+    t = b.join(booking_summary(air) if summary is None else summary, "booking_id", "left")
     return t.select(
         "account_id", "booking_id",
         F.col("update_ts").alias("updat_ts"),
@@ -117,8 +117,9 @@ TRIPS_COLUMNS = ["account_id", "booking_id", "updat_ts", "scheduled_departure",
 # ---------------------------------------------------------------------------
 def trips(air: Airline) -> DataFrame:
     """One row per booking: last leg's times, missed flag, cumulative and
-    remaining bookings of the account."""
-    return trips_full(air).select(*TRIPS_COLUMNS)
+    remaining bookings of the account.  (Computed directly: as a job on its
+    own, each intermediate is used once, so nothing is staged.)"""
+    return _trips_full(air, summary=_booking_summary(air)).select(*TRIPS_COLUMNS)
 
 
 def _dataset_columns(t: DataFrame, air: Airline) -> DataFrame:
