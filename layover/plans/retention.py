@@ -58,22 +58,24 @@ def booking_summary(air: Airline) -> DataFrame:
     return air.stage("booking_summary", lambda: _booking_summary(air))
 
 
+LAST_LEG_COLUMNS = ("flight_id", "scheduled_departure", "scheduled_arrival", "actual_departure", "actual_arrival",
+                    "mins_since_last_flight_arrival")
+
+
 def _booking_summary(air: Airline) -> DataFrame:
+    # max_by keeps fixed-width buffers, so this is a hash aggregate with a
+    # map-side partial step (a struct max would force a sort-based aggregate)
     g = leg_gaps(air)
-    last = F.max(F.struct("leg_num", "flight_id", "scheduled_departure", "scheduled_arrival",
-                          "actual_departure", "actual_arrival", "mins_since_last_flight_arrival"))
     s = g.groupBy("booking_id").agg(
         F.min("mins_since_last_flight_arrival").alias("_min_gap"),
         F.count(F.lit(1)).alias("n_legs"),
-        last.alias("_last"),
+        *[F.max_by(c, "leg_num").alias(c) for c in LAST_LEG_COLUMNS],
     )
     return s.select(
         "booking_id",
         F.when(F.col("_min_gap") < MISSED_MINUTES, 1).otherwise(0).cast("int").alias("missed_flight_flag"),
         F.col("n_legs").cast("long").alias("n_legs"),
-        *[F.col("_last." + c).alias(c) for c in ("flight_id", "scheduled_departure", "scheduled_arrival",
-                                                  "actual_departure", "actual_arrival",
-                                                  "mins_since_last_flight_arrival")],
+        *LAST_LEG_COLUMNS,
     )
 
 
