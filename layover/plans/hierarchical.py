@@ -31,8 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layover.plans import retention
-from layover.plans.survival import _account_strata
+from layover.plans.survival import _account_strata, _survival_input
 from layover.sources.adapter import Airline
 
 NODES = 21
@@ -53,7 +52,7 @@ def _nodes() -> list[tuple[float, float]]:
 
 def account_stats(air: Airline) -> DataFrame:
     """d0, T0, d1, T1 per account (accounts with any exposure)."""
-    return _account_strata(retention.survival_rows(air)).where((F.col("t0") + F.col("t1")) > 0)
+    return _account_strata(_survival_input(air)).where((F.col("t0") + F.col("t1")) > 0)
 
 
 def _step_sql(nodes: list[tuple[float, float]]) -> list[list[str]]:

@@ -328,6 +328,12 @@ def survival_rows(air: Airline) -> DataFrame:
     return survival_events(air).drop("actual_arrival")
 
 
+def survival_export(air: Airline) -> DataFrame:
+    """The survival events as exported once for the rate models (the
+    reference's export step between its SQL and its models)."""
+    return air.export("survival_events", lambda: _survival_events(air))
+
+
 def survival_table(air: Airline) -> DataFrame:
     """Observed (censored_id 0) and censored (1) durations in days;
     censored rows only for accounts with an observed duration."""

@@ -55,7 +55,13 @@ def _r(c: Column) -> Column:
 # The survival table with its event time
 # ---------------------------------------------------------------------------
 def survival_events(air: Airline) -> DataFrame:
-    return retention.survival_events(air)
+    """The exported survival events (with the arrival that starts each duration)."""
+    return retention.survival_export(air)
+
+
+def _survival_input(air: Airline) -> DataFrame:
+    """The survival table the models read: the export, without the arrival time."""
+    return retention.survival_export(air).drop("actual_arrival")
 
 
 def _events(df: DataFrame) -> Column:
@@ -79,19 +85,19 @@ def _posterior(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # Jobs
 # ---------------------------------------------------------------------------
 def mean_days_to_next(air: Airline) -> DataFrame:
-    st = retention.survival_rows(air)
+    st = _survival_input(air)
     return st.agg(F.count(F.lit(1)).alias("n_rows"), _r(F.avg("days")).alias("mean_days"))
 
 
 def rate_posterior(air: Airline) -> DataFrame:
     """Pooled booking rate: exact Gamma posterior under right-censoring."""
-    return _posterior(retention.survival_rows(air))
+    return _posterior(_survival_input(air))
 
 
 def rate_posterior_by_missed(air: Airline) -> DataFrame:
     """Booking rate after a made (0) and a missed (1) flight, each with its own
     censored exposure."""
-    return _posterior(retention.survival_rows(air), ["missed_flight_flag"])
+    return _posterior(_survival_input(air), ["missed_flight_flag"])
 
 
 def _wilson_hilferty(a: Column, b: Column, z: float) -> Column:
@@ -146,7 +152,7 @@ def _per_account(st: DataFrame) -> DataFrame:
 
 def account_flights_by_missed(air: Airline) -> DataFrame:
     """Mean rows (flights) per account: accounts with exactly one missed vs none."""
-    acc = _per_account(retention.survival_rows(air)).where(F.col("n_missed") <= 1)
+    acc = _per_account(_survival_input(air)).where(F.col("n_missed") <= 1)
     g = F.when(F.col("n_missed") == 1, F.lit("one_missed")).otherwise(F.lit("none_missed"))
     return acc.groupBy(g.alias("accounts")).agg(F.count(F.lit(1)).alias("n_accounts"),
                                                 _r(F.avg("n_rows")).alias("mean_flights"))
@@ -154,14 +160,14 @@ def account_flights_by_missed(air: Airline) -> DataFrame:
 
 def missed_accounts(air: Airline) -> DataFrame:
     """All rows of accounts with at least one missed flight."""
-    st = retention.survival_rows(air)
+    st = _survival_input(air)
     m = st.where(F.col("missed_flight_flag") == 1).select("account_id")
     return st.join(m, "account_id", "left_semi")
 
 
 def account_index(air: Airline) -> DataFrame:
     """Dense 1..K index of the accounts of the survival table (by account id)."""
-    acc = retention.survival_rows(air).select("account_id").distinct()
+    acc = _survival_input(air).select("account_id").distinct()
     return global_index(acc, ["account_id"], out="account_index")
 
 
@@ -169,7 +175,7 @@ def account_sample(air: Airline, fraction: float = SAMPLE_FRACTION, seed: str =
     """Rows of all accounts with a missed flight plus those of the rest that
     fall in a fixed-size sample (round(fraction x K) accounts of all K, ranked
     by ``md5(account_id:seed)``: repeatable and independent of partitioning)."""
-    st = retention.survival_rows(air)
+    st = _survival_input(air)
     acc = _per_account(st).select("account_id", "n_missed")
     h = acc.withColumn("_h", F.md5(F.concat(F.col("account_id").cast("string"), F.lit(":" + seed))))
     ranked = global_index(h, ["_h", "account_id"], out="_rank")
@@ -180,7 +186,7 @@ def account_sample(air: Airline, fraction: float = SAMPLE_FRACTION, seed: str =
 
 def stratum_sufficient_stats(air: Airline) -> DataFrame:
     """Rows and exposure in the four strata observed/censored x made/missed."""
-    st = retention.survival_rows(air)
+    st = _survival_input(air)
     return st.groupBy("censored_id", "missed_flight_flag").agg(
         F.count(F.lit(1)).alias("n_rows"), _r(F.sum("days")).alias("exposure_days"))
 
@@ -203,7 +209,7 @@ def _shrink(per: DataFrame) -> DataFrame:
 
 def account_rate_shrinkage(air: Airline) -> DataFrame:
     """Per-account booking rate shrunk to the population (all accounts)."""
-    per = _per_account(retention.survival_rows(air))
+    per = _per_account(_survival_input(air))
     x = _shrink(per)
     return x.select("account_id", "events", _r(F.col("exposure_days")).alias("exposure_days"),
                     _r(F.try_divide(F.col("events"), F.col("exposure_days"))).alias("raw_rate"),
@@ -222,7 +228,7 @@ def _account_strata(st: DataFrame) -> DataFrame:
 
 def stratified_rate_ratio(air: Airline) -> DataFrame:
     """Mantel-Haenszel missed/made rate ratio within accounts."""
-    s = _account_strata(retention.survival_rows(air))
+    s = _account_strata(_survival_input(air))
     tot = F.col("t0") + F.col("t1")
     num = F.when(tot > 0, F.col("d1") * F.col("t0") / tot).otherwise(0.0)
     den = F.when(tot > 0, F.col("d0") * F.col("t1") / tot).otherwise(0.0)
@@ -241,7 +247,7 @@ def rate_deciles(air: Airline, probs: Sequence[float] = DECILES) -> DataFrame:
 
 def posterior_histogram(air: Airline, bins: int = 30) -> DataFrame:
     """Histogram of shrunk account rates, by whether the account missed a flight."""
-    st = retention.survival_rows(air)
+    st = _survival_input(air)
     per = _shrink(_per_account(st)).withColumn(
         "has_missed", F.when(F.col("n_missed") > 0, 1).otherwise(0))
     h = equal_width(per, "shrunk_rate", bins, group="has_missed")

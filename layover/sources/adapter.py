@@ -59,21 +59,38 @@ def _ts(s: str) -> Column:
 class Airline:
     """Lazily derived airline tables (each one a DataFrame plan)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str | None = None, frames: dict | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, frames: dict | None = None,
+                 exports: dict | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames = frames or {}
         self._staged: dict[str, DataFrame] = {}
+        self._exports: dict[str, DataFrame] = {} if exports is None else exports
 
     # -- per-job staging -------------------------------------------------------
     def fork(self) -> "Airline":
         """A fresh job context over the same tables (staged results not shared)."""
-        a = Airline(self.spark, self.sf_dir, dict(self._frames))
+        a = Airline(self.spark, self.sf_dir, dict(self._frames), exports=self._exports)
         for name in TABLES:
             if name in self.__dict__:
                 a.__dict__[name] = self.__dict__[name]
         return a
 
+    def export(self, name: str, build) -> DataFrame:
+        """Compute ``build()`` once for these tables and keep it as Parquet in the
+        shared checkpoint folder; shared by every job context forked from the
+        same tables.  This is the reference's export step (its SQL writes the
+        survival inputs once and every model reads them)."""
+        if name not in self._exports:
+            import uuid
+
+            from layover.session import checkpoint_dir, register_scratch
+
+            root = register_scratch(self.spark, f"{checkpoint_dir(self.spark)}/export-{uuid.uuid4().hex}")
+            build().write.mode("overwrite").parquet(f"{root}/{name}")
+            self._exports[name] = self.spark.read.parquet(f"{root}/{name}")
+        return self._exports[name]
+
     def stage(self, name: str, build) -> DataFrame:
         """Compute ``build()`` once in this job context and store it as Parquet in
         the shared checkpoint folder; later uses in the job scan the stored copy
