@@ -40,7 +40,7 @@ BETA_PRIOR_SD = 0.1
 MAX_STEP = 0.3
 TAU_MIN = 0.001
 MAX_ITER = 30
-TOL = 1e-7
+TOL = 1e-6  # step size; the standard errors are orders of magnitude larger
 
 _FIELDS = ("w", "gb", "gm", "gt", "hbb", "hmm", "htt", "hbt", "hmt", "gbgb", "gmgm", "gtgt", "gbgm", "gbgt", "gmgt")
 
@@ -173,7 +173,9 @@ def hierarchical_rate_fit(air: Airline, beta_prior: tuple[float, float] | None =
     """
     spark = air.spark
     stats = account_stats(air).checkpoint(eager=True)
-    tot = stats.agg(*[F.sum(c).alias(c) for c in ("d0", "t0", "d1", "t1")]).first()
+    d_, t_ = F.col("d0") + F.col("d1"), F.col("t0") + F.col("t1")
+    tot = stats.agg(*[F.sum(c).alias(c) for c in ("d0", "t0", "d1", "t1")],
+                    F.sum(d_ * d_).alias("dd"), F.sum(d_ * t_).alias("dt"), F.sum(t_ * t_).alias("tt")).first()
     d, t = (tot["d0"] or 0) + (tot["d1"] or 0), (tot["t0"] or 0) + (tot["t1"] or 0)
     centre = math.log(d / t) if d and t else -2.1
 
@@ -184,7 +186,13 @@ def hierarchical_rate_fit(air: Airline, beta_prior: tuple[float, float] | None =
               "beta_missed": beta_missed_prior or (centre, BETA_PRIOR_SD),
               "tau": tau_prior}
     # start from each group's pooled log rate (close to the mode when tau is small)
-    start = (log_rate(tot["d0"], tot["t0"]), log_rate(tot["d1"], tot["t1"]), tau_prior[0])
+    # tau from the moments of the account rates: CV^2 = exp(tau^2) - 1 for log-normal rates
+    tau0 = tau_prior[0]
+    if d and t and tot["tt"]:
+        m = d / t
+        v = (tot["dd"] - 2 * m * tot["dt"] + m * m * tot["tt"] - d) / tot["tt"]
+        tau0 = max(math.sqrt(math.log1p(max(v, 0.0) / (m * m))), TAU_MIN)
+    start = (log_rate(tot["d0"], tot["t0"]), log_rate(tot["d1"], tot["t1"]), tau0)
     res = fit(stats, priors, start)
     rows = []
     for i, name in enumerate(("beta", "beta_missed", "tau")):

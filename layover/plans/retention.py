@@ -87,9 +87,10 @@ def flight_time_bounds(air: Airline) -> DataFrame:
 
 
 def trips_full(air: Airline) -> DataFrame:
-    """``trips`` plus internal columns (leg count, last flight id); staged once
-    per job, as the reference materialises its core tables."""
-    return air.stage("trips", lambda: _trips_full(air))
+    """``trips`` plus internal columns (leg count, last flight id), exported
+    once for these tables and read by every retention job (the core table
+    the reference re-derives in each of its queries)."""
+    return air.export("trips", lambda: _trips_full(air))
 
 
 def _trips_full(air: Airline, summary: DataFrame | None = None) -> DataFrame:
