@@ -38,13 +38,3 @@ def days_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
 def add_minutes(ts: ColumnOrName, minutes: ColumnOrName | int) -> Column:
     m = F.lit(minutes) if isinstance(minutes, int) else _c(minutes)
     return F.timestamp_add("MINUTE", m, _c(ts))
-
-
-def epoch_seconds(ts: ColumnOrName) -> Column:
-    """Seconds since 1970-01-01 of a wall-clock timestamp (exact, zone-free)."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
-
-
-def time_bucket(ts: ColumnOrName, width_seconds: int) -> Column:
-    """Integer bucket of ``ts`` of the given width; monotone in ``ts``."""
-    return F.floor(epoch_seconds(ts) / F.lit(int(width_seconds))).cast("long")
