@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from layover.functions.time import days_between, minutes_between, seconds_between
 from layover.operators.histogram import equal_width
 from layover.operators.sorting import pg_sort
-from layover.plans.retention import booking_summary, leg_gaps, non_censored_flights
+from layover.plans.retention import MISSED_MINUTES, leg_gaps, non_censored_flights
 from layover.sources.adapter import Airline
 from layover.sources.files import read_csv, write_csv
 from layover.session import checkpoint_dir, register_scratch
@@ -89,13 +89,14 @@ def missed_connections(air: Airline) -> DataFrame:
     """Per leg: minutes since the previous leg's arrival; the booking is
     flagged when any gap is under five minutes."""
     g = leg_gaps(air)
-    flags = booking_summary(air).select("booking_id", "missed_flight_flag")
+    # min(gap) over (partition by booking_id) as a partial aggregate joined back
+    flags = g.groupBy("booking_id").agg(F.min("mins_since_last_flight_arrival").alias("_min_gap"))
     x = g.join(flags, "booking_id", "left")
-    return x.select("booking_id", "flight_id", "leg_num", "actual_departure", "actual_arrival",
-                    "mins_since_last_flight_arrival",
-                    F.when(F.col("missed_flight_flag") == 1, F.lit("Missed_flight"))
-                     .otherwise(F.lit("Made_flight")).alias("missed_flight_flag")).transform(
-        lambda d: pg_sort(d, "booking_id", "leg_num"))
+    x = x.select("booking_id", "flight_id", "leg_num", "actual_departure", "actual_arrival",
+                 "mins_since_last_flight_arrival",
+                 F.when(F.col("_min_gap") < MISSED_MINUTES, F.lit("Missed_flight"))
+                  .otherwise(F.lit("Made_flight")).alias("missed_flight_flag"))
+    return pg_sort(x, "booking_id", "leg_num")
 
 
 def delayed_flight_customers(air: Airline, n: int = TOP_DELAYED) -> DataFrame:
