@@ -14,7 +14,7 @@ def _q(body: str, *extra: str) -> str:
 POST = f"""
 post AS (
   SELECT missed_flight_flag, n_events, n_censored, exposure_days,
-         0.8 + n_events AS a, 0.33 + exposure_days AS b
+         CAST(0.8 AS DOUBLE) + n_events AS a, 0.33 + exposure_days AS b
   FROM (SELECT missed_flight_flag,
                CAST(sum(CASE WHEN censored_id = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_events,
                CAST(sum(CASE WHEN censored_id = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_censored,
@@ -66,7 +66,7 @@ ORACLE = {
 SELECT {POST_COLS}
 FROM (SELECT sum(n_events) AS n_events_, sum(n_censored) AS n_censored_, sum(exposure_days) AS e_ FROM post) x,
      LATERAL (SELECT CAST(n_events_ AS BIGINT) AS n_events, CAST(n_censored_ AS BIGINT) AS n_censored,
-                     e_ AS exposure_days, 0.8 + n_events_ AS a, 0.33 + e_ AS b)""", POST.replace(
+                     e_ AS exposure_days, CAST(0.8 AS DOUBLE) + n_events_ AS a, 0.33 + e_ AS b)""", POST.replace(
         "FROM surv GROUP BY missed_flight_flag", "FROM surv GROUP BY missed_flight_flag")),
     "rate_posterior_by_missed": _q(f"SELECT missed_flight_flag, {POST_COLS} FROM post", POST),
     "rate_interval": _q(f"""
@@ -80,11 +80,11 @@ SELECT missed_flight_flag, round(CASE WHEN a > 1 THEN b / (a - 1) END, {R}) AS m
     "survival_at_horizon": _q(f"""
 SELECT missed_flight_flag, h AS horizon_days, round(exp(-(round(a / b, {R})) * h), {R}) AS survival_at_mean_rate,
        round(power(b / (b + h), a), {R}) AS survival_predictive
-FROM post CROSS JOIN (SELECT unnest([1.0, 7.0, 30.0, 90.0, 365.0]) AS h)""", POST),
+FROM post CROSS JOIN (SELECT unnest([1.0, 7.0, 30.0, 90.0, 365.0]::DOUBLE[]) AS h)""", POST),
     "time_quantile": _q(f"""
 SELECT missed_flight_flag, u AS share_booked, round(-ln(1.0 - u) / round(a / b, {R}), {R}) AS days_at_mean_rate,
        round(b * (power(1.0 - u, -1.0 / a) - 1), {R}) AS days_predictive
-FROM post CROSS JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.9]) AS u)""", POST),
+FROM post CROSS JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS u)""", POST),
     "account_flights_by_missed": _q(f"""
 SELECT CASE WHEN n_missed = 1 THEN 'one_missed' ELSE 'none_missed' END AS accounts, count(*) AS n_accounts,
        round(avg(n_rows), {R}) AS mean_flights
@@ -124,7 +124,7 @@ FROM (SELECT t0, t1, CASE WHEN t0 + t1 > 0 THEN d1 * t0 / (t0 + t1) ELSE 0.0 END
     "rate_deciles": _q(f"""
 SELECT CAST(i - 1 AS INTEGER) AS q, ps[i] AS p, round(qs[i], {R}) AS quantile
 FROM (SELECT quantile_cont(shrunk_rate, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs,
-             [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9] AS ps FROM shr)
+             [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[] AS ps FROM shr)
 CROSS JOIN (SELECT unnest(range(1, 10)) AS i)""", PER, SHRINK),
     "calibration_summary": _q(f"""
 SELECT count(*) AS n_accounts, round(avg(estimate - actual), {R}) AS mean_error,

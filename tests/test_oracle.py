@@ -27,3 +27,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert "rate_mean" in df.columns
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_job_types_match_oracle(spark, duck, name):
+    """Column names and declared types agree (no DECIMAL/HUGEINT drift in the SQL)."""
+    want = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    got = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in E.queries()[name](spark, SF_SMALL).schema.fields}
+    assert got == want
