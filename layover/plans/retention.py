@@ -37,7 +37,7 @@ def leg_flights(air: Airline) -> DataFrame:
     return legs.join(f, "flight_id", "left")
 
 
-def leg_gaps(air: Airline) -> DataFrame:
+def leg_gaps(air: Airline, bookings: DataFrame | None = None) -> DataFrame:
     """Per leg: ``round(minutes(actual_departure - lag(actual_arrival)), 0)``.
 
     The lag over ``leg_num`` inside a booking is an equi-join with the
@@ -45,6 +45,8 @@ def leg_gaps(air: Airline) -> DataFrame:
     consecutive), so no window groups a whole booking into one task.
     """
     lf = leg_flights(air)
+    if bookings is not None:  # only the legs of these bookings
+        lf = lf.join(bookings.select("booking_id"), "booking_id", "left_semi")
     prev = lf.select("booking_id", (F.col("leg_num") + 1).alias("leg_num"),
                      F.col("actual_arrival").alias("_prev_arrival"))
     g = lf.join(prev, ["booking_id", "leg_num"], "left")
@@ -298,7 +300,11 @@ def censored_accounts(air: Airline) -> DataFrame:
         "account_id", "booking_id", "flight_id", "update_ts", "actual_arrival", "scheduled_arrival")
     rows = legs.join(per.withColumn("actual_arrival", F.col("max_arrival_by_account")),
                      ["account_id", "actual_arrival"], "inner")
-    flags = booking_summary(air).select("booking_id", "missed_flight_flag")
+    # the missed flag is needed for the (few) censored bookings only
+    gaps = leg_gaps(air, bookings=rows.select("booking_id").distinct())
+    flags = gaps.groupBy("booking_id").agg(
+        F.when(F.min("mins_since_last_flight_arrival") < MISSED_MINUTES, 1).otherwise(0)
+         .cast("int").alias("missed_flight_flag"))
     rows = rows.join(flags, "booking_id", "left")
     ends = scalar_row(air.booking, end_of_dataset=F.max("update_ts")).crossJoin(
         scalar_row(air.flight, last_flight=F.max("actual_arrival")))
