@@ -91,6 +91,10 @@ class Airline:
             self._exports[name] = self.spark.read.parquet(f"{root}/{name}")
         return self._exports[name]
 
+    def staged(self, name: str) -> DataFrame | None:
+        """The result staged under ``name`` in this job context, if any."""
+        return self._staged.get(name)
+
     def stage(self, name: str, build) -> DataFrame:
         """Compute ``build()`` once in this job context and store it as Parquet in
         the shared checkpoint folder; later uses in the job scan the stored copy
