@@ -23,6 +23,32 @@ from s join reach on reach.r = s.r join s z on z.r = reach.t
 group by s.r, s.doc_id
 """
 
+_OP6 = r"""
+with recursive k as (
+  select row_number() over () as r, doc_id, coalesce(strlen(text), 0) + 1 as size, md5(coalesce(doc_id::varchar, '')) as h,
+         hex(encode(coalesce(text, ''))) as bytes
+  from documents),
+jump(r, key, pos, shard, grown) as (
+  select r, ('0x' || substr(h, 1, 8))::bigint::hugeint * 4294967296 + ('0x' || substr(h, 9, 8))::bigint, 0::bigint, 0::bigint, 0::bigint
+  from k
+  union all
+  select r, n, floor((pos + 1) * (2147483648.0::double / ((n // 8589934592)::bigint + 1)))::bigint,
+         case when pos < 16 then pos else shard end, pos
+  from (select *, (key * 2862933555777941757::hugeint + 1) % 18446744073709551616::hugeint as n from jump where pos <= 16)),
+last as (select r, arg_max(shard, pos) as shard, arg_max(grown, pos) as grown from jump group by r),
+crc as (
+  select r, xor(4294967295::ubigint, list_reduce(
+      list_transform(range(0, strlen(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::ubigint),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[],
+                               lambda a, z: xor(a >> 1, 3988292384::ubigint * (a & 1))),
+      4294967295::ubigint))::bigint as crc
+  from k)
+select doc_id, size::bigint as size, crc as text_crc32, 'key' as law, shard::int as shard,
+       row_number() over (partition by shard order by doc_id nulls first, crc, size) - 1 as slot, grown::int as grown_shard
+from k join last using (r) join crc using (r)
+"""
+
 ORACLE = {
     "op1_ngram_jaccard_join": _OP1,
+    "op6_sharding": _OP6,
 }

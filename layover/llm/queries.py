@@ -20,6 +20,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"))
 
 
+def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from layover.llm.bpe import decode, encode, little_endian
+
+    prepare(spark)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    out = decode(ids, path, keep=("doc_id", "ids")).withColumn("decoded", F.sha2("decoded", 256))
+    out = little_endian(out, keep=("doc_id", "ids", "decoded"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2("id_bytes", 256).alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.sharding import shard_rows
+
+    return shard_rows(read(spark, sf_dir, "documents"), 16)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_byte_level_bpe": op5_byte_level_bpe,
+    "op6_sharding": op6_sharding,
 }
