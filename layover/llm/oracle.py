@@ -48,7 +48,18 @@ select doc_id, size::bigint as size, crc as text_crc32, 'key' as law, shard::int
 from k join last using (r) join crc using (r)
 """
 
+_OP9 = r"""
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+g as (select d, max(page_id) as top from p where n >= 1000 group by d having count(*) > 1)
+select page_id, n::bigint as payload_bytes, p.d as payload_digest,
+       case when g.top is null or g.top is not distinct from page_id then 'response' else 'revisit' end as record_type,
+       case when g.top is not null and g.top is distinct from page_id then g.top end as refers_to
+from p left join g on p.d = g.d and p.n >= 1000
+"""
+
 ORACLE = {
     "op1_ngram_jaccard_join": _OP1,
     "op6_sharding": _OP6,
+    "op9_warc": _OP9,
 }

@@ -40,8 +40,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"), 16)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.common import scratch
+    from layover.llm.warc import read_archives, with_full_payload, write_archives
+
+    path = write_archives(read(spark, sf_dir, "pages"), scratch(prepare(spark), "archives"))
+    r = with_full_payload(read_archives(spark, path))
+    return r.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest",
+                    F.col("type").alias("record_type"), F.col("refers_to_row").alias("refers_to"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_sharding": op6_sharding,
+    "op9_warc": op9_warc,
 }
