@@ -20,6 +20,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.html_extraction import extract
+
+    prepare(spark)
+    t = extract(read(spark, sf_dir, "pages"))
+    return t.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.language_id import held_out, identify
+
+    docs = read(prepare(spark), sf_dir, "documents")
+    return identify(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: rules of the contract: (verdict, host/path)
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.url_filter import judge
+
+    return judge(read(prepare(spark), sf_dir, "pages"), URL_RULES)
+
+
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +66,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"), 16)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.quality import judge
+
+    prepare(spark)
+    q = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layover.llm.common import scratch
     from layover.llm.warc import read_archives, with_full_payload, write_archives
@@ -52,7 +86,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
     "op9_warc": op9_warc,
 }
