@@ -114,7 +114,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(fine[int(np.argmin([loss(t) for t in fine]))])
 
 
-def fit(docs: DataFrame, learn: Column, lang: str = "lang", sample_rows: int = 4000, epochs: int = 3, alpha: float = 0.5,
+def fit(docs: DataFrame, learn: Column, lang: str = "lang", sample_rows: int = 4000, epochs: int = 3, alpha: float = 2.0,
         beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> dict:
     """Model from the rows of ``docs(doc_id, text, lang)`` where ``learn``."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).select(

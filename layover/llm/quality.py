@@ -1,7 +1,9 @@
 """Quality rules: isolation forest on rule statistics.
 
-One pass over the texts counts the rule statistics of every document.  An
-isolation forest is grown on a sample of these rows (``trees`` trees, each
+One pass over the texts counts the rule statistics of every document; a
+statistic enters as the excess over its rule's limits (``LIMITS``), so
+that ordinary variation within them is no anomaly.  An isolation forest is
+grown on a sample of these rows (``trees`` trees, each
 on ``leaf_rows`` of at most ``sample_rows`` rows with the least hashes):
 every node splits a random statistic at a random place, and a document that
 few splits separate from the rest is anomalous.  The score is
@@ -47,6 +49,13 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
           "n_digits", "n_loud", "n_distinct"]
 FEATURES = ["word_length", "symbols", "dup_lines", "repeat_words", "upper", "digits", "loud", "sameness"]
 
+# Limits of the rules: code points a word; symbols a word; share of repeated
+# lines; share of words in repeated windows; share of capitals among A-Z and
+# a-z; digits among the code points of words; ! and ? a word; how far the
+# logarithm of the distinct words stays below that of all words.
+LIMITS = {"word_length": (3, 10), "symbols": (0, 0.1), "dup_lines": (0, 0.3), "repeat_words": (0, 0.3), "upper": (0, 0.3),
+          "digits": (0, 0.2), "loud": (0, 0.2), "sameness": (0, 0.15)}
+
 
 def _count(b: bytes, those: bytes) -> int:
     return len(b) - len(b.translate(None, those))
@@ -76,11 +85,14 @@ def rule_counts(text: str | None, cache: WordHash) -> tuple[int, ...]:
 
 
 def _features(c: np.ndarray) -> np.ndarray:
-    """COUNTS (rows x columns) -> FEATURES."""
+    """COUNTS (rows x columns) -> FEATURES: by how much a statistic leaves
+    the limits of its rule, 0 within them."""
     n, chars, symbols, dup, rep, lines, up, low, digits, loud, distinct = c.astype(np.float64).T
     per = lambda a, b: a / np.maximum(b, 1)
-    return np.column_stack([per(chars, n), per(symbols, n), per(dup, lines), per(rep, n), per(up, up + low), per(digits, chars),
-                            per(loud, n), 1 - per(np.log1p(distinct), np.log1p(n))])
+    values = np.column_stack([per(chars, n), per(symbols, n), per(dup, lines), per(rep, n), per(up, up + low), per(digits, chars),
+                              per(loud, n), 1 - per(np.log1p(distinct), np.log1p(n))])
+    low, high = (np.array([LIMITS[f][i] for f in FEATURES]) for i in (0, 1))
+    return np.maximum(0, np.maximum(low - values, values - high)) / high
 
 
 def _mean_path(n: float) -> float:
