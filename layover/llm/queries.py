@@ -74,6 +74,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.decontamination import contaminated
+
+    prepare(spark)
+    m = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return m.select("doc_id", "item_id", "distance", "length", "start", "end")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layover.llm.common import scratch
     from layover.llm.warc import read_archives, with_full_payload, write_archives
@@ -84,6 +92,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("type").alias("record_type"), F.col("refers_to_row").alias("refers_to"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.pii import KINDS, find
+
+    f = find(read(prepare(spark), sf_dir, "documents"))
+    name = F.array(*[F.lit(k) for k in KINDS])
+    joined = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
+        ":", name[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return f.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+                    F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                    joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -92,5 +113,7 @@ QUERIES = {
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
