@@ -83,6 +83,60 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class WordScanner:
+    """Words of many texts at once, without a Python object for each word.
+
+    A word is a run of bytes of ``word`` (256 flags).  Its hash comes from
+    prefix sums of ``table[byte] * base^position`` modulo 2^64, moved to
+    position 0 by the inverse power of its start, and is then mixed."""
+
+    CHUNK = 1 << 17  # bytes hashed at once; a longer text is hashed alone
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, word: np.ndarray):
+        self.word = word
+        self.table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, 1 << 20)
+            for name, base in (("power", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x, dtype=np.uint64))
+
+    def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        a = np.frombuffer(b"\n".join(texts), np.uint8)
+        self._grow(len(a) + 1)
+        step = np.diff(self.word[a].astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(self.table[a] * self.power[:len(a)], out=sums[1:])
+        h = mix64((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return h, np.searchsorted(start, offsets)
+
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in order, bounds: text i has the words
+        ``bounds[i]:bounds[i + 1]``)."""
+        hashes, counts, part, size = [], [np.zeros(1, np.int64)], [], 0
+        for i, t in enumerate(texts):
+            part.append(t)
+            size += len(t) + 1
+            if size >= self.CHUNK or i + 1 == len(texts):
+                h, b = self._chunk(part)
+                hashes.append(h)
+                counts.append(np.diff(b))
+                part, size = [], 0
+        return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.cumsum(np.concatenate(counts))
+
+
+#: bytes other than the six ASCII white space characters
+UNSPACED = ~np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: ASCII letters and digits, and all bytes of other characters
+ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

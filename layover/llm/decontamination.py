@@ -39,13 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layover.llm.common import WordHash, mix64, prepare, staged, text_key
+from layover.llm.common import ALPHANUMERIC, WordScanner, mix64, prepare, staged, text_key
 
 BLOCK_ITEMS = 2_000  # items sent to the tasks at once
-WALKS, TABLES, BITS = 5, 3, 5
+WALKS, TABLES, BITS = 5, 2, 5
 MAX_EDIT = 0.2
-_WORD = re.compile(r"\w+")
+# words: runs of other characters than ASCII and general punctuation and spaces
+_ODD = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u303f]")
+_WORD = re.compile("[^\\x00-/:-@\\[-`{-\x7f\xa0-\xbf\u2000-\u206f\u3000-\u303f]+")
 _SLOTS = 1 << 18
+_TOP = np.uint64(63)
+
+
+def _plain(text: str) -> bytes:
+    """Lower-cased UTF-8 with general punctuation as spaces."""
+    t = text.lower()
+    return (_ODD.sub(" ", t) if not t.isascii() else t).encode()
 
 
 def _ladder(words: int) -> int:
@@ -79,7 +88,9 @@ def signatures(h: np.ndarray, start: np.ndarray, w: int, walk: int) -> list[np.n
         for t in range(TABLES):
             if j in places[t]:
                 out[t] = (out[t] ^ here) * np.uint64(0xD6E8FEB86659FD93)
-        at += ((here * odd[j]) >> np.uint64(63)).astype(np.int64)
+        np.multiply(here, odd[j], out=here)
+        np.right_shift(here, _TOP, out=here)
+        at += here.view(np.int64)
     return [x ^ (x >> np.uint64(32)) for x in out]
 
 
@@ -113,23 +124,22 @@ def edit_match(item: str, text: str) -> tuple[int, int, int]:
     return best, end - back, end
 
 
-def _index(items: list[tuple], cache: WordHash) -> dict:
+def _index(items: list[tuple]) -> dict:
     """Per window size and (walk, table): sorted samples with item and shift."""
-    by: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
-    for k, (_, text) in enumerate(items):
-        words = _WORD.findall((text or "").lower())
-        if words:
-            by[_ladder(len(words))].append((k, words))
+    words, bounds = WordScanner(ALPHANUMERIC).scan([_plain(text) for _, text in items])
+    by: dict[int, list[int]] = defaultdict(list)
+    for k, size in enumerate(np.diff(bounds)):
+        if size:
+            by[_ladder(int(size))].append(k)
     out = {}
     for w, group in by.items():
-        h = cache.array([x.encode() for _, words in group for x in words] + [b""] * w)
-        start, item, shift, at = [], [], [], 0
-        for k, words in group:
-            n = min(_stride(w), len(words) - w + 1)
-            start += range(at, at + n)
+        h = np.concatenate((words, np.zeros(w, np.uint64)))
+        start, item, shift = [], [], []
+        for k in group:
+            n = min(_stride(w), int(bounds[k + 1] - bounds[k]) - w + 1)
+            start += range(int(bounds[k]), int(bounds[k]) + n)
             item += [k] * n
             shift += range(n)
-            at += len(words)
         tables = []
         for walk in range(WALKS):
             for s in signatures(h, np.array(start, np.int64), w, walk):
@@ -152,13 +162,14 @@ def _candidates(h: np.ndarray, bounds: np.ndarray, index: dict) -> dict[int, set
         doc = np.repeat(np.arange(len(n)), n)
         start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * s + first[doc]
         padded = np.concatenate((h, np.zeros(w + 1, np.uint64)))
-        for lo in range(0, len(start), 1 << 15):
-            part = start[lo:lo + (1 << 15)]
+        for lo in range(0, len(start), 1 << 14):
+            part = start[lo:lo + (1 << 14)]
             for walk in range(WALKS):
                 for t, sig in enumerate(signatures(padded, part, w, walk)):
                     known, item, shift, slots = tables[walk * TABLES + t]
-                    for i in np.flatnonzero(slots[(sig & np.uint64(_SLOTS - 1)).astype(np.int64)]):
-                        a, z = np.searchsorted(known, sig[i], "left"), np.searchsorted(known, sig[i], "right")
+                    hits = np.flatnonzero(slots[(sig & np.uint64(_SLOTS - 1)).view(np.int64)])
+                    left, right = (np.searchsorted(known, sig[hits], side) for side in ("left", "right"))
+                    for i, a, z in zip(*(x[left < right].tolist() for x in (hits, left, right)), strict=True):
                         d = int(doc[lo + i])
                         for k in range(a, z):
                             found[d].add((int(item[k]), int(part[i] - first[d] - shift[k])))
@@ -204,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     for block in range(blocks):
         items = [tuple(r) for r in bench.where(block_of == block).orderBy("item_id", "text").collect()]
-        sent = spark.sparkContext.broadcast((items, _index(items, WordHash())))
+        sent = spark.sparkContext.broadcast((items, _index(items)))
         out = out.union(d.mapInArrow(_search(sent), kind))
     return staged(out, "matches")
 
@@ -212,16 +223,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _search(sent):
     def run(batches):
         items, index = sent.value
-        plain, words_of, cache = {}, {}, WordHash()
+        plain, words_of, scanner = {}, {}, WordScanner(ALPHANUMERIC)
         for k, (_, text) in enumerate(items):
             words = _WORD.findall(text.lower())
             plain[k], words_of[k] = " ".join(words), len(words)
         for b in batches:
             rows = []
             texts = [t or "" for t in b.column(2).to_pylist()]
-            hashes = [cache.array([x.encode() for x in _WORD.findall(t.lower())]) for t in texts]
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in hashes]))).astype(np.int64)
-            h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            h, bounds = scanner.scan([_plain(t) for t in texts])
             for i, places in _candidates(h, bounds, index).items():
                 for k, distance, start, end in _verified(texts[i], places, items, plain, words_of):
                     rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), items[k][0], distance, len(plain[k]), start, end))
