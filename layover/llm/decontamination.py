@@ -13,7 +13,8 @@ written out and the walk moves on if a random bit of (walk, step, word) is
 set.  Equal windows have equal embeddings, and an edit changes few places,
 because walks fall back into step after it: edit distance becomes Hamming
 distance.  A table samples ``bits`` places of an embedding; windows whose
-samples are equal in one of ``walks * tables`` tables are candidates.
+samples are equal in one of ``walks * tables`` tables, and whose whole
+embeddings of that walk agree on ``AGREE`` of their places, are candidates.
 
 Every candidate is verified exactly: the least edit distance (characters of
 the normalised texts) between the item and any part of the document around
@@ -42,7 +43,8 @@ from pyspark.sql import functions as F
 from layover.llm.common import ALPHANUMERIC, WordScanner, mix64, prepare, staged, text_key
 
 BLOCK_ITEMS = 2_000  # items sent to the tasks at once
-WALKS, TABLES, BITS = 5, 2, 5
+WALKS, TABLES, BITS = 6, 2, 5
+AGREE = 0.55  # share of equal places of a candidate's embeddings
 MAX_EDIT = 0.2
 # words: runs of other characters than ASCII and general punctuation and spaces
 _ODD = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u303f]")
@@ -74,16 +76,21 @@ def _random(seed: int, n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919 + 1)) | np.uint64(1)
 
 
+def _places(w: int, walk: int) -> list[set[int]]:
+    """Sampled steps of each table: one from each of equal parts of the walk,
+    so that a sample does not stay on one word."""
+    rng = np.random.default_rng((walk, w))
+    cuts = np.linspace(0, w, min(BITS, w) + 1).astype(int)
+    return [{int(rng.integers(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)} for _ in range(TABLES)]
+
+
 def signatures(h: np.ndarray, start: np.ndarray, w: int, walk: int) -> list[np.ndarray]:
     """Bit samples of the embeddings of the windows of w words at ``start``:
     one array for each table of the walk.  ``h`` has w words to spare."""
-    odd = _random(walk, w)
-    rng = np.random.default_rng((walk, w))
-    places = [set(rng.choice(w, min(BITS, w), replace=False).tolist()) for _ in range(TABLES)]
-    last = max(max(p) for p in places)
+    odd, places = _random(walk, w), _places(w, walk)
     out = [np.full(len(start), t + 1, np.uint64) for t in range(TABLES)]
     at = start.copy()
-    for j in range(last + 1):
+    for j in range(1 + max(max(p) for p in places)):
         here = h[at]
         for t in range(TABLES):
             if j in places[t]:
@@ -94,9 +101,20 @@ def signatures(h: np.ndarray, start: np.ndarray, w: int, walk: int) -> list[np.n
     return [x ^ (x >> np.uint64(32)) for x in out]
 
 
-def edit_match(item: str, text: str) -> tuple[int, int, int]:
+def embedding(h: np.ndarray, start: np.ndarray, w: int, walk: int) -> np.ndarray:
+    """Whole embeddings (windows x w), 16 bits of each word's hash."""
+    odd, at, out = _random(walk, w), start.copy(), np.empty((len(start), w), np.uint16)
+    for j in range(w):
+        here = h[at]
+        out[:, j] = here >> np.uint64(48)
+        at += ((here * odd[j]) >> _TOP).view(np.int64)
+    return out
+
+
+def edit_match(item: str, text: str, allowed: int) -> tuple[int, int, int] | None:
     """(distance, start, end): the part of ``text`` of least edit distance to
-    the whole item; the first end, then the longest part (bit-parallel)."""
+    the whole item; the first end, then the longest part (bit-parallel).
+    None if that distance is more than allowed."""
     def scan(pattern: str, s: str, free_start: bool) -> list[int]:
         m = len(pattern)
         masks: dict[str, int] = defaultdict(int)
@@ -118,6 +136,8 @@ def edit_match(item: str, text: str) -> tuple[int, int, int]:
 
     ends = scan(item, text, True)
     best = min(ends)
+    if best > allowed:
+        return None
     end = ends.index(best)
     starts = scan(item[::-1], text[:end][::-1], False)
     back = max(i for i, d in enumerate(starts) if d == best)
@@ -146,8 +166,8 @@ def _index(items: list[tuple]) -> dict:
                 o = np.argsort(s, kind="stable")
                 slots = np.zeros(_SLOTS, bool)
                 slots[(s & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-                tables.append((s[o], np.array(item)[o], np.array(shift)[o], slots))
-        out[w] = tables
+                tables.append((s[o], np.array(item)[o], np.array(shift)[o], slots, o))
+        out[w] = tables, [embedding(h, np.array(start, np.int64), w, walk) for walk in range(WALKS)]
     return out
 
 
@@ -155,7 +175,7 @@ def _candidates(h: np.ndarray, bounds: np.ndarray, index: dict) -> dict[int, set
     """Document number -> {(item, word where the item would start)}."""
     found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     first, size = bounds[:-1], np.diff(bounds)
-    for w, tables in index.items():
+    for w, (tables, embedded) in index.items():
         s = _stride(w)
         # a last window may stand out of the document: copies can be shorter
         n = np.where(size > 0, np.maximum(size - w // 2 - 1, 0) // s + 1, 0)
@@ -166,13 +186,20 @@ def _candidates(h: np.ndarray, bounds: np.ndarray, index: dict) -> dict[int, set
             part = start[lo:lo + (1 << 14)]
             for walk in range(WALKS):
                 for t, sig in enumerate(signatures(padded, part, w, walk)):
-                    known, item, shift, slots = tables[walk * TABLES + t]
+                    known, item, shift, slots, o = tables[walk * TABLES + t]
                     hits = np.flatnonzero(slots[(sig & np.uint64(_SLOTS - 1)).view(np.int64)])
                     left, right = (np.searchsorted(known, sig[hits], side) for side in ("left", "right"))
-                    for i, a, z in zip(*(x[left < right].tolist() for x in (hits, left, right)), strict=True):
-                        d = int(doc[lo + i])
-                        for k in range(a, z):
-                            found[d].add((int(item[k]), int(part[i] - first[d] - shift[k])))
+                    n_items = right - left
+                    i = np.repeat(hits, n_items)
+                    k = np.arange(len(i)) - np.repeat(np.cumsum(n_items) - n_items, n_items) + np.repeat(left, n_items)
+                    if not len(i):
+                        continue
+                    # Hamming distance of the whole embeddings
+                    same = embedding(padded, part[i], w, walk) == embedded[walk][o[k]]
+                    near = same.mean(axis=1) >= AGREE
+                    for x, y in zip(i[near].tolist(), k[near].tolist(), strict=True):
+                        d = int(doc[lo + x])
+                        found[d].add((int(item[y]), int(part[x] - first[d] - shift[y])))
     return found
 
 
@@ -192,8 +219,9 @@ def _verified(text: str, places: set[tuple[int, int]], items: list[tuple], plain
             lo, hi = max(0, at - slack), min(len(spans), at + n + 2 * slack)
             seen = at + slack // 2
             words = [text[a:z].lower() for a, z in spans[lo:hi]]
-            d, a, z = edit_match(plain[k], " ".join(words))
-            if d <= allowed and (best is None or d < best[0]):
+            match = edit_match(plain[k], " ".join(words), allowed)
+            if match and (best is None or match[0] < best[0]):
+                d, a, z = match
                 ends = np.cumsum([len(x) + 1 for x in words]) - 1
                 i = min(int(np.searchsorted(ends, a, "right")), len(words) - 1)
                 j = min(int(np.searchsorted(ends, max(a, z - 1), "left")), len(words) - 1)
