@@ -89,8 +89,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = encode(docs, path, public_tokenizers.PATTERN)
-    out = decode(ids, path, keep=("doc_id", "ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = decode(ids, path, keep=("doc_id", "id_bytes"))
+    return out.select("doc_id", (F.octet_length("id_bytes") / 4).cast("long").alias("n_tokens"), "id_bytes",
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

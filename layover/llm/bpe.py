@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from layover.llm.common import prepare
 
-MEMORY = 500_000  # remembered matches of a task
+MEMORY = 600_000  # remembered matches of a worker
 _NONE = 1 << 62
 
 
@@ -46,43 +46,39 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match of the pattern."""
-    n = len(piece)
-    if piece in ranks:
-        return [ranks[piece]]
-    size = 1 << max(0, n - 2).bit_length()
-    tree = [_NONE] * (2 * size)
     get = ranks.get
-    for i in range(n - 1):
-        if (r := get(piece[i:i + 2])) is not None:
-            tree[size + i] = r << 32 | i
-    for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+    if (whole := get(piece)) is not None:
+        return [whole]
+    n = len(piece)
+    leaves = [_NONE if (r := get(piece[i:i + 2])) is None else r << 32 | i for i in range(n - 1)]
+    leaves += [_NONE] * ((1 << max(1, (n - 2).bit_length())) - len(leaves))
+    levels = [leaves]  # the segment tree, one list a level, the root last
+    while len(levels[-1]) > 1:
+        levels.append(list(map(min, levels[-1][::2], levels[-1][1::2])))
+    steps, root = list(zip(levels, levels[1:], strict=False)), levels[-1]
     after, before = list(range(1, n + 2)), list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            low = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == low:
-                break
-            tree[k] = low
-
-    def pair(i: int) -> int:
-        j = after[i]
-        r = get(piece[i:after[j]]) if j < n else None
-        return _NONE if r is None else r << 32 | i
-
-    while (top := tree[1]) < _NONE:
+    while (top := root[0]) < _NONE:
         i = top & 0xFFFFFFFF
         gone = after[i]
-        after[i] = after[gone]
-        before[after[i]] = i
-        put(gone, _NONE) if gone < n - 1 else None
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        end = after[i] = after[gone]  # the token at i now ends here
+        before[end] = i
+        r = get(piece[i:after[end]]) if end < n else None
+        changes = [(i, _NONE if r is None else r << 32 | i)]
+        if gone < n - 1:
+            changes.append((gone, _NONE))
+        if (p := before[i]) >= 0:
+            r = get(piece[p:end])
+            changes.append((p, _NONE if r is None else r << 32 | p))
+        for k, low in changes:
+            leaves[k] = low
+            for here, up in steps:
+                other = here[k ^ 1]
+                if other < low:
+                    low = other
+                k >>= 1
+                if up[k] == low:
+                    break
+                up[k] = low
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:after[i]]])
@@ -91,6 +87,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memory(dict):
+    """Ids of the matches seen; kept by a worker from task to task."""
+
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
@@ -104,53 +102,59 @@ class _Memory(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def _memory(path: str) -> _Memory:
+    return _Memory(load_ranks(path))
+
+
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(path).items()}
+
+
 def _kept(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind)])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``ids`` (array of int) of every row."""
+    """``keep`` columns and ``id_bytes`` of every row: the ids as unsigned
+    32-bit little-endian integers, the usual layout of token files."""
     prepare(df.sparkSession)
     keep = list(keep)
 
     def run(batches):
-        memory, find = _Memory(load_ranks(path)), regex.compile(pattern).findall
+        memory, find = _memory(path), regex.compile(pattern).findall
         for b in batches:
-            ids, at = [], [0]
-            for t in b.column(len(keep)):
-                ids.append(np.fromiter(chain.from_iterable(map(memory.__getitem__, find(t.as_py() or ""))), np.int32))
-                at.append(at[-1] + len(ids[-1]))
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], lists], [*keep, "ids"])
+            out = [np.fromiter(chain.from_iterable(map(memory.__getitem__, find(t or ""))), "<u4").tobytes()
+                   for t in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(out, pa.binary())], [*keep, "id_bytes"])
 
-    return df.select(*keep, text).mapInArrow(run, _kept(df, keep, "ids", T.ArrayType(T.IntegerType())))
+    return df.select(*keep, text).mapInArrow(run, _kept(df, keep, "id_bytes", T.BinaryType()))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "id_bytes", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``decoded`` (binary) of every row; null ids
     decode to no bytes."""
     prepare(df.sparkSession)
     keep = list(keep)
 
     def run(batches):
-        token = {rank: t for t, rank in load_ranks(path).items()}
+        token = _tokens(path)
         for b in batches:
-            out = [b"".join(map(token.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else b""
-                   for x in b.column(len(keep))]
+            out = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
+                   for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(out, pa.binary())], [*keep, "decoded"])
 
     return df.select(*keep, ids).mapInArrow(run, _kept(df, keep, "decoded", T.BinaryType()))
 
 
-def little_endian(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``id_bytes``: the ids as unsigned 32-bit
-    little-endian integers, the usual layout of token files."""
+def unpacked(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``ids`` (array of int) from ``id_bytes``."""
     keep = list(keep)
 
     def run(batches):
         for b in batches:
-            out = [x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"" for x in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(out, pa.binary())], [*keep, "id_bytes"])
+            ids = [np.frombuffer(x or b"", "<u4").astype(np.int32) for x in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
-    return df.select(*keep, ids).mapInArrow(run, _kept(df, keep, "id_bytes", T.BinaryType()))
+    return df.select(*keep, "id_bytes").mapInArrow(run, _kept(df, keep, "ids", T.ArrayType(T.IntegerType())))

@@ -49,15 +49,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from layover.llm.bpe import decode, encode, little_endian
+    from layover.llm.bpe import decode, encode
 
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    out = decode(ids, path, keep=("doc_id", "ids")).withColumn("decoded", F.sha2("decoded", 256))
-    out = little_endian(out, keep=("doc_id", "ids", "decoded"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.sha2("id_bytes", 256).alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    out = decode(ids, path, keep=("doc_id", "id_bytes"))
+    return out.select("doc_id", (F.octet_length("id_bytes") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
