@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from layover.llm.common import ALPHANUMERIC, WordScanner, mix64, prepare, staged, text_key
 
 BLOCK_ITEMS = 2_000  # items sent to the tasks at once
-WALKS, TABLES, BITS = 6, 2, 5
+WALKS, TABLES, BITS = 8, 2, 5
 AGREE = 0.55  # share of equal places of a candidate's embeddings
 MAX_EDIT = 0.2
 # words: runs of other characters than ASCII and general punctuation and spaces
