@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layover.llm.common import WordHash, connected_components, mix64, prepare, shingles, staged, text_key
+from layover.llm.common import UNSPACED, WordScanner, connected_components, mix64, prepare, shingles, staged, text_key
 
 BAND_RATIO = 1.25
 BLOCK = 1024  # sets of a block of a large tile
@@ -138,10 +138,12 @@ def _bound(na, a, nb, b) -> np.ndarray:
 
 
 # ------------------------------------------------------------- text passes
-def word_hashes(text: str | None, cache: WordHash) -> np.ndarray:
-    """Hashes of the words: runs of bytes other than the six ASCII white
-    space characters, A-Z lower-cased."""
-    return cache.array(text.encode().lower().split()) if text else np.empty(0, np.uint64)
+def _shingle_sets(texts: list, scanner: WordScanner, n: int) -> Iterator[np.ndarray]:
+    """Sets of a batch.  Words are runs of bytes other than the six ASCII
+    white space characters, A-Z lower-cased."""
+    h, at = scanner.scan([(t or "").encode().lower() for t in texts])
+    for i in range(len(texts)):
+        yield shingles(h[at[i]:at[i + 1]], n)
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -155,11 +157,10 @@ def _set_id(s: np.ndarray) -> int:
 
 def _sets_pass(n: int, num: int, den: int):
     def run(batches):
-        cache = WordHash()
+        scanner = WordScanner(UNSPACED)
         for b in batches:
             size, sid, keys = [], [], []
-            for text in b.column(2):
-                s = shingles(word_hashes(text.as_py(), cache), n)
+            for s in _shingle_sets(b.column(2).to_pylist(), scanner, n):
                 size.append(len(s))
                 sid.append(_set_id(s) if len(s) else None)
                 keys.append(_i64(tile_keys(s, num, den)) if len(s) else np.empty(0, np.int64))
@@ -169,18 +170,23 @@ def _sets_pass(n: int, num: int, den: int):
     return run
 
 
-def _features_pass(n: int):
+def _bitmaps_pass(n: int):
     def run(batches):
-        cache = WordHash()
+        scanner = WordScanner(UNSPACED)
         for b in batches:
-            arr, bits = [], []
-            for text in b.column(1):
-                s = shingles(word_hashes(text.as_py(), cache), n)
-                arr.append(_i64(s))
-                bits.append(bitmap(s).tobytes())
+            sets = list(_shingle_sets(b.column(1).to_pylist(), scanner, n))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in arr], pa.int64()), pa.array(arr, pa.list_(pa.int64())),
-                 pa.array(bits, pa.binary())], ["sid", "n", "arr", "bits"])
+                [b.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], ["sid", "n", "bits"])
+    return run
+
+
+def _arrays_pass(n: int):
+    def run(batches):
+        scanner = WordScanner(UNSPACED)
+        for b in batches:
+            sets = [_i64(x) for x in _shingle_sets(b.column(1).to_pylist(), scanner, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sid", "arr"])
     return run
 
 
@@ -189,22 +195,32 @@ def _reaches(overlap, na, nb, num: int, den: int):
     return den * overlap >= num * (na + nb - overlap)
 
 
-def _verify_pass(num: int, den: int):
+def _bound_pass(num: int, den: int):
+    """Pairs with sizes and bitmaps -> whether the bound lets them link."""
     def run(batches):
         for b in batches:
-            a, c, na, nb = (b.column(i).to_numpy() for i in range(4))
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                x, y = (np.frombuffer(b.column(j)[i].as_py(), np.uint8) for j in (6, 7))
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            ok = np.zeros(len(na), bool)
+            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 w = min(len(x), len(y))
-                if not _reaches(_bound(na[i], _fold(x, w), nb[i], _fold(y, w)), na[i], nb[i], num, den):
-                    continue
-                u, v = (b.column(j)[i].values.to_numpy() for j in (4, 5))
-                ok[i] = _reaches(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v), num, den)
+                ok[i] = _reaches(_bound(na[i], _fold(x, w), nb[i], _fold(y, w)), na[i], nb[i], num, den)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "ok"])
     return run
 
 
+def _exact_pass(num: int, den: int):
+    """Pairs with sorted arrays -> whether they link."""
+    def run(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                u, v = x.values.to_numpy(), y.values.to_numpy()
+                ok.append(bool(_reaches(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v), num, den)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+    return run
+
+
 def _search(sid, n, label, side, bits, refuted, num, den, everything) -> list[tuple[int, int]]:
     """Pairs of one tile (or two blocks of one) that the bitmaps admit
     between different classes: a spanning forest of them, or all."""
@@ -281,14 +297,35 @@ def _search_tiles(rows: DataFrame, num: int, den: int, everything: bool) -> Data
     return x.mapInArrow(_search_pass(num, den, everything), "a long, b long")
 
 
-def _link(tiles: DataFrame, feats: DataFrame, num: int, den: int) -> DataFrame:
+def _some(df: DataFrame) -> DataFrame:
+    """Broadcast staged keys of a checked number, else leave the join to Spark."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(sid, text) of the representatives ``keys(sid, kd, kt)``."""
+    k = _some(keys)
+    j = docs.join(k, docs["doc_id"].eqNullSafe(F.col("kd")) & (docs["th"] == F.col("kt")))
+    return j.dropDuplicates(["sid"]).select("sid", "text")
+
+
+def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Exact links enough to span every class: tiles(tile, sid, leader) of
-    tiles with several sets, feats(sid, n, arr, bits) -> links(a, b)."""
+    tiles with several sets, feats(sid, n, bits) -> links(a, b).  Arrays are
+    made for the sets of pairs that pass the bound, and only for them."""
     def verified(pairs: DataFrame) -> DataFrame:
-        fa = feats.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("arr").alias("xa"), F.col("bits").alias("ba"))
-        fb = feats.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("arr").alias("xb"), F.col("bits").alias("bb"))
-        j = pairs.join(fa, "a").join(fb, "b").select("a", "b", "na", "nb", "xa", "xb", "ba", "bb")
-        return staged(j.mapInArrow(_verify_pass(num, den), "a long, b long, ok boolean"), "verified")
+        fa = feats.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+        fb = feats.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+        j = pairs.join(fa, "a").join(fb, "b").select("a", "b", "na", "nb", "ba", "bb")
+        bound = staged(j.mapInArrow(_bound_pass(num, den), "a long, b long, ok boolean"), "bound")
+        open_ = bound.where("ok").select("a", "b")
+        ids = staged(open_.select(F.col("a").alias("sid")).union(open_.select("b")).distinct(), "ids")
+        wanted = staged(keys.join(_some(ids), "sid", "left_semi"), "wanted")
+        arrays = staged(_texts(docs, wanted).mapInArrow(_arrays_pass(n), "sid long, arr array<long>"), "arrays")
+        x = (open_.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a")
+             .join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b").select("a", "b", "xa", "xb"))
+        exact = x.mapInArrow(_exact_pass(num, den), "a long, b long, ok boolean")
+        return staged(exact.union(bound.where("not ok")), "verified")
 
     pairs = tiles.where("sid <> leader").select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"))
     seen = verified(pairs.distinct())
@@ -334,11 +371,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
             .groupBy("sid").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
             .select("sid", F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt")))
     keys = staged(keys, "keys")
-    few = keys.count() <= BROADCAST_KEYS
-    picked = d.join(F.broadcast(keys) if few else keys, d["doc_id"].eqNullSafe(keys["kd"]) & (d["th"] == keys["kt"]))
-    feats = staged(picked.dropDuplicates(["sid"]).select("sid", "text")
-                   .mapInArrow(_features_pass(n), "sid long, n long, arr array<long>, bits binary"), "features")
-    links = _link(tiles, feats, num, den)
+    feats = staged(_texts(d, keys).mapInArrow(_bitmaps_pass(n), "sid long, n long, bits binary"), "features")
+    links = _link(tiles, feats, d, keys, n, num, den)
     comp = connected_components(links).select(F.col("id").alias("sid"), "component")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min(first).alias("r"))
