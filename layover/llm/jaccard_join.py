@@ -265,25 +265,29 @@ def _search_pass(num: int, den: int, everything: bool):
         sid, n, label, side = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 5))
         return _search(sid, n, label, side, [r[6] for r in rows], [r[7] for r in rows], num, den, everything)
 
+    def out(pairs: list[tuple[int, int, int]]):
+        cols = list(zip(*dict.fromkeys(pairs), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["tile", "a", "b"])
+
     def run(batches):
         held, key, pairs = [], None, []
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[:2] != key:
                     if len(held) > 1:
-                        pairs += group(held)
+                        pairs += [(key[0], *p) for p in group(held)]
                     held, key = [], r[:2]
                 held.append(r)
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(pairs), strict=True)], ["a", "b"])
+                yield out(pairs)
                 pairs = []
-        if len(held) > 1 and (pairs := group(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(pairs), strict=True)], ["a", "b"])
+        if len(held) > 1 and (pairs := [(key[0], *p) for p in group(held)]):
+            yield out(pairs)
     return run
 
 
 def _search_tiles(rows: DataFrame, num: int, den: int, everything: bool) -> DataFrame:
-    """rows(tile, sid, n, label, bits, refuted) -> candidate pairs.  A tile of
+    """rows(tile, sid, n, label, bits, refuted) -> candidate pairs (tile, a, b).  A tile of
     more than BLOCK sets is cut into blocks by the hash of the id; block
     pairs are groups of their own."""
     size = rows.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -294,7 +298,7 @@ def _search_tiles(rows: DataFrame, num: int, den: int, everything: bool) -> Data
     x = x.withColumn("side", F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1))
     x = x.select("tile", "pair", "sid", "n", "label", "side", "bits", "refuted")
     x = x.repartition("tile", "pair").sortWithinPartitions("tile", "pair")
-    return x.mapInArrow(_search_pass(num, den, everything), "a long, b long")
+    return x.mapInArrow(_search_pass(num, den, everything), "tile long, a long, b long")
 
 
 def _some(df: DataFrame) -> DataFrame:
@@ -329,11 +333,11 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
 
     pairs = tiles.where("sid <> leader").select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"))
     seen = verified(pairs.distinct())
-    search = 0
+    search, live = 0, tiles.select("tile", "sid")
     while True:
         links = seen.where("ok").select("a", "b")
         labels = connected_components(links).withColumnRenamed("id", "sid")
-        rows = (tiles.select("tile", "sid").join(labels, "sid", "left")
+        rows = (live.join(labels, "sid", "left")
                 .withColumn("label", F.coalesce("component", "sid")).drop("component"))
         # tiles with several classes, one of those with the same sets
         still = (rows.groupBy("tile").agg(
@@ -345,10 +349,13 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
         rows = (rows.join(still, "tile", "left_semi").join(feats.select("sid", "n", "bits"), "sid")
                 .join(no, "sid", "left"))
         found = _search_tiles(rows, num, den, search >= 3)
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(found.join(seen, ["a", "b"], "left_anti"))
+        found = staged(found, "found")
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = verified(pairs.join(seen, ["a", "b"], "left_anti"))
         if more.isEmpty():
             return links
+        # classes only merge, so a tile without a pair will never have one
+        live = staged(live.join(_some(staged(found.select("tile").distinct(), "again")), "tile", "left_semi"), "live")
         seen, search = staged(seen.union(more), "seen"), search + 1
 
 
