@@ -115,9 +115,9 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set, about four bits an element; its width is a
+    """Hashed bitmap of a set, two to four bits an element; its width is a
     power of two, so that a wider one can be folded onto a narrower one."""
-    width = max(512, 1 << (4 * len(s) - 1).bit_length())
+    width = max(256, 1 << (2 * len(s) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(mix64(s) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits)
@@ -155,18 +155,30 @@ def _set_id(s: np.ndarray) -> int:
     return int(_i64(mix64(h))[0])
 
 
-def _sets_pass(n: int, num: int, den: int):
+def _sets_pass(n: int):
     def run(batches):
         scanner = WordScanner(UNSPACED)
         for b in batches:
-            size, sid, keys = [], [], []
+            size, sid = [], []
             for s in _shingle_sets(b.column(2).to_pylist(), scanner, n):
                 size.append(len(s))
                 sid.append(_set_id(s) if len(s) else None)
-                keys.append(_i64(tile_keys(s, num, den)) if len(s) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sid, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "n", "sid", "tiles"])
+                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "th", "n", "sid"])
+    return run
+
+
+def _tiles_pass(n: int, num: int, den: int):
+    """One row per tile of a text: straight into the shuffle, never staged."""
+    def run(batches):
+        scanner = WordScanner(UNSPACED)
+        for b in batches:
+            ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s in _shingle_sets(b.column(0).to_pylist(), scanner, n):
+                if len(s):
+                    keys.append(_i64(tile_keys(s, num, den)))
+                    ids.append(np.full(len(keys[-1]), _set_id(s), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["sid", "tile"])
     return run
 
 
@@ -310,7 +322,7 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(sid, text) of the representatives ``keys(sid, kd, kt)``."""
     k = _some(keys)
     j = docs.join(k, docs["doc_id"].eqNullSafe(F.col("kd")) & (docs["th"] == F.col("kt")))
-    return j.dropDuplicates(["sid"]).select("sid", "text")
+    return j.select("sid", "text")  # repeated rows give equal rows
 
 
 def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -325,7 +337,8 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
         open_ = bound.where("ok").select("a", "b")
         ids = staged(open_.select(F.col("a").alias("sid")).union(open_.select("b")).distinct(), "ids")
         wanted = staged(keys.join(_some(ids), "sid", "left_semi"), "wanted")
-        arrays = staged(_texts(docs, wanted).mapInArrow(_arrays_pass(n), "sid long, arr array<long>"), "arrays")
+        arrays = staged(_texts(docs, wanted).mapInArrow(_arrays_pass(n), "sid long, arr array<long>")
+                        .dropDuplicates(["sid"]), "arrays")
         x = (open_.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a")
              .join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b").select("a", "b", "xa", "xb"))
         exact = x.mapInArrow(_exact_pass(num, den), "a long, b long, ok boolean")
@@ -366,11 +379,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     class: its smallest doc_id, nulls last, then smallest text key)."""
     spark = prepare(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text"))
-    sets = staged(d.mapInArrow(_sets_pass(n, num, den),
-                               "doc_id long, th long, n long, sid long, tiles array<long>"), "sets")
+    sets = staged(d.mapInArrow(_sets_pass(n), "doc_id long, th long, n long, sid long"), "sets")
     # tiles that several sets share; a set's own copies count once
     one = Window.partitionBy("tile")
-    tiles = (sets.select("sid", F.explode("tiles").alias("tile"))
+    tiles = (d.select("text").mapInArrow(_tiles_pass(n, num, den), "sid long, tile long")
              .withColumn("leader", F.min("sid").over(one)).withColumn("last", F.max("sid").over(one))
              .where("leader <> last").select("tile", "sid", "leader").distinct())
     tiles = staged(tiles, "tiles")
@@ -378,7 +390,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
             .groupBy("sid").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
             .select("sid", F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt")))
     keys = staged(keys, "keys")
-    feats = staged(_texts(d, keys).mapInArrow(_bitmaps_pass(n), "sid long, n long, bits binary"), "features")
+    feats = staged(_texts(d, keys).mapInArrow(_bitmaps_pass(n), "sid long, n long, bits binary")
+                   .dropDuplicates(["sid"]), "features")
     links = _link(tiles, feats, d, keys, n, num, den)
     comp = connected_components(links).select(F.col("id").alias("sid"), "component")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
