@@ -13,7 +13,8 @@ bounded by its parameters; every document is scored.
 The threshold is calibrated on all labelled rows (``labels``: doc_id,
 quality 0 or 1): counts of both classes by score, in a thousand steps,
 give the threshold that rejects most bad rows while it loses at most
-``clean_loss`` of the good ones (ties: the higher threshold).
+``clean_loss`` of the good ones (ties: the higher threshold), half way to
+the next labelled row below.
 
 A document is kept if it passes the base rules and scores below the
 threshold.
@@ -149,12 +150,13 @@ def calibrate(steps: dict[int, tuple[int, int]], clean_loss: float) -> float:
     if not bad or not good:
         return DEFAULT_THRESHOLD
     best, caught, lost, most = DEFAULT_THRESHOLD, 0, 0, -1
-    for s in sorted(steps, reverse=True):
+    order = sorted(steps, reverse=True)
+    for s, below in zip(order, [*order[1:], 0], strict=True):
         caught, lost = caught + steps[s][0], lost + steps[s][1]
         if lost > clean_loss * good:
             break
-        if caught > most:
-            best, most = s / STEPS, caught
+        if caught > most:  # half way to the next labelled row
+            best, most = (s + below + 1) / 2 / STEPS, caught
     return best
 
 
