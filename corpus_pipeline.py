@@ -32,14 +32,15 @@ BROADCAST_KEYS = 500_000
 ORACLE_SQL = None
 
 
-def _marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Left join of ``marks(_d, _t, ...)`` on the row key (doc_id, text
-    hash); marks are broadcast if their number is small."""
+    hash); marks are broadcast if their number is small.  Also returns the
+    marks, whose columns stay apart from equal names in ``docs``."""
     marks = staged(marks, "marks")
     if marks.count() <= BROADCAST_KEYS:
         marks = F.broadcast(marks)
-    on = docs["doc_id"].eqNullSafe(F.col("_d")) & (text_key(docs["text"]) == F.col("_t"))
-    return docs.join(marks, on, "left")
+    on = docs["doc_id"].eqNullSafe(marks["_d"]) & (text_key(docs["text"]) == marks["_t"])
+    return docs.join(marks, on, "left"), marks
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,18 +62,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("th") == F.col("rep_th"))
     marks = (classes.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
              .agg(F.max(~stays).alias("_drop"), F.count(F.lit(1)).alias("_rows")).where("_drop or _rows > 1"))
-    m = _marked(docs, marks)
-    cols = [docs[c] for c in docs.columns]
-    again = m.where("not _drop").select(*cols, F.col("_d"), F.col("_t")).dropDuplicates(["_d", "_t"])
-    return m.where("_drop is null").select(*cols).union(again.drop("_d", "_t"))
+    m, marks = _marked(docs, marks)
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    inner = m.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], marks["_drop"], marks["_d"], marks["_t"])
+    again = inner.where("not _drop").dropDuplicates(["_d", "_t"])
+    out = inner.where("_drop is null").unionByName(again)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from layover.llm.decontamination import contaminated, matched_documents
 
     hit = matched_documents(contaminated(docs, read(spark, sf_dir, "benchmark")))
-    m = _marked(docs, hit.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
-    return m.where("_t is null").select(*[docs[c] for c in docs.columns])
+    m, marks = _marked(docs, hit.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
+    return m.where(marks["_t"].isNull()).select(*[docs[c] for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
