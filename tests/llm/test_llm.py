@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from layover.llm import bpe, decontamination, html_extraction, jaccard_join, language_id, pii, quality, sharding, url_filter, warc
+from layover.llm.oracle import ORACLE
+from layover.llm.queries import QUERIES
+from layover.oracle.compare import same
 from layover.llm.common import connected_components, prepare, scratch, text_key
 
 SF = "/root/testdata/sf0.001"
@@ -303,3 +306,14 @@ def test_pipeline_stages(spark):
 def test_stages_take_empty_tables(spark, name):
     docs = prepare(spark).read.parquet(f"{SF}/documents.parquet").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_their_sql(spark, duck, name):
+    got = QUERIES[name](spark, SF)
+    rows = duck.execute(ORACLE[name]).df()
+    ok, why = same(got.toPandas(), rows)
+    assert ok, why
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
+    want = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert {f.name: kinds[f.dataType.simpleString()] for f in got.schema.fields} == want
