@@ -63,7 +63,7 @@ flight AS (
 aircraft AS (
   SELECT 'AC' || CAST(p_partkey AS VARCHAR) AS code, p_name AS model,
          CAST(1000 + p_size * 100 AS INTEGER) AS "range", p_type AS "class"
-  FROM part WHERE p_partkey < 11
+  FROM part
 ),
 airport AS (
   SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS airport_code, n_name AS city, r_name AS airport_tz

@@ -86,9 +86,9 @@ SELECT missed_flight_flag, u AS share_booked, round(-ln(1.0 - u) / round(a / b,
        round(b * (power(1.0 - u, -1.0 / a) - 1), {R}) AS days_predictive
 FROM post CROSS JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS u)""", POST),
     "account_flights_by_missed": _q(f"""
-SELECT CASE WHEN n_missed = 1 THEN 'one_missed' ELSE 'none_missed' END AS accounts, count(*) AS n_accounts,
-       round(avg(n_rows), {R}) AS mean_flights
-FROM per WHERE n_missed <= 1 GROUP BY 1""", PER),
+SELECT CASE n_missed WHEN 0 THEN 'none_missed' WHEN 1 THEN 'one_missed' ELSE 'more_missed' END AS accounts,
+       count(*) AS n_accounts, round(avg(n_rows), {R}) AS mean_flights
+FROM per GROUP BY 1""", PER),
     "missed_accounts": _q("""
 SELECT * FROM surv WHERE account_id IN (SELECT account_id FROM surv WHERE missed_flight_flag = 1)"""),
     "account_index": _q("""

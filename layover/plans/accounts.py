@@ -18,11 +18,6 @@ from layover.operators.firsts import argmax_ties
 from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
-#: the reference's drill-down constants, used as fixture defaults
-PASSENGER_ID_FLOOR = 8_000_000
-FIRST_N = 1000
-LEG_ID_CEIL = 294
-BOOKING_ID_CEIL = 304_847
 
 
 def _slice(df: DataFrame, col: str, modulus: int, remainder: int) -> DataFrame:
@@ -117,26 +112,30 @@ def passengers_without_boarding(air: Airline) -> DataFrame:
     return p.join(bp, "passenger_id", "left_anti")
 
 
-def passengers_without_boarding_detail(air: Airline, floor: int = 0, n: int = FIRST_N) -> DataFrame:
-    """The first ``n`` passenger ids above ``floor`` with no boarding pass, with details.
+def passengers_without_boarding_detail(air: Airline, floor: int = 0, n: int | None = None) -> DataFrame:
+    """Passenger ids above ``floor`` with no boarding pass, with details: all, or the first ``n``.
     (The reference used a floor of 8,000,000 on its own ids.)"""
     p = air.passenger.where(F.col("passenger_id") > floor).select("passenger_id").distinct()
     bp = air.boarding_pass.where(F.col("passenger_id") > floor).select("passenger_id")
-    first = p.join(bp, "passenger_id", "left_anti").orderBy("passenger_id").limit(n)
+    first = p.join(bp, "passenger_id", "left_anti")
+    if n is not None:
+        first = first.orderBy("passenger_id").limit(n)
     x = first.join(air.passenger, "passenger_id", "left").select(
         "passenger_id", "booking_id", "first_name", "last_name", "account_id", "update_ts")
     return pg_sort(x, "booking_id", "passenger_id")
 
 
-def boarding_leg_passenger_sample(air: Airline, n: int = FIRST_N, leg_id_ceil: int = LEG_ID_CEIL,
-                                  booking_id_ceil: int = BOOKING_ID_CEIL) -> DataFrame:
-    """First ``n`` boarding passes by leg id, with their leg and passengers."""
-    bp = air.boarding_pass.orderBy("booking_leg_id", "pass_id").limit(n)
-    legs = air.booking_leg.where(F.col("booking_leg_id") <= leg_id_ceil).select(
+def boarding_leg_passenger_sample(air: Airline, n: int | None = None) -> DataFrame:
+    """Boarding passes (all, or the first ``n`` by leg id) with their leg and
+    the passengers of its booking."""
+    bp = air.boarding_pass
+    if n is not None:
+        bp = bp.orderBy("booking_leg_id", "pass_id").limit(n)
+    legs = air.booking_leg.select(
         F.col("booking_leg_id").alias("leg_booking_leg_id"), F.col("booking_id").alias("leg_booking_id"),
         F.col("flight_id").alias("leg_flight_id"), "leg_num", F.col("is_returning").cast("int").alias("leg_is_returning"),
         F.col("update_ts").alias("leg_update_ts"))
-    p = air.passenger.where(F.col("booking_id") <= booking_id_ceil).select(
+    p = air.passenger.select(
         *[F.col(c).alias("p_" + c) for c in ("passenger_id", "booking_id", "first_name", "last_name",
                                               "account_id", "update_ts")])
     x = bp.join(legs, bp.booking_leg_id == legs.leg_booking_leg_id, "left")

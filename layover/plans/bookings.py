@@ -25,7 +25,6 @@ from layover.session import checkpoint_dir, register_scratch
 SPLIT_DATE = "1998-05-15"
 #: minimum passenger-legs of an account in the lead-time summary
 MIN_ACCOUNT_LEGS = 100
-TOP_DELAYED = 1000
 
 
 def _lead(air: Airline) -> DataFrame:
@@ -99,14 +98,14 @@ def missed_connections(air: Airline) -> DataFrame:
     return pg_sort(x, "booking_id", "leg_num")
 
 
-def delayed_flight_customers(air: Airline, n: int = TOP_DELAYED) -> DataFrame:
-    """The ``n`` most delayed arrivals with their bookings, passengers and accounts."""
+def delayed_flight_customers(air: Airline, n: int | None = None) -> DataFrame:
+    """Delayed arrivals (all, or the ``n`` most delayed) with their bookings, passengers and accounts."""
     f = air.flight.where(F.col("actual_arrival").isNotNull()
                          & (seconds_between("actual_arrival", "scheduled_arrival") > 0))
     f = f.select("flight_id", F.to_date("scheduled_departure").cast("timestamp_ntz").alias("scheduled_departure_date"),
                  "scheduled_arrival", "departure_airport", "arrival_airport", "actual_departure", "actual_arrival",
                  F.round(minutes_between("actual_arrival", "scheduled_arrival"), 0).alias("arrival_delay_minutes"))
-    top = f.orderBy(F.col("arrival_delay_minutes").desc(), "flight_id").limit(n)
+    top = f if n is None else f.orderBy(F.col("arrival_delay_minutes").desc(), "flight_id").limit(n)
     legs = air.booking_leg.select("booking_id", F.col("flight_id").alias("flght_id"))
     p = air.passenger.select("passenger_id", F.col("booking_id").alias("book_id"), "account_id")
     b = air.booking.select(F.col("booking_id").alias("b_booking_id"),

@@ -20,8 +20,8 @@ from layover.functions.text import route
 from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
-#: flight counts left out of the route spread tables (the reference's outliers)
-EXCLUDED_FLIGHT_COUNTS = (78, 182)
+#: flight counts to leave out of the route spread tables (outliers of one dataset; none by default)
+EXCLUDED_FLIGHT_COUNTS: tuple[int, ...] = ()
 
 
 def _flights_aircraft(air: Airline) -> DataFrame:

@@ -325,7 +325,7 @@ def survival_events(air: Airline) -> DataFrame:
 
 def _survival_events(air: Airline) -> DataFrame:
     obs = non_censored_flights(air, with_arrival=True)
-    cens = censored_accounts(air).join(obs.select("account_id"), "account_id", "left_semi")
+    cens = censored_accounts(air).join(obs.select("account_id").distinct(), "account_id", "left_semi")
     a = obs.select("account_id", "missed_flight_flag", F.lit(0).alias("censored_id"),
                    (F.col("hours_to_next_booking") / 24.0).alias("days"), "actual_arrival")
     b = cens.select("account_id", "missed_flight_flag", F.lit(1).alias("censored_id"),
@@ -347,4 +347,4 @@ def survival_export(air: Airline) -> DataFrame:
 def survival_table(air: Airline) -> DataFrame:
     """Observed (censored_id 0) and censored (1) durations in days;
     censored rows only for accounts with an observed duration."""
-    return pg_sort(survival_rows(air), "account_id", "censored_id")
+    return pg_sort(survival_rows(air), "account_id", "censored_id", "days")

@@ -151,9 +151,9 @@ def _per_account(st: DataFrame) -> DataFrame:
 
 
 def account_flights_by_missed(air: Airline) -> DataFrame:
-    """Mean rows (flights) per account: accounts with exactly one missed vs none."""
-    acc = _per_account(_survival_input(air)).where(F.col("n_missed") <= 1)
-    g = F.when(F.col("n_missed") == 1, F.lit("one_missed")).otherwise(F.lit("none_missed"))
+    """Mean rows (flights) per account: accounts with no, one, and more missed flights."""
+    acc = _per_account(_survival_input(air))
+    g = F.when(F.col("n_missed") > 1, "more_missed").when(F.col("n_missed") == 1, "one_missed").otherwise("none_missed")
     return acc.groupBy(g.alias("accounts")).agg(F.count(F.lit(1)).alias("n_accounts"),
                                                 _r(F.avg("n_rows")).alias("mean_flights"))
 
@@ -161,7 +161,7 @@ def account_flights_by_missed(air: Airline) -> DataFrame:
 def missed_accounts(air: Airline) -> DataFrame:
     """All rows of accounts with at least one missed flight."""
     st = _survival_input(air)
-    m = st.where(F.col("missed_flight_flag") == 1).select("account_id")
+    m = st.where(F.col("missed_flight_flag") == 1).select("account_id").distinct()
     return st.join(m, "account_id", "left_semi")
 
 

@@ -79,7 +79,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     ensure_checkpoint_dir(spark)
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir", None) or _LOCAL_DIRS[sc.applicationId]
+    return (sc.getConf().get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(sc.applicationId)
+            or sc.getCheckpointDir())
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -89,8 +90,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return
-    if sc.applicationId in _LOCAL_DIRS:
-        return
+    if sc.applicationId in _LOCAL_DIRS or sc.getCheckpointDir() is not None:
+        return  # ours, or a folder that the application has set itself
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = os.path.abspath(tempfile.mkdtemp(prefix="layover-ckpt-"))

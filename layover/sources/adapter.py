@@ -38,7 +38,7 @@ EPOCH = "1995-01-01 00:00:00"          # day zero of flight schedules
 FUTURE_CUTOFF = "2001-05-01 00:00:00"   # flights departing later have no actual times
 LEAD_DAYS = 14                          # minimum days from booking to first leg
 ROUTE_NUMBERS = 4                       # a route has 1..4 flight numbers per supplier
-AIRCRAFT_TYPES = 12                     # codes AC0..AC11; part keys 0..10 give aircraft rows
+AIRCRAFT_TYPES = 12                     # flights use codes AC0..AC11; every part is an aircraft row
 DELAYED_H = (700, 899)                  # hash range of delayed flights (delay = h - 700 minutes)
 CANCELED_H = (940, 949)                 # hash range of canceled flights
 SWAPPED_H = (950, 979)                  # hash range of flights with swapped actual times
@@ -204,7 +204,7 @@ class Airline:
     def aircraft(self) -> DataFrame:
         if (g := self._given("aircraft")) is not None:
             return g
-        return (self._raw("part").where(F.col("p_partkey") < AIRCRAFT_TYPES - 1).select(
+        return (self._raw("part").select(
             F.concat(F.lit("AC"), F.col("p_partkey").cast("string")).alias("code"),
             F.col("p_name").alias("model"),
             (F.lit(1000) + F.col("p_size") * 100).cast("int").alias("range"),

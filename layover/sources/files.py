@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"  # with the fraction of a second
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

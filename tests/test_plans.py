@@ -8,12 +8,13 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from layover.plans.registry import JOBS
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = re.compile(r"CartesianProduct|BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(JOBS))
 def test_plan_has_no_cartesian_product_or_python(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
