@@ -15,11 +15,12 @@ POST = f"""
 post AS (
   SELECT missed_flight_flag, n_events, n_censored, exposure_days,
          CAST(0.8 AS DOUBLE) + n_events AS a, 0.33 + exposure_days AS b
-  FROM (SELECT missed_flight_flag,
-               CAST(sum(CASE WHEN censored_id = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_events,
-               CAST(sum(CASE WHEN censored_id = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_censored,
-               sum(days) AS exposure_days
-        FROM surv GROUP BY missed_flight_flag)
+  FROM (SELECT flags.missed_flight_flag,
+               count(*) FILTER (censored_id = 0) AS n_events,
+               count(*) FILTER (censored_id = 1) AS n_censored,
+               coalesce(sum(days), 0.0) AS exposure_days
+        FROM (VALUES (0), (1)) flags(missed_flight_flag)
+        LEFT JOIN surv ON surv.missed_flight_flag = flags.missed_flight_flag GROUP BY flags.missed_flight_flag)
 )"""
 
 POST_COLS = f"""n_events, n_censored, round(exposure_days, {R}) AS exposure_days, a AS post_shape,
@@ -35,10 +36,8 @@ per AS (
 
 SHRINK = """
 mom AS (
-  SELECT sd / st AS pop_mean,
-         (sdd - 2 * (sd / st) * sdt + (sd / st) * (sd / st) * stt - sd) / stt AS pop_var
-  FROM (SELECT sum(events) AS sd, sum(exposure_days) AS st, sum(exposure_days * exposure_days) AS stt,
-               sum(events * events) AS sdd, sum(events * exposure_days) AS sdt FROM per)
+  SELECT any_value(m) AS pop_mean, sum((events - m * exposure_days) ** 2 - events) / sum(exposure_days ** 2) AS pop_var
+  FROM (SELECT *, sum(events) OVER () / sum(exposure_days) OVER () AS m FROM per)
 ),
 shr AS (
   SELECT per.*, CASE WHEN pop_var > 0
@@ -66,8 +65,7 @@ ORACLE = {
 SELECT {POST_COLS}
 FROM (SELECT sum(n_events) AS n_events_, sum(n_censored) AS n_censored_, sum(exposure_days) AS e_ FROM post) x,
      LATERAL (SELECT CAST(n_events_ AS BIGINT) AS n_events, CAST(n_censored_ AS BIGINT) AS n_censored,
-                     e_ AS exposure_days, CAST(0.8 AS DOUBLE) + n_events_ AS a, 0.33 + e_ AS b)""", POST.replace(
-        "FROM surv GROUP BY missed_flight_flag", "FROM surv GROUP BY missed_flight_flag")),
+                     e_ AS exposure_days, CAST(0.8 AS DOUBLE) + n_events_ AS a, 0.33 + e_ AS b)""", POST),
     "rate_posterior_by_missed": _q(f"SELECT missed_flight_flag, {POST_COLS} FROM post", POST),
     "rate_interval": _q(f"""
 SELECT missed_flight_flag, round(a / b, {R}) AS rate_mean,
@@ -132,7 +130,13 @@ SELECT count(*) AS n_accounts, round(avg(estimate - actual), {R}) AS mean_error,
        round(avg(CASE WHEN estimate <= actual THEN 1.0 ELSE 0.0 END), {R}) AS share_estimate_below
 FROM (SELECT account_id, shrunk_rate AS estimate FROM est_b)
 JOIN (SELECT account_id, events / exposure_days AS actual FROM per_a WHERE exposure_days > 0) USING (account_id)""",
-                              "bef AS (SELECT * FROM surv_ev WHERE actual_arrival < TIMESTAMP '1998-07-01 00:00:00')",
+                              """
+bef AS (
+  SELECT account_id, missed_flight_flag, CASE WHEN days > known THEN 1 ELSE censored_id END AS censored_id,
+         least(days, known) AS days
+  FROM (SELECT *, date_diff('microsecond', actual_arrival, TIMESTAMP '1998-07-01 00:00:00') / 1e6 / 86400.0 AS known
+        FROM surv_ev WHERE actual_arrival < TIMESTAMP '1998-07-01 00:00:00')
+)""",
                               "aft AS (SELECT * FROM surv_ev WHERE actual_arrival >= TIMESTAMP '1998-07-01 00:00:00')",
                               per_from("bef", "per_b"), per_from("aft", "per_a"), shrink_from("per_b", "est_b")),
     "posterior_histogram": _q(f"""

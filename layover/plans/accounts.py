@@ -18,6 +18,8 @@ from layover.operators.firsts import argmax_ties
 from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
+#: by name, then by ids, so that a range sort can split a frequent name
+DRILLDOWN_ORDER = ("first_name", "last_name", "passenger_id", "booking_leg_id", "pass_id")
 
 
 def _slice(df: DataFrame, col: str, modulus: int, remainder: int) -> DataFrame:
@@ -172,16 +174,24 @@ def passenger_leg_boarding(air: Airline, modulus: int = 1, remainder: int = 0) -
 
 
 def boarding_coverage(air: Airline, modulus: int = 1, remainder: int = 0) -> DataFrame:
-    x = passenger_leg_boarding(air, modulus, remainder)
-    return x.agg(F.count(F.when(F.col("bp_booking_leg_id").isNull(), 1)).alias("rows_without_pass"),
-                 F.count(F.when(F.col("bp_booking_leg_id").isNotNull(), 1)).alias("rows_with_pass"))
+    """Rows of ``passenger_leg_boarding`` with and without a pass, counted per
+    booking and leg and multiplied: the rows themselves are never made."""
+    p = _slice(air.passenger, "account_id", modulus, remainder).groupBy("booking_id").agg(
+        F.count(F.lit(1)).alias("_passengers"))
+    passes = air.boarding_pass.groupBy("booking_leg_id").agg(F.count(F.lit(1)).alias("_passes"))
+    legs = air.booking_leg.select("booking_id", "booking_leg_id").join(passes, "booking_leg_id", "left")
+    legs = legs.groupBy("booking_id").agg(F.sum(F.col("_passes").isNull().cast("long")).alias("_bare"),
+                                          F.coalesce(F.sum("_passes"), F.lit(0)).alias("_passes"))
+    x = p.join(legs, "booking_id", "left")  # a passenger without legs is one row without a pass
+    total = lambda c, none: F.coalesce(F.sum(F.col("_passengers") * F.coalesce(c, F.lit(none))), F.lit(0))
+    return x.agg(total("_bare", 1).alias("rows_without_pass"), total("_passes", 0).alias("rows_with_pass"))
 
 
 def account_boarding_drilldown(air: Airline, account_id: int | None = None, modulus: int = 1,
                                remainder: int = 0) -> DataFrame:
     """Passenger legs joined to boarding passes on the passenger id (one
     account when given, else all)."""
-    return pg_sort(_boarding_drilldown(air, account_id, modulus, remainder), "first_name", "last_name")
+    return pg_sort(_boarding_drilldown(air, account_id, modulus, remainder), *DRILLDOWN_ORDER)
 
 
 def _boarding_drilldown(air: Airline, account_id: int | None, modulus: int, remainder: int) -> DataFrame:
@@ -197,7 +207,7 @@ def _flight_cols(air: Airline) -> DataFrame:
 
 def account_flight_drilldown(air: Airline, account_id: int | None = None, modulus: int = 1,
                              remainder: int = 0) -> DataFrame:
-    return pg_sort(_flight_drilldown(air, account_id, modulus, remainder), "first_name", "last_name")
+    return pg_sort(_flight_drilldown(air, account_id, modulus, remainder), *DRILLDOWN_ORDER)
 
 
 def _flight_drilldown(air: Airline, account_id: int | None, modulus: int, remainder: int) -> DataFrame:
@@ -208,7 +218,8 @@ def _flight_drilldown(air: Airline, account_id: int | None, modulus: int, remain
 
 def slice_flight_drilldown(air: Airline, modulus: int = 1, remainder: int = 0) -> DataFrame:
     """The whole slice with flights (the reference orders it by flight number)."""
-    return pg_sort(_flight_drilldown(air, None, modulus, remainder), "flight_no", "scheduled_departure")
+    return pg_sort(_flight_drilldown(air, None, modulus, remainder), "flight_no", "scheduled_departure",
+                   "passenger_id", "booking_leg_id", "pass_id")
 
 
 def booking_leg_ts_agreement(air: Airline, modulus: int = 1, remainder: int = 0) -> DataFrame:

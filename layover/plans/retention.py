@@ -300,14 +300,8 @@ def censored_accounts(air: Airline) -> DataFrame:
         "account_id", "booking_id", "flight_id", "update_ts", "actual_arrival", "scheduled_arrival")
     rows = legs.join(per.withColumn("actual_arrival", F.col("max_arrival_by_account")),
                      ["account_id", "actual_arrival"], "inner")
-    summary = air.staged("booking_summary")
-    if summary is not None:  # already computed in this job (e.g. for trips)
-        flags = summary.select("booking_id", "missed_flight_flag")
-    else:  # the missed flag is needed for the (few) censored bookings only
-        gaps = leg_gaps(air, bookings=rows.select("booking_id").distinct())
-        flags = gaps.groupBy("booking_id").agg(
-            F.when(F.min("mins_since_last_flight_arrival") < MISSED_MINUTES, 1).otherwise(0)
-             .cast("int").alias("missed_flight_flag"))
+    # the flag of the whole booking, as in ``trips``: one booking has one flag
+    flags = trips_full(air).select("booking_id", "missed_flight_flag")
     rows = rows.join(flags, "booking_id", "left")
     ends = scalar_row(air.booking, end_of_dataset=F.max("update_ts")).crossJoin(
         scalar_row(air.flight, last_flight=F.max("actual_arrival")))
@@ -347,4 +341,5 @@ def survival_export(air: Airline) -> DataFrame:
 def survival_table(air: Airline) -> DataFrame:
     """Observed (censored_id 0) and censored (1) durations in days;
     censored rows only for accounts with an observed duration."""
-    return pg_sort(survival_rows(air), "account_id", "censored_id", "days")
+    x = survival_export(air).drop("actual_arrival")
+    return pg_sort(x, "account_id", "censored_id", "days")

@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layover.functions.time import days_between
 from layover.operators.bounds import attach, scalar_row
 from layover.operators.histogram import equal_width
 from layover.operators.ranking import exact_quantiles, global_index
@@ -97,7 +98,13 @@ def rate_posterior(air: Airline) -> DataFrame:
 def rate_posterior_by_missed(air: Airline) -> DataFrame:
     """Booking rate after a made (0) and a missed (1) flight, each with its own
     censored exposure."""
-    return _posterior(_survival_input(air), ["missed_flight_flag"])
+    st = _survival_input(air)
+    p = _posterior(st, ["missed_flight_flag"])
+    # both groups always: one without rows has the prior as its posterior
+    none = air.spark.range(2).select(F.col("id").cast("int").alias("missed_flight_flag"))
+    prior = _posterior(st.where(F.lit(False))).select([F.coalesce(c, F.lit(0)).alias(c) if c.startswith("n_") else c
+                                                       for c in _posterior(st).columns])
+    return p.unionByName(none.join(p, "missed_flight_flag", "left_anti").crossJoin(prior))
 
 
 def _wilson_hilferty(a: Column, b: Column, z: float) -> Column:
@@ -193,14 +200,11 @@ def stratum_sufficient_stats(air: Airline) -> DataFrame:
 
 def _shrink(per: DataFrame) -> DataFrame:
     """Gamma population by moments over accounts; posterior mean per account."""
-    d, t = F.col("events"), F.col("exposure_days")
-    mom = per.agg(F.sum(d).alias("_sd"), F.sum(t).alias("_st"), F.sum(t * t).alias("_stt"),
-                  F.sum(d * d).alias("_sdd"), F.sum(d * t).alias("_sdt"))
-    m = F.col("_sd") / F.col("_st")
-    # sum((d - m T)^2 - d) expanded into the sums above, so one pass suffices
-    v = (F.col("_sdd") - 2 * m * F.col("_sdt") + m * m * F.col("_stt") - F.col("_sd")) / F.col("_stt")
-    mom = mom.select(m.alias("pop_mean"), v.alias("pop_var"))
-    x = attach(per, mom)
+    d, t = F.col("events").cast("double"), F.col("exposure_days")
+    x = attach(per, per.agg((F.sum(d) / F.sum(t)).alias("pop_mean")))
+    gap = d - F.col("pop_mean") * t
+    # centred sums: the expanded form cancels and its squares of counts overflow
+    x = attach(x, x.agg((F.sum(gap * gap - d) / F.sum(t * t)).alias("pop_var")))
     alpha = F.col("pop_mean") * F.col("pop_mean") / F.col("pop_var")
     beta = F.col("pop_mean") / F.col("pop_var")
     shrunk = F.when(F.col("pop_var") > 0, (alpha + d) / (beta + t)).otherwise(F.col("pop_mean"))
@@ -256,12 +260,15 @@ def posterior_histogram(air: Airline, bins: int = 30) -> DataFrame:
 
 
 def calibration_summary(air: Airline, cut: str = CALIBRATION_CUT) -> DataFrame:
-    """Predict each account's later booking rate from its durations that start
-    before ``cut`` (shrunk estimate), compare with events/exposure after it."""
-    ev = survival_events(air)
-    cut_ts = F.lit(cut).cast("timestamp_ntz")
-    before = ev.where(F.col("actual_arrival") < cut_ts)
-    after = ev.where(F.col("actual_arrival") >= cut_ts)
+    """Predict each account's later booking rate from what is known at ``cut``
+    of its durations (those still open then are censored there; shrunk
+    estimate), compare with events/exposure of durations that start later."""
+    ev = survival_events(air).withColumn("_cut", F.lit(cut).cast("timestamp_ntz"))
+    known = days_between("_cut", "actual_arrival")
+    before = ev.where(F.col("actual_arrival") < F.col("_cut")).withColumns({
+        "censored_id": F.when(F.col("days") > known, 1).otherwise(F.col("censored_id")),
+        "days": F.least(F.col("days"), known)})
+    after = ev.where(F.col("actual_arrival") >= F.col("_cut"))
     est = _shrink(_per_account(before)).select("account_id", F.col("shrunk_rate").alias("estimate"))
     act = _per_account(after).where(F.col("exposure_days") > 0).select(
         "account_id", (F.col("events") / F.col("exposure_days")).alias("actual"))

@@ -111,5 +111,9 @@ def test_empty_tables(spark):
     frames = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
     air = Airline.from_frames(spark, **frames)
     for name in ("trips", "time_to_next_flight_2", "censored_accounts", "survival_table",
-                 "rate_posterior_by_missed", "flight_length_ntiles", "account_top_passenger"):
+                 "flight_length_ntiles", "account_top_passenger"):
         assert JOBS[name](air).count() == 0, name
+    # both groups are always reported, without data at their prior
+    post = JOBS["rate_posterior_by_missed"](air).orderBy("missed_flight_flag").collect()
+    assert [(r["missed_flight_flag"], r["n_events"], r["post_shape"], r["post_rate"]) for r in post] == [
+        (0, 0, 0.8, 0.33), (1, 0, 0.8, 0.33)]

@@ -82,6 +82,26 @@ def test_hierarchical_fit_recovers_parameters(spark):
         assert abs(est - true) < 3 * se + 1e-9, (est, true, se)
 
 
+@pytest.mark.parametrize("d0,d1,t0,t1", [(0, 0, 30.0, 0.0), (1, 0, 5.0, 9000.0), (60, 40, 500.0, 300.0),
+                                         (7000, 3000, 40000.0, 30000.0)])
+def test_quadrature_agrees_with_dense_integration(spark, d0, d1, t0, t1):
+    b, m, t = -2.0, -1.8, 0.4
+    eta = np.linspace(-25, 25, 2_000_001)
+    e0, e1 = t0 * np.exp(b + t * eta), t1 * np.exp(m + t * eta)
+    log = -0.5 * eta * eta + d0 * (b + t * eta) + d1 * (m + t * eta) - e0 - e1
+    w = np.exp(log - log.max())
+    mean = lambda x: float((w * x).sum() / w.sum())
+    stats = spark.createDataFrame([(float(d0), t0, float(d1), t1)], "d0 DOUBLE, t0 DOUBLE, d1 DOUBLE, t1 DOUBLE")
+    got = H._step_aggregate(stats, b, m, t)
+    gt = eta * (d0 + d1 - e0 - e1)
+    assert got["ll"] == pytest.approx(math.log(w.sum() * (eta[1] - eta[0]) / math.sqrt(2 * math.pi)) + log.max(), rel=1e-8)
+    assert got["gb"] == pytest.approx(mean(d0 - e0), rel=1e-5, abs=1e-5)
+    assert got["gm"] == pytest.approx(mean(d1 - e1), rel=1e-5, abs=1e-5)
+    assert got["gt"] == pytest.approx(mean(gt), rel=1e-5, abs=1e-5)
+    htt = mean(-eta * eta * (e0 + e1)) + mean(gt * gt) - mean(gt) ** 2
+    assert got["htt"] == pytest.approx(htt, rel=1e-4, abs=1e-4)
+
+
 def test_hierarchical_tau_to_zero_gives_pooled_rate(spark):
     rng = np.random.default_rng(5)
     rows = _simulate_accounts(rng, 800, -2.0, -2.0, 0.0)
