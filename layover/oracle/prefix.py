@@ -17,9 +17,9 @@ leg_base AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
 booking_leg AS (
-  SELECT l_orderkey * 100 + leg_num AS booking_leg_id,
+  SELECT l_orderkey * 1000000 + leg_num AS booking_leg_id,
          l_orderkey AS booking_id,
-         l_suppkey * 10000 + (date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))
+         l_suppkey * 1000000 + (date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))
                               + 14 + l_orderkey % 60 + leg_num) AS flight_id,
          leg_num,
          leg_num % 2 = 0 AS is_returning,
@@ -27,7 +27,7 @@ booking_leg AS (
   FROM leg_base
 ),
 flight_h AS (
-  SELECT flight_id, flight_id // 10000 AS sk, flight_id % 10000 AS d, (flight_id * 7919) % 1000 AS h
+  SELECT flight_id, flight_id // 1000000 AS sk, flight_id % 1000000 AS d, (flight_id * 7919) % 1000 AS h
   FROM (SELECT DISTINCT flight_id FROM booking_leg)
 ),
 flight_s AS (

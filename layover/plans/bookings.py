@@ -95,7 +95,7 @@ def missed_connections(air: Airline) -> DataFrame:
                  "mins_since_last_flight_arrival",
                  F.when(F.col("_min_gap") < MISSED_MINUTES, F.lit("Missed_flight"))
                   .otherwise(F.lit("Made_flight")).alias("missed_flight_flag"))
-    return pg_sort(x, "booking_id", "leg_num")
+    return pg_sort(x, "booking_id", "leg_num", "flight_id")
 
 
 def delayed_flight_customers(air: Airline, n: int | None = None) -> DataFrame:

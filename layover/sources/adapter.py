@@ -36,6 +36,7 @@ from layover.sources.tables import read_table
 # ---------------------------------------------------------------------------
 EPOCH = "1995-01-01 00:00:00"          # day zero of flight schedules
 FUTURE_CUTOFF = "2001-05-01 00:00:00"   # flights departing later have no actual times
+ID_STEP = 1_000_000                     # ids of legs and flights: this many a booking or supplier
 LEAD_DAYS = 14                          # minimum days from booking to first leg
 ROUTE_NUMBERS = 4                       # a route has 1..4 flight numbers per supplier
 AIRCRAFT_TYPES = 12                     # flights use codes AC0..AC11; every part is an aircraft row
@@ -149,9 +150,9 @@ class Airline:
         d = (F.datediff(F.to_date("o_orderdate"), F.to_date(_ts(EPOCH))).cast("long")
              + F.lit(LEAD_DAYS) + F.col("o_orderkey") % 60 + F.col("leg_num"))
         return legs.select(
-            (F.col("l_orderkey") * 100 + F.col("leg_num")).alias("booking_leg_id"),
+            (F.col("l_orderkey") * ID_STEP + F.col("leg_num")).alias("booking_leg_id"),
             F.col("l_orderkey").alias("booking_id"),
-            (F.col("l_suppkey") * 10000 + d).alias("flight_id"),
+            (F.col("l_suppkey") * ID_STEP + d).alias("flight_id"),
             F.col("leg_num").cast("int").alias("leg_num"),
             (F.col("leg_num") % 2 == 0).alias("is_returning"),
             F.col("o_orderdate").alias("update_ts"),
@@ -164,8 +165,8 @@ class Airline:
         ids = self.booking_leg.select("flight_id").distinct()
         base = ids.select(
             "flight_id",
-            F.expr("flight_id div 10000").alias("sk"),
-            (F.col("flight_id") % 10000).alias("d"),
+            F.expr(f"flight_id div {ID_STEP}").alias("sk"),
+            (F.col("flight_id") % ID_STEP).alias("d"),
             ((F.col("flight_id") * 7919) % 1000).alias("h"),
         )
         h, skc, d = F.col("h"), F.col("sk"), F.col("d")

@@ -41,8 +41,14 @@ def _edge_tables():
         (5, 20, d(2000, 1, 9)),   # leg on a flight with NULL arrival
         (6, 30, d(2000, 2, 1)),   # account with a single booking
         (7, 10, d(2000, 1, 20)),
+        (8, 40, d(2000, 1, 6)),   # legs 1 and 3, tight connection -> missed
+        (9, 40, d(2000, 1, 21)),  # two legs of one number
     ]
     legs = [
+        (801, 8, 1001, 1, False, d(2000, 1, 6)),
+        (803, 8, 1002, 3, False, d(2000, 1, 6)),
+        (901, 9, 1006, 1, False, d(2000, 1, 21)),
+        (902, 9, 1005, 1, False, d(2000, 1, 21)),
         (101, 1, 1000, 1, False, d(2000, 1, 1)),
         (201, 2, 1001, 1, False, d(2000, 1, 5)),
         (202, 2, 1002, 2, True, d(2000, 1, 5)),
@@ -64,7 +70,7 @@ def _edge_tables():
     ]
     aircraft = [("AC1", "m1", 2000, "A")]
     airport = [("N00", "C0", "R0"), ("N01", "C1", "R1")]
-    account = [(10, "Fn0", "Ln10", None), (20, None, "Ln20", 20), (30, "Fn3", None, 30)]
+    account = [(10, "Fn0", "Ln10", None), (20, None, "Ln20", 20), (30, "Fn3", None, 30), (40, "Fn4", "Ln40", None)]
     ff = [(20, "GOLD", 10), (30, "SILVER", 5)]
     passenger = [
         (10, 1, 10, "Fn0", "Ln10", d(2000, 1, 1)), (20, 2, 10, "Fn0", "Ln10", d(2000, 1, 5)),
