@@ -1,33 +1,35 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, edit check.
-
-Texts are sequences of lower-cased words.  A benchmark item of L words is
-sought in documents with windows of W words, the largest of a geometric
-ladder with ``W + S - 1 <= L`` and ``S = W // 2``: document windows start at
-every S-th word, and the item's own windows at each of its first S words,
-so that wherever the item stands in a document, one of the document's
-windows lies inside the copy and meets the item's window of the same
-alignment.
-
-Each window is embedded by a CGK random walk: in step j the current word is
-written out and the walk moves on if a random bit of (walk, step, word) is
-set.  Equal windows have equal embeddings, and an edit changes few places,
-because walks fall back into step after it: edit distance becomes Hamming
-distance.  A table samples ``bits`` places of an embedding; windows whose
-samples are equal in one of ``walks * tables`` tables, and whose whole
-embeddings of that walk agree on ``AGREE`` of their places, are candidates.
-
-Every candidate is verified exactly: the least edit distance (characters of
-the normalised texts) between the item and any part of the document around
-the candidate.  It is a match up to ``max_edit`` of the item's length.
+"""Benchmark decontamination: q-gram hits in bands of diagonals, edit check.
+
+Texts are normalised: lower-cased words with one space between.  An item of
+L characters matches a document where some part of the document is within
+``k = int(MAX_EDIT * L)`` edits (of characters) of the whole item.
+
+Every q-gram of a document that an item holds too is a hit; its diagonal is
+the place in the document less the place in the item.  In a match, the
+q-grams that no edit touches hit on at most k + 1 neighbouring diagonals, so
+diagonals are counted in buckets of at least that width, two neighbouring
+buckets at a time.  Where a pair of buckets has ``least`` hits, on as many
+places of the item and of the document, the item is a candidate.
+
+``least`` is stated by recall: of ``DRAWS`` draws of k edited places (the most
+that a match may have, at random among all), the share ``RECALL`` leaves that
+many q-grams whole.  Fewer edits, or edits next to each other as in changed
+words, leave more.  q is the largest up to ``LONGEST`` with a ``least`` that
+tells copies from other text.  Only many edits spread more evenly than at
+random can leave less than ``least`` and be missed.
+
+Every candidate is verified exactly: the least edit distance between the item
+and any part of the document within the candidate's diagonals.
 
 The items are taken in blocks of bounded size; each block is sent to the
 tasks and held against all documents.
 
 Edge cases: null, empty or wordless documents and items match nothing;
-items of one word are sought like others (as exact words, nearly); equal
-items each report; repeated rows match alike; whole texts of any length are
-searched; other columns are ignored; an empty table on either side gives
-no matches.  Null ids are reported as they are.
+items of one word are sought like others (shorter than 5 characters: exact
+copies, also inside words); equal items each report; repeated rows match
+alike; whole texts of any length are searched; other columns are ignored; an
+empty table on either side gives no matches.  Null ids are reported as they
+are.
 """
 
 from __future__ import annotations
@@ -40,75 +42,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layover.llm.common import ALPHANUMERIC, WordScanner, mix64, prepare, staged, text_key
+from layover.llm.common import mix64, prepare, staged, text_key
 
 BLOCK_ITEMS = 2_000  # items sent to the tasks at once
-WALKS, TABLES, BITS = 8, 2, 5
-AGREE = 0.55  # share of equal places of a candidate's embeddings
 MAX_EDIT = 0.2
+RECALL, DRAWS = 0.999, 4_000  # of copies with the most edits, at random places
+LONGEST = 8  # characters of a q-gram
+ENOUGH = 10  # whole q-grams that tell a copy from other text
+CHUNK = 1 << 16  # characters searched at once
 # words: runs of other characters than ASCII and general punctuation and spaces
-_ODD = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u303f]")
 _WORD = re.compile("[^\\x00-/:-@\\[-`{-\x7f\xa0-\xbf\u2000-\u206f\u3000-\u303f]+")
-_SLOTS = 1 << 18
-_TOP = np.uint64(63)
-
-
-def _plain(text: str) -> bytes:
-    """Lower-cased UTF-8 with general punctuation as spaces."""
-    t = text.lower()
-    return (_ODD.sub(" ", t) if not t.isascii() else t).encode()
-
-
-def _ladder(words: int) -> int:
-    """Window of an item of so many words."""
-    w, best = 1, 1
-    while w + max(1, w // 2) - 1 <= words:
-        best = w
-        w = max(w + 1, w * 4 // 3)
-    return best
-
-
-def _stride(w: int) -> int:
-    return max(1, w // 2)
-
-
-def _random(seed: int, n: int) -> np.ndarray:
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919 + 1)) | np.uint64(1)
-
-
-def _places(w: int, walk: int) -> list[set[int]]:
-    """Sampled steps of each table: one from each of equal parts of the walk,
-    so that a sample does not stay on one word."""
-    rng = np.random.default_rng((walk, w))
-    cuts = np.linspace(0, w, min(BITS, w) + 1).astype(int)
-    return [{int(rng.integers(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)} for _ in range(TABLES)]
-
-
-def signatures(h: np.ndarray, start: np.ndarray, w: int, walk: int) -> list[np.ndarray]:
-    """Bit samples of the embeddings of the windows of w words at ``start``:
-    one array for each table of the walk.  ``h`` has w words to spare."""
-    odd, places = _random(walk, w), _places(w, walk)
-    out = [np.full(len(start), t + 1, np.uint64) for t in range(TABLES)]
-    at = start.copy()
-    for j in range(1 + max(max(p) for p in places)):
-        here = h[at]
-        for t in range(TABLES):
-            if j in places[t]:
-                out[t] = (out[t] ^ here) * np.uint64(0xD6E8FEB86659FD93)
-        np.multiply(here, odd[j], out=here)
-        np.right_shift(here, _TOP, out=here)
-        at += here.view(np.int64)
-    return [x ^ (x >> np.uint64(32)) for x in out]
-
-
-def embedding(h: np.ndarray, start: np.ndarray, w: int, walk: int) -> np.ndarray:
-    """Whole embeddings (windows x w), 16 bits of each word's hash."""
-    odd, at, out = _random(walk, w), start.copy(), np.empty((len(start), w), np.uint16)
-    for j in range(w):
-        here = h[at]
-        out[:, j] = here >> np.uint64(48)
-        at += ((here * odd[j]) >> _TOP).view(np.int64)
-    return out
+_IN_WORD = np.array([bool(_WORD.match(chr(c))) for c in range(0x3041)])
+_ODD = mix64(np.arange(1, LONGEST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised texts in a row, a space after every word: the characters,
+    where each stands in its lower-cased text, the bounds of the texts, and
+    whether a character belongs to a word."""
+    low = [t.lower() for t in texts]
+    codes = _codes("\n".join(low) + "\n")
+    word = _IN_WORD[np.minimum(codes, 0x3040)]
+    kept = np.flatnonzero(word | np.concatenate(([False], word[:-1])))
+    offsets = np.cumsum([0] + [len(t) + 1 for t in low])
+    word = word[kept]
+    bounds = np.searchsorted(kept, offsets)
+    return np.where(word, codes[kept], 32).astype(np.uint32), kept - np.repeat(offsets[:-1], np.diff(bounds)), bounds, word
+
+
+def _string(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _least(length: int, memory: dict) -> tuple[int, int]:
+    """(q, hits that a copy of an item of so many characters has at least);
+    lengths are rounded down, and beyond 1,024 the hits of that many repeat."""
+    n = length if length < 64 else length >> length.bit_length() - 6 << length.bit_length() - 6
+    n, times = min(n, 1024), max(1, length // 1024)
+    if n not in memory:
+        k = int(MAX_EDIT * n) if n < 64 else -int(-MAX_EDIT * n // 1)
+        place = np.random.default_rng(n).random((DRAWS, n))
+        edited = place <= np.partition(place, k - 1, axis=1)[:, k - 1:k] if k else np.zeros((DRAWS, n), bool)
+        before = np.concatenate((np.zeros((DRAWS, 1), np.int32), np.cumsum(edited, axis=1, dtype=np.int32)), axis=1)
+        for q in range(min(LONGEST, n), 0, -1):
+            whole = (before[:, q:] == before[:, :-q]).sum(axis=1)
+            least = int(np.quantile(whole, 1 - RECALL, method="lower"))
+            if least >= max(1, min(ENOUGH, n // 8)):
+                break
+        memory[n] = q, least
+    q, least = memory[n]
+    return q, least * times
 
 
 def edit_match(item: str, text: str, allowed: int) -> tuple[int, int, int] | None:
@@ -144,90 +131,141 @@ def edit_match(item: str, text: str, allowed: int) -> tuple[int, int, int] | Non
     return best, end - back, end
 
 
-def _index(items: list[tuple]) -> dict:
-    """Per window size and (walk, table): sorted samples with item and shift."""
-    words, bounds = WordScanner(ALPHANUMERIC).scan([_plain(text) for _, text in items])
-    by: dict[int, list[int]] = defaultdict(list)
-    for k, size in enumerate(np.diff(bounds)):
-        if size:
-            by[_ladder(int(size))].append(k)
+def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """One hash for each q-gram."""
+    n = max(0, len(codes) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(q):
+        h += codes[i:i + n] * _ODD[i]
+    return h
+
+
+def _index(items: list[str]) -> dict:
+    """By q: places of the q-grams of the (normalised) items in slots, and
+    where the buckets of each item lie among all buckets of a chunk."""
+    longest = max(map(len, items), default=0)
+    chunk = max(CHUNK, 4 * longest)
+    overlap = longest + int(MAX_EDIT * longest) + LONGEST
+    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    memory: dict = {}
+    for k, text in enumerate(items):
+        if text:
+            q, least = _least(len(text), memory)
+            by[q].append((k, least))
     out = {}
-    for w, group in by.items():
-        h = np.concatenate((words, np.zeros(w, np.uint64)))
-        start, item, shift = [], [], []
-        for k in group:
-            n = min(_stride(w), int(bounds[k + 1] - bounds[k]) - w + 1)
-            start += range(int(bounds[k]), int(bounds[k]) + n)
-            item += [k] * n
-            shift += range(n)
-        tables = []
-        for walk in range(WALKS):
-            for s in signatures(h, np.array(start, np.int64), w, walk):
-                o = np.argsort(s, kind="stable")
-                slots = np.zeros(_SLOTS, bool)
-                slots[(s & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-                tables.append((s[o], np.array(item)[o], np.array(shift)[o], slots, o))
-        out[w] = tables, [embedding(h, np.array(start, np.int64), w, walk) for walk in range(WALKS)]
-    return out
-
-
-def _candidates(h: np.ndarray, bounds: np.ndarray, index: dict) -> dict[int, set[tuple[int, int]]]:
-    """Document number -> {(item, word where the item would start)}."""
-    found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    first, size = bounds[:-1], np.diff(bounds)
-    for w, (tables, embedded) in index.items():
-        s = _stride(w)
-        # a last window may stand out of the document: copies can be shorter
-        n = np.where(size > 0, np.maximum(size - w // 2 - 1, 0) // s + 1, 0)
-        doc = np.repeat(np.arange(len(n)), n)
-        start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * s + first[doc]
-        padded = np.concatenate((h, np.zeros(w + 1, np.uint64)))
-        for lo in range(0, len(start), 1 << 14):
-            part = start[lo:lo + (1 << 14)]
-            for walk in range(WALKS):
-                for t, sig in enumerate(signatures(padded, part, w, walk)):
-                    known, item, shift, slots, o = tables[walk * TABLES + t]
-                    hits = np.flatnonzero(slots[(sig & np.uint64(_SLOTS - 1)).view(np.int64)])
-                    left, right = (np.searchsorted(known, sig[hits], side) for side in ("left", "right"))
-                    n_items = right - left
-                    i = np.repeat(hits, n_items)
-                    k = np.arange(len(i)) - np.repeat(np.cumsum(n_items) - n_items, n_items) + np.repeat(left, n_items)
-                    if not len(i):
-                        continue
-                    # Hamming distance of the whole embeddings
-                    same = embedding(padded, part[i], w, walk) == embedded[walk][o[k]]
-                    near = same.mean(axis=1) >= AGREE
-                    for x, y in zip(i[near].tolist(), k[near].tolist(), strict=True):
-                        d = int(doc[lo + x])
-                        found[d].add((int(item[y]), int(part[x] - first[d] - shift[y])))
+    for q, group in by.items():
+        length = np.array([len(items[k]) for k, _ in group])
+        # a bucket is 2^shift diagonals, at least one more than there may be edits
+        shift = np.array([int(MAX_EDIT * n).bit_length() for n in length.tolist()])
+        buckets = ((chunk + overlap + longest) >> shift) + 2
+        base = np.cumsum(buckets) - buckets
+        grams = length - q + 1
+        h = np.concatenate([_hashes(_codes(items[k]).astype(np.uint64), q) for k, _ in group])
+        at = np.arange(len(h)) - np.repeat(np.cumsum(grams) - grams, grams)
+        bits = min(24, max(10, int(16 * len(h)).bit_length()))
+        slot = (h >> np.uint64(64 - bits)).view(np.int64)
+        o = np.argsort(slot, kind="stable")
+        first = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=1 << bits)))).astype(np.int32)
+        number = np.repeat(np.arange(len(group)), grams)[o]
+        out[q] = {"bits": bits, "used": np.diff(first) > 0, "first": first, "back": (longest - at[o]).astype(np.int32),
+                  "base": base[number].astype(np.int32), "shift": shift[number].astype(np.int32),
+                  "least": np.repeat([x for _, x in group], buckets).astype(np.int32), "starts": base, "ends": base + buckets - 1,
+                  "shifts": shift, "lengths": length, "items": np.array([k for k, _ in group])}
+    return {"longest": longest, "chunk": chunk, "overlap": overlap, "by": out}
+
+
+def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
+    """Candidates: (item, first and end place of the text to search)."""
+    found, longest = [], index["longest"]
+    for lo in range(0, len(codes), index["chunk"]):
+        part = codes[lo:lo + index["chunk"] + index["overlap"]].astype(np.uint64)
+        for q, x in index["by"].items():
+            slot = (_hashes(part, q) >> np.uint64(64 - x["bits"])).view(np.int64)
+            at = np.flatnonzero(x["used"][slot])
+            if not len(at):
+                continue
+            left = x["first"][slot[at]]
+            n = x["first"][slot[at] + 1] - left
+            place = np.repeat(at.astype(np.int32), n)
+            e = np.arange(len(place), dtype=np.int32) + np.repeat(left - (np.cumsum(n, dtype=np.int32) - n), n)
+            back = x["back"][e]
+            bucket = ((place + back) >> x["shift"][e]) + x["base"][e]
+            # a place of the document counts once in a bucket
+            fresh = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])))
+            hits = np.bincount(bucket[fresh], minlength=len(x["least"]))
+            two = hits.copy()
+            two[:-1] += hits[1:]
+            two[x["ends"]] = 0
+            pair = np.flatnonzero(two >= x["least"])
+            if not len(pair):
+                continue
+            number = np.searchsorted(x["starts"], pair, "right") - 1
+            length, shift = x["lengths"][number], x["shifts"][number]
+            start = ((pair - x["starts"][number]) << shift) - longest  # first diagonal
+            # as many places of the item and of the document
+            known = np.full(len(two) + 1, -1, np.int32)
+            known[pair] = np.arange(len(pair))
+            near = np.flatnonzero((known[bucket] >= 0) | (known[bucket - 1] >= 0))
+            size = length + (2 << shift)
+            room = np.cumsum(size) - size
+            mine, theirs = (np.zeros(int(size.sum()), bool) for _ in range(2))
+            b, i, p = bucket[near], longest - back[near], place[near]
+            for c in (known[b], known[b - 1]):
+                in_pair = np.flatnonzero(c >= 0)
+                c = c[in_pair]
+                mine[room[c] + i[in_pair]] = True
+                theirs[room[c] + p[in_pair] - start[c]] = True
+            both = np.minimum(np.add.reduceat(mine, room, dtype=np.int32), np.add.reduceat(theirs, room, dtype=np.int32))
+            ok = both >= x["least"][pair]
+            found.append(np.column_stack([x["items"][number], lo + start, lo + start + size + (MAX_EDIT * length).astype(int)])[ok])
     return found
 
 
-def _verified(text: str, places: set[tuple[int, int]], items: list[tuple], plain: dict[int, str], words_of: dict[int, int]):
-    """Best match of each item in a document: (item, distance, start, end)."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    by: dict[int, list[int]] = defaultdict(list)
-    for k, at in places:
-        by[k].append(at)
-    for k, starts in by.items():
-        allowed = int(MAX_EDIT * len(plain[k]))
-        slack, n = words_of[k] // 4 + 3, words_of[k]
-        best, seen = None, None
-        for at in sorted(starts):
-            if seen is not None and at <= seen:  # inside the part already searched
-                continue
-            lo, hi = max(0, at - slack), min(len(spans), at + n + 2 * slack)
-            seen = at + slack // 2
-            words = [text[a:z].lower() for a, z in spans[lo:hi]]
-            match = edit_match(plain[k], " ".join(words), allowed)
+def _matches(texts: list[str], items: list[str], index: dict):
+    """(document, item, distance, start, end): the best place of each item in
+    each document."""
+    codes, at, bounds, word = _normal(texts)
+    found = _spans(codes, index)
+    if not found:
+        return
+    found = np.concatenate(found)
+    parts: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    first = np.maximum(np.searchsorted(bounds, np.maximum(found[:, 1], 0), "right") - 1, 0)
+    for (k, lo, hi), d in zip(found.tolist(), first.tolist(), strict=True):
+        while d < len(texts) and bounds[d] < hi:  # diagonals may reach over several documents
+            a, z = max(lo, int(bounds[d])), min(hi, int(bounds[d + 1]) - 1)  # without the last space
+            if a < z:
+                parts[d, k].append((a, z))
+            d += 1
+    for (d, k), spans in sorted(parts.items()):
+        merged: list[list[int]] = []
+        for a, z in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(z, merged[-1][1])
+            else:
+                merged.append([a, z])
+        best = None
+        for a, z in merged:
+            match = edit_match(items[k], _string(codes[a:z]), int(MAX_EDIT * len(items[k])))
             if match and (best is None or match[0] < best[0]):
-                d, a, z = match
-                ends = np.cumsum([len(x) + 1 for x in words]) - 1
-                i = min(int(np.searchsorted(ends, a, "right")), len(words) - 1)
-                j = min(int(np.searchsorted(ends, max(a, z - 1), "left")), len(words) - 1)
-                best = (d, spans[lo + i][0], spans[lo + j][1])
+                best = match[0], a + match[1], a + match[2]
         if best:
-            yield k, *best
+            distance, a, z = best
+            z = max(a + 1, z)
+            while a < z - 1 and not word[a]:
+                a += 1
+            while z - 1 > a and not word[z - 1]:
+                z -= 1
+            while a > bounds[d] and word[a - 1]:  # whole words
+                a -= 1
+            while z < bounds[d + 1] and word[z]:
+                z += 1
+            a, z = int(at[a]), int(at[z - 1]) + 1
+            t = texts[d]
+            if len(t.lower()) != len(t):  # back to the code points of the text
+                of = np.repeat(np.arange(len(t)), [len(c.lower()) for c in t])
+                a, z = int(of[a]), int(of[z - 1]) + 1
+            yield d, k, distance, a, z
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -243,25 +281,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     for block in range(blocks):
         items = [tuple(r) for r in bench.where(block_of == block).orderBy("item_id", "text").collect()]
-        sent = spark.sparkContext.broadcast((items, _index(items)))
+        plain = [" ".join(_WORD.findall(text.lower())) for _, text in items]
+        sent = spark.sparkContext.broadcast(([i for i, _ in items], plain, _index(plain)))
         out = out.union(d.mapInArrow(_search(sent), kind))
     return staged(out, "matches")
 
 
 def _search(sent):
     def run(batches):
-        items, index = sent.value
-        plain, words_of, scanner = {}, {}, WordScanner(ALPHANUMERIC)
-        for k, (_, text) in enumerate(items):
-            words = _WORD.findall(text.lower())
-            plain[k], words_of[k] = " ".join(words), len(words)
+        ids, items, index = sent.value
         for b in batches:
-            rows = []
             texts = [t or "" for t in b.column(2).to_pylist()]
-            h, bounds = scanner.scan([_plain(t) for t in texts])
-            for i, places in _candidates(h, bounds, index).items():
-                for k, distance, start, end in _verified(texts[i], places, items, plain, words_of):
-                    rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), items[k][0], distance, len(plain[k]), start, end))
+            rows = [(b.column(0)[d].as_py(), b.column(1)[d].as_py(), ids[k], distance, len(items[k]), start, end)
+                    for d, k, distance, start, end in _matches(texts, items, index)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.int32()) for i, c in enumerate(cols)],
                                              ["doc_id", "th", "item_id", "distance", "length", "start", "end"])

@@ -232,6 +232,47 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_up_to_the_bound(spark):
+    """Character and word edits up to a fifth, as brute force over whole texts finds them."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def characters(t, k):
+        t = list(t)
+        for _ in range(k):
+            i, kind, c = rng.randrange(len(t)), rng.randrange(3), rng.choice(letters)
+            t[i:i + 1] = [[c], [c, t[i]], []][kind]
+        return "".join(t)
+
+    def substitutions(t, k):
+        places = set(rng.sample(range(len(t)), k))
+        return "".join("#" if i in places else c for i, c in enumerate(t)).replace("#", "q")
+
+    def words(t, k):
+        w = t.split()
+        for i in rng.sample(range(len(w)), k * len(w) // len(t)):
+            w[i] = "".join(rng.choice(letters) for _ in w[i])
+        return " ".join(w)
+
+    items = [(k, _text(rng, rng.choice([1, 2, 3, 6, 16, 40, 70]))) for k in range(60)]
+    rows, want = [], {}
+    for k, t in items:
+        for how in (characters, substitutions, words):
+            for share in (2, 5, 10, 15, 20):
+                text = f"İ {_text(rng, 20)} {how(t, share * len(t) // 100)}, {_text(rng, 20)}"
+                normal = " ".join(decontamination._WORD.findall(text.lower()))
+                m = decontamination.edit_match(t, normal, len(t) // 5)
+                if m:
+                    want[len(rows), k] = m[0]
+                rows.append((len(rows), text, "en"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(_docs(spark, rows), bench).collect()}
+    assert len(want) > 800 and all(k in got and got[k].distance == d for k, d in want.items())
+    for (d, k), r in got.items():
+        part = f" {' '.join(decontamination._WORD.findall(rows[d][1][r.start:r.end].lower()))} "
+        assert decontamination.edit_match(dict(items)[k], part, r.length)[0] == r.distance <= r.length // 5
+
+
 def test_edit_match_equals_dynamic_programming():
     rng = random.Random(8)
     for _ in range(100):
