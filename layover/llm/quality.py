@@ -10,6 +10,13 @@ few splits separate from the rest is anomalous.  The score is
 ``2^(-E[path length] / c(leaf_rows))``.  The sample is the method's own and
 bounded by its parameters; every document is scored.
 
+A tree splits a statistic only as far as it varies in the tree's rows, so a
+kind of junk must not depend on luck to be among them: all documents are
+sorted into strata by statistic and power of two of the excess, and every
+tree draws one of the strata that exist for each statistic and, if none of
+its rows leaves the limits as far, takes a row of that stratum in.  A kind
+of junk is so found however rare it is among however many documents.
+
 The threshold is calibrated on all labelled rows (``labels``: doc_id,
 quality 0 or 1): counts of both classes by score, in a thousand steps,
 give the threshold that rejects most bad rows while it loses at most
@@ -39,6 +46,8 @@ from layover.llm.common import WordHash, mix64, prepare, staged, text_key
 
 DEFAULT_THRESHOLD = 0.65
 STEPS = 1000
+LEVELS = (-8, 8)  # least and greatest power of two of an excess
+STRATUM_ROWS = 16  # kept of a statistic and power
 _SPACE = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -101,15 +110,22 @@ def _mean_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow(rows: np.ndarray, trees: int, leaf_rows: int, seed: int) -> dict:
-    """Forest as arrays (trees x nodes): feature (-1: leaf), cut, left, path."""
+def grow(rows: np.ndarray, trees: int, leaf_rows: int, seed: int, strata: list[dict[int, np.ndarray]] | None = None) -> dict:
+    """Forest as arrays (trees x nodes): feature (-1: leaf), cut, left, path.
+    ``strata``: for each feature, power of two of the excess -> rows."""
     rng = np.random.default_rng(seed)
     size = min(leaf_rows, len(rows))
     limit = math.ceil(math.log2(max(2, size)))
     nodes = 2 ** (limit + 1)
     feature, cut, path = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
     for t in range(trees):
-        todo = [(1, rows[rng.choice(len(rows), size, replace=False)], 0)]
+        drawn = rows[rng.choice(len(rows), size, replace=False)]
+        for f, levels in enumerate(strata or []):
+            if levels and f < size:
+                level = int(rng.choice(sorted(levels)))
+                if drawn[:, f].max() < 2.0 ** level:
+                    drawn[f] = levels[level][rng.integers(len(levels[level]))]
+        todo = [(1, drawn, 0)]
         while todo:  # node k has children 2k and 2k + 1
             k, x, depth = todo.pop()
             low, high = x.min(axis=0), x.max(axis=0)
@@ -144,6 +160,38 @@ def _rows(b, first: int) -> np.ndarray:
     return np.column_stack([b.column(first + i).to_numpy() for i in range(len(COUNTS))]).reshape(-1, len(COUNTS))
 
 
+def _strata(stats: DataFrame, seed: int) -> list[dict[int, np.ndarray]]:
+    """For each feature, power of two of the excess -> features of the rows
+    with the least hash in each of STRATUM_ROWS parts, over all rows."""
+    kinds = ", ".join(f"{c} long" for c in COUNTS)
+
+    def least(batches):
+        for b in batches:
+            counts, h = _rows(b, 1), b.column(0).to_numpy()
+            x, picked = _features(counts), []
+            for f in range(len(FEATURES)):
+                at = np.flatnonzero(x[:, f] > 0)
+                at = at[np.argsort(h[at], kind="stable")]
+                level = np.clip(np.floor(np.log2(x[at, f])), *LEVELS).astype(np.int64)
+                _, first = np.unique(level * STRATUM_ROWS + h[at] % STRATUM_ROWS, return_index=True)
+                picked += [(f, int(level[i]), int(at[i])) for i in first]
+            f, level, at = (np.array([p[i] for p in picked], np.int64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (f, level, h[at], *counts[at].T)], ["feature", "level", "h", *COUNTS])
+
+    d = stats.select(F.xxhash64("doc_id", "th", F.lit(seed)).alias("h"), *COUNTS)
+    rows = (d.mapInArrow(least, f"feature long, level long, h long, {kinds}")
+            .groupBy("feature", "level", F.pmod("h", F.lit(STRATUM_ROWS)).alias("part"))
+            .agg(F.min(F.struct("h", *COUNTS)).alias("r")).select("feature", "level", "r.*")
+            .orderBy("feature", "level", "h", *COUNTS).toArrow())  # at most features x levels x STRATUM_ROWS
+    out: list[dict[int, np.ndarray]] = [{} for _ in FEATURES]
+    if rows.num_rows:
+        x = _features(np.column_stack([rows[c].to_numpy() for c in COUNTS]))
+        feature, level = rows["feature"].to_numpy(), rows["level"].to_numpy()
+        for f, v in sorted(set(zip(feature.tolist(), level.tolist(), strict=True))):
+            out[f][v] = x[(feature == f) & (level == v)]
+    return out
+
+
 def calibrate(steps: dict[int, tuple[int, int]], clean_loss: float) -> float:
     """Threshold from {score step: (bad rows, good rows)}."""
     bad, good = (sum(v[i] for v in steps.values()) for i in (0, 1))
@@ -181,7 +229,8 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = 100, leaf_rows: int =
     sample = (stats.where("not base_failed").orderBy(F.xxhash64("doc_id", "th", F.lit(seed)), "doc_id", "th")
               .limit(sample_rows).select(*COUNTS).toArrow())
     x = _features(np.column_stack([sample[c].to_numpy() for c in COUNTS])) if sample.num_rows else np.zeros((1, len(FEATURES)))
-    sent = docs.sparkSession.sparkContext.broadcast(grow(x, trees, leaf_rows, seed))
+    strata = _strata(stats.where("not base_failed"), seed)
+    sent = docs.sparkSession.sparkContext.broadcast(grow(x, trees, leaf_rows, seed, strata))
 
     def score(batches):
         for b in batches:

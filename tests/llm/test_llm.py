@@ -211,6 +211,20 @@ def test_quality_counts_and_forest(spark):
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_finds_one_kind_of_junk_however_rare(spark):
+    """One document in 9,000 breaks a rule that no other breaks, for each of two rules."""
+    rng = random.Random(31)
+    prose = lambda: " ".join(rng.choice(WORDS) + rng.choice(["", *WORDS]) for _ in range(60))
+    rows = [(i, prose(), "en") for i in range(9000)]
+    rows += [(10_000 + i, " ".join(w + " ##" for w in prose().split()), "en") for i in range(40)]
+    rows += [(20_000, " ".join(w + "!!" for w in prose().split()), "en"), (20_001, prose().upper(), "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(10_000 + i, 0) for i in range(20)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(_docs(spark, rows), labels).collect()}
+    assert not any(got[i].base_failed for i in (20_000, 20_001))
+    assert not got[20_000].kept and not got[20_001].kept
+    assert not any(got[10_000 + i].kept for i in range(40)) and all(got[i].kept for i in range(9000))
+
+
 def test_decontamination_finds_copies_and_edits(spark):
     rng = random.Random(6)
     items = [(k, _text(rng, rng.choice([8, 20, 45])).capitalize() + ".") for k in range(30)]
