@@ -8,17 +8,21 @@ Pass 1 decides each block by itself: blocks inside menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments (by element, role or
 the words of class and id) are boilerplate, as are blocks made of links;
 long blocks with many stop words and few links are text.  What stays is
-ambiguous: short blocks, and long ones with few stop words.
+ambiguous.  Then runs are decided: where no boilerplate stands between them
+and their code points come to a long block, two or more unlinked blocks that
+are at least of medium length, or short sentences, are text in any language.
+Runs count in the regions of a page (its article and main elements) and,
+if no region has text, on the page outside of them.
 
 Pass 2 gives an ambiguous block the label of the nearest decided blocks of
-its region (an article or main element, or the page outside of them); if
-they differ, the nearer one decides, and at equal distance the block is
-text if it has stop words or is a heading.  Where a region has no decided
-block, an article's block is text and a block outside is boilerplate.
-
-Inside an article, a block without links is never boilerplate in pass 1
-for want of stop words, so that tables, code, shouting or foreign words of
-an article stay.  If nothing on a page is text, the text is empty.
+its region; if they differ, the nearer one decides, and at equal distance
+the block is text if it has stop words or is a heading.  It works alike in
+and outside of articles, so an unmarked advert or notice among links goes;
+only boilerplate elements nested in an article, which say themselves where
+they end, decide nothing about their neighbours.
+Where an article has no text by then, its ambiguous blocks are text; where
+the page has none, those of medium length without links are.  If nothing on
+a page is text, the text is empty.
 
 Edge cases: null or empty html gives an empty text; unclosed and misnested
 tags are closed by the next matching end tag or by the page's end, and an
@@ -81,6 +85,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG = 70, 200  # code points
 FEW_STOPS, MANY_STOPS = 0.15, 0.30  # share of the words
 MANY_LINKS = 0.4  # share of the code points
+_SENTENCE_END = tuple(".!?…。！？।؟")
 
 GOOD, BAD, OPEN = 1, 0, -1
 
@@ -195,30 +200,68 @@ def classify(b: Block) -> int:
         return OPEN if b.region else BAD
     if n < SHORT:
         return OPEN if b.region or not b.linked else BAD
-    stops = _stops(b.text)
-    if stops >= MANY_STOPS and n >= LONG or stops >= FEW_STOPS and b.region:
-        return GOOD
-    return OPEN if b.region or stops >= FEW_STOPS else BAD
+    return GOOD if n >= LONG and _stops(b.text) >= MANY_STOPS else OPEN
+
+
+def _prose(b: Block) -> bool:
+    """Unlinked, and of medium length or a sentence."""
+    return not b.linked and (len(b.text) >= SHORT or b.text.endswith(_SENTENCE_END) and len(b.text.split()) > 3)
+
+
+def _decides(b: Block) -> bool:
+    """A boilerplate element in an article says itself where it ends, so that
+    lists and captions next to it stay."""
+    return not (b.bad and b.region)
+
+
+def _runs(page: list[Block], first: list[int], regions: set[int]) -> None:
+    """Ambiguous blocks of runs of prose become text."""
+    runs: list[list[int]] = []
+    of: dict[int, list[int]] = {}
+    for i, b in enumerate(page):
+        if b.region not in regions:
+            continue
+        if first[i] == BAD:
+            if _decides(b):
+                of.pop(b.region, None)
+        elif _prose(b):
+            if b.region not in of:
+                of[b.region] = []
+                runs.append(of[b.region])
+            of[b.region].append(i)
+    for run in runs:
+        if len(run) > 1 and sum(len(page[i].text) for i in run) >= LONG:
+            for i in run:
+                first[i] = GOOD
 
 
 def labels(page: list[Block]) -> list[int]:
-    """Pass 1 and pass 2."""
+    """Pass 1, runs and pass 2."""
     first = [classify(b) for b in page]
+    regions = {b.region for b in page if b.region}
+    _runs(page, first, regions)
+    for r in regions - {b.region for b, label in zip(page, first, strict=True) if label == GOOD}:
+        for i, b in enumerate(page):
+            if b.region == r and first[i] == OPEN:
+                first[i] = GOOD
+    if not any(label == GOOD and b.region for b, label in zip(page, first, strict=True)):
+        _runs(page, first, {0})
+        if GOOD not in first:
+            first = [GOOD if label == OPEN and not b.linked and len(b.text) >= SHORT else label for b, label in zip(page, first, strict=True)]
     out, n = list(first), len(page)
     left, right = [-1] * n, [-1] * n  # nearest decided block of the region
     for side, order in ((left, range(n)), (right, range(n - 1, -1, -1))):
         last: dict[int, int] = {}
         for i in order:
             side[i] = last.get(page[i].region, -1)
-            # boilerplate nested in an article decides nothing about the article
-            if first[i] == GOOD or first[i] == BAD and not page[i].region:
+            if first[i] == GOOD or first[i] == BAD and _decides(page[i]):
                 last[page[i].region] = i
     for i, b in enumerate(page):
         if first[i] != OPEN:
             continue
         a, z = left[i], right[i]
         if a < 0 and z < 0:
-            out[i] = GOOD if b.region else BAD
+            out[i] = BAD
         elif a < 0 or z < 0 or first[a] == first[z]:
             out[i] = first[max(a, z) if a < 0 or z < 0 else a]
         elif i - a != z - i:

@@ -113,6 +113,30 @@ def test_html_main_text():
     assert html_extraction.main_text("<p " * 2000) is not None
 
 
+def test_html_without_article_tag_and_adverts_within():
+    text = lambda *blocks, tag="div": html_extraction.main_text(
+        "<body><div class=nav><a href=/>Home</a> <a href=/b>News of the day</a></div><%s>%s</%s><div class=footer>All of the rights</div></body>"
+        % (tag, "".join(b if b.startswith("<") else f"<div>{b}</div>" for b in blocks), tag)).split("\n\n")
+    english = ["The council said on Monday that the bridge at the old mill would be closed for repairs.",
+               "Drivers are asked to take the road along the river until the work has come to an end.",
+               "A small ferry will run for people on foot, as it did in the years before the bridge."]
+    finnish = ["Kaupunginvaltuusto kertoi maanantaina, että vanhan myllyn silta suljetaan korjausten ajaksi.",
+               "Autoilijoita pyydetään käyttämään joenvarren tietä, kunnes korjaustyöt saadaan päätökseen.",
+               "Jalankulkijoille järjestetään pieni lautta, kuten vuosina ennen sillan rakentamista tehtiin."]
+    short = ["The bridge is closed for now.", "Drivers should take the river road.", "A ferry will run for people on foot.", "It did so before the bridge.",
+             "The work ends in the spring.", "The mayor thanks all of them.", "The old mill stays open too."]
+    for blocks in (english, finnish, short):
+        assert text(*blocks) == blocks and text(*blocks, tag="article") == blocks
+    assert text(english[0]) == english[:1]
+    links = "<p><a href=/s>Shoes on sale</a> <a href=/t>Tents on sale</a></p>"
+    advert = "Half price this week only!"
+    assert text(*english, links, advert, links, tag="article") == english
+    notice = "Offer valid while stocks last, excludes shipping, gift cards, clearance, outlet items!"
+    assert text(*english, links, notice, links, tag="article") == english
+    # a list next to a nested element stays
+    assert text(english[0], "<aside>Other things</aside>", "<ul><li>Bread<li>Milk</ul>", english[1], tag="article") == [english[0], "Bread", "Milk", english[1]]
+
+
 def test_html_edges(spark):
     p = spark.createDataFrame([(1, "u", None), (1, "u", PAGE), (None, None, PAGE)], "page_id long, url string, html string")
     got = html_extraction.extract(p).collect()
