@@ -13,11 +13,13 @@ Spark scores in rounds, for each kind:
 
 * a pattern's confidence is the mean score of its instances, smoothed by
   half an instance of score 0; it counts only with ``min_seeds`` different
-  seeds of the kind, so a chance neighbour induces nothing;
+  seeds of the kind, so a chance neighbour induces nothing, and if they are
+  at least ``MIN_SHARE`` of its instances;
 * an instance that is no seed scores ``1 - prod(1 - confidence)`` over its
   patterns.
 
-After ``rounds`` rounds the occurrences of instances that stand in a pattern
+Scores only grow from round to round.  Once no confidence changes by more
+than ``TOLERANCE`` the occurrences of instances that stand in a pattern
 of at least ``min_confidence`` and whose own score reaches it are added as
 spans of the kind, where they touch no base span.
 
@@ -41,6 +43,8 @@ from layover.llm.common import prepare, staged, text_key
 
 KINDS = ["email", "ip", "card", "phone"]
 BROADCAST_ROWS = 200_000
+MIN_SHARE = 0.16  # of seeds among the instances of a pattern
+TOLERANCE = 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -182,27 +186,31 @@ _SPAN = "array<struct<start: int, kind: int, end: int>>"
 _OCC = "array<struct<start: int, end: int, kind: int, value: bigint, patterns: array<string>>>"
 
 
-def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int, min_seeds: int) -> tuple[DataFrame, DataFrame]:
+def score_graph(edges: DataFrame, seeds: DataFrame, min_seeds: int) -> tuple[DataFrame, DataFrame]:
     """``edges(pattern, value)`` distinct, ``seeds(value, kind)`` distinct ->
     (patterns(pattern, kind, confidence), instances(value, kind, score))."""
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
     support = (edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support"))
                .where(F.col("support") >= min_seeds))
-    known = staged(support.join(size, "pattern"), "patterns")
+    known = staged(support.join(size, "pattern").where(F.col("support") >= MIN_SHARE * F.col("instances")), "patterns")
     scores = seeds.withColumn("score", F.lit(1.0))
     usable = staged(edges.join(known.select("pattern").distinct(), "pattern", "left_semi"), "edges")
-    for _ in range(rounds):
+    before = known.select("pattern", "kind", F.lit(0.0).alias("before"))
+    while True:
         total = usable.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("total"))
         patterns = (known.join(total, ["pattern", "kind"])
                     .select("pattern", "kind", (F.col("total") / (F.col("instances") + 0.5)).alias("confidence")))
         patterns = staged(patterns, "confidence")
+        change = patterns.join(before, ["pattern", "kind"]).agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0]
+        before = patterns.withColumnRenamed("confidence", "before")
         induced = (usable.join(patterns, "pattern").join(seeds.select("value"), "value", "left_anti")
                    .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score")))
         scores = staged(seeds.withColumn("score", F.lit(1.0)).unionByName(induced), "scores")
-    return patterns, scores
+        if change is None or change <= TOLERANCE:
+            return patterns, scores
 
 
-def find(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_confidence: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, min_seeds: int = 5, min_confidence: float = 0.9) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, th (text key), base
     and added (arrays of (start, kind, end); kind indexes KINDS)."""
     prepare(docs.sparkSession)
@@ -211,7 +219,7 @@ def find(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_confidence: f
     occ = rows.select("doc_id", "th", F.explode("occ").alias("o")).select("doc_id", "th", "o.*")
     edges = occ.select(F.explode("patterns").alias("pattern"), "value").distinct()
     seeds = staged(occ.where("kind >= 0").select("value", "kind").distinct(), "seeds")
-    patterns, scores = score_graph(edges, seeds, rounds, min_seeds)
+    patterns, scores = score_graph(edges, seeds, min_seeds)
     # occurrences that are no seeds, in a pattern and of a value above the bound
     sure = patterns.where(F.col("confidence") >= min_confidence).select("pattern", F.col("kind").alias("found"))
     good = scores.where(F.col("score") >= min_confidence).select("value", F.col("kind").alias("found"), "score")

@@ -365,6 +365,19 @@ def test_pii_base_and_bootstrapping(spark):
     assert all(r.n_chars == len(r.text) for r in clean if r.text is not None)
 
 
+def test_pii_contexts_rich_in_unseen_values(spark):
+    """One shared pattern: 13 seeds with 10 unseen values, 5 with 2, 12 with 12; 5 with 40 are too few."""
+    rows, unseen = [], set()
+    for c, (seeds, others) in enumerate([(13, 10), (5, 2), (12, 12), (5, 40)]):
+        for i in range(seeds + others):
+            value = f"u{c}x{i}@host.example.com" if i < seeds else f"u{c}x{i}(at)host"
+            if i >= seeds and c < 3:
+                unseen.add(len(rows))
+            rows.append((len(rows), f"write{'abcd'[c]} to {value} " + "".join("abcdefghij"[int(x)] for x in f"{len(rows):04d}"), "en"))
+    added = {r.doc_id for r in pii.find(_docs(spark, rows)).collect() if r.added}
+    assert added == unseen
+
+
 def test_pipeline_stages(spark):
     docs = prepare(spark).read.parquet(f"{SF}/documents.parquet").withColumn("_drop", F.lit(1))
     odd = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))
