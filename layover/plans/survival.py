@@ -69,11 +69,12 @@ def _events(df: DataFrame) -> Column:
     return F.sum(F.when(F.col("censored_id") == 0, 1).otherwise(0)).cast("long")
 
 
-def _posterior(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    s = g.agg(_events(df).alias("n_events"),
-              F.sum(F.when(F.col("censored_id") == 1, 1).otherwise(0)).cast("long").alias("n_censored"),
-              F.sum("days").alias("exposure_days"))
+def _conjugate(s: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Posterior columns of rows with ``n_events``, ``n_censored`` and
+    ``exposure_days``; without any data (NULL sums) it is the prior."""
+    n_events, n_censored = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_events", "n_censored"))
+    exposure = F.coalesce(F.col("exposure_days"), F.lit(0.0))
+    s = s.select(*keys, n_events.alias("n_events"), n_censored.alias("n_censored"), exposure.alias("exposure_days"))
     a = F.lit(PRIOR_SHAPE) + F.col("n_events")
     b = F.lit(PRIOR_RATE) + F.col("exposure_days")
     return s.select(*keys, "n_events", "n_censored", _r(F.col("exposure_days")).alias("exposure_days"),
@@ -92,19 +93,23 @@ def mean_days_to_next(air: Airline) -> DataFrame:
 
 def rate_posterior(air: Airline) -> DataFrame:
     """Pooled booking rate: exact Gamma posterior under right-censoring."""
-    return _posterior(_survival_input(air))
+    censored = F.col("censored_id")
+    return _conjugate(_survival_input(air).agg(
+        F.sum(F.when(censored == 0, 1)).alias("n_events"), F.sum(F.when(censored == 1, 1)).alias("n_censored"),
+        F.sum("days").alias("exposure_days")))
 
 
 def rate_posterior_by_missed(air: Airline) -> DataFrame:
     """Booking rate after a made (0) and a missed (1) flight, each with its own
-    censored exposure."""
-    st = _survival_input(air)
-    p = _posterior(st, ["missed_flight_flag"])
-    # both groups always: one without rows has the prior as its posterior
-    none = air.spark.range(2).select(F.col("id").cast("int").alias("missed_flight_flag"))
-    prior = _posterior(st.where(F.lit(False))).select([F.coalesce(c, F.lit(0)).alias(c) if c.startswith("n_") else c
-                                                       for c in _posterior(st).columns])
-    return p.unionByName(none.join(p, "missed_flight_flag", "left_anti").crossJoin(prior))
+    censored exposure.  One aggregate holds both groups, so a group without
+    rows is there too, with the prior as its posterior."""
+    flag, censored = F.col("missed_flight_flag"), F.col("censored_id")
+    sums = _survival_input(air).agg(F.array(*[F.struct(
+        F.lit(m).cast("int").alias("missed_flight_flag"),
+        F.sum(F.when((flag == m) & (censored == 0), 1)).alias("n_events"),
+        F.sum(F.when((flag == m) & (censored == 1), 1)).alias("n_censored"),
+        F.sum(F.when(flag == m, F.col("days"))).alias("exposure_days")) for m in (0, 1)]).alias("groups"))
+    return _conjugate(sums.selectExpr("inline(groups)"), ["missed_flight_flag"])
 
 
 def _wilson_hilferty(a: Column, b: Column, z: float) -> Column:

@@ -23,7 +23,7 @@ def test_adapter_counts(spark):
     assert air.flight.count() == 5309
     assert air.flight.where("actual_arrival is null").count() == 345
     assert air.flight.where("actual_arrival < actual_departure").count() == 148
-    assert air.aircraft.count() == 11 and air.airport.count() == 25
+    assert air.aircraft.count() == 200 and air.airport.count() == 25
 
 
 def test_leg_numbers_consecutive(spark):
