@@ -58,8 +58,74 @@ select page_id, n::bigint as payload_bytes, p.d as payload_digest,
 from p left join g on p.d = g.d and p.n >= 1000
 """
 
+_OP13 = r"""
+with recursive given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as bytes
+  from conversations),
+kinds as (
+  select *, xor(4294967295::ubigint, list_reduce(
+      list_transform(range(0, strlen(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::ubigint),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[],
+                               lambda a, z: xor(a >> 1, 3988292384::ubigint * (a & 1))),
+      4294967295::ubigint)) % 20 as kind
+  from given),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from kinds where kind <> 0)),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, left(role, 1) as initial
+  from damaged),
+turns as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                 when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' end as fault,
+         lag(initial) over (partition by conv_id order by i) as before
+  from numbered),
+sums as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) as n,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from turns group by conv_id),
+grown(q, m, to_q, roles) as (values
+  (0, 0, 0, []::varchar[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+  (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+  (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']),
+  (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])),
+state(conv_id, i, q, best) as (
+  select conv_id, 0::bigint, 0, {'cost': 0, 'audit': '', 'turns': []::varchar[]} from sums
+  union all
+  select s.conv_id, s.i + 1, e.q, min({'cost': s.best.cost + 5 * g.m + e.cost, 'audit': s.best.audit || repeat('I', g.m) || e.edit,
+                                       'turns': s.best.turns || g.roles || e.kept})
+  from state s join turns t on t.conv_id is not distinct from s.conv_id and t.i = s.i + 1 join grown g on g.q = s.q,
+  lateral (
+    select g.to_q as q, 2 as cost, 'D' as edit, []::varchar[] as kept
+    union all
+    select case g.to_q when 2 then 3 else 2 end, 1 + case when t.fault = 'truncated' then 5 else 0 end, 'R',
+           [case g.to_q when 2 then 'assistant:' else 'user:' end || t.text]
+    where t.fault is null or t.fault = 'truncated'
+    union all
+    select case t.initial when 's' then 1 when 'u' then 2 else 3 end, case when t.fault = 'truncated' then 5 else 0 end, 'K',
+           [t.role || ':' || t.text]
+    where (t.fault is null or t.fault = 'truncated')
+      and ((t.initial = 's' and g.to_q = 0) or (t.initial = 'u' and g.to_q <> 2) or (t.initial = 'a' and g.to_q = 2))) e
+  group by s.conv_id, s.i, e.q),
+ended as (
+  select s.conv_id, min({'cost': s.best.cost + 5 * g.m, 'audit': s.best.audit || repeat('I', g.m), 'turns': s.best.turns || g.roles}) as best
+  from state s join sums n on n.conv_id is not distinct from s.conv_id and n.n = s.i join grown g on g.q = s.q and g.to_q in (0, 3)
+  group by s.conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0)::bigint as cost,
+       coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join sums s on s.conv_id is not distinct from c.conv_id
+left join ended e on e.conv_id is not distinct from c.conv_id
+"""
+
 ORACLE = {
     "op1_ngram_jaccard_join": _OP1,
     "op6_sharding": _OP6,
     "op9_warc": _OP9,
+    "op13_conversation_repair": _OP13,
 }

@@ -104,6 +104,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                     joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.conversation_repair import conversation_key, damage, digest, gaps, repair, turns
+
+    given = read(prepare(spark), sf_dir, "conversations")
+    rows = turns(damage(given))
+    edits, faults = repair(rows)
+    every = given.select(conversation_key().alias("key"), "conv_id").dropDuplicates(["key"])
+    x = every.join(gaps(rows), "key", "left").join(faults, "key", "left").join(digest(edits), "key", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return x.select("conv_id", *[number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -115,4 +129,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "op13_conversation_repair": op13_conversation_repair,
 }
