@@ -58,6 +58,27 @@ select page_id, n::bigint as payload_bytes, p.d as payload_digest,
 from p left join g on p.d = g.d and p.n >= 1000
 """
 
+_OP11 = r"""
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id, a.label = b.label as same,
+         coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.r <> b.r),
+p as (
+  select ar, anchor_id, br, vec_id as positive_id, score as positive_score
+  from s where same qualify row_number() over (partition by ar order by score desc, vec_id nulls last) <= 5),
+n as (
+  select p.anchor_id, positive_id, s.vec_id as negative_id, positive_score, s.score as negative_score,
+         row_number() over (partition by p.ar, p.br order by s.score desc, s.vec_id nulls last) as rank
+  from p join s on s.ar = p.ar and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
 _OP13 = r"""
 with recursive given as (
   select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
@@ -127,5 +148,6 @@ ORACLE = {
     "op1_ngram_jaccard_join": _OP1,
     "op6_sharding": _OP6,
     "op9_warc": _OP9,
+    "op11_hard_negatives": _OP11,
     "op13_conversation_repair": _OP13,
 }

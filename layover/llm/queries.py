@@ -104,6 +104,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                     joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.hard_negatives import mine, relabelled, taking_part
+
+    rows = taking_part(relabelled(read(prepare(spark), sf_dir, "embeddings")))
+    return mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layover.llm.conversation_repair import conversation_key, damage, digest, gaps, repair, turns
 
@@ -129,5 +136,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
