@@ -27,7 +27,7 @@ are separate rows, and an anchor leaves out only itself; a positive score
 that is negative has an empty window; without positives or negatives an
 anchor has no rows; other columns are ignored; an empty table gives an empty
 result.  Scores are exact: in doubles while every partial sum stays below
-2^53, else in Python's integers of up to 38 digits (greater ones count as the
+2^53, else in Python's integers of up to 34 digits (greater ones count as the
 greatest); one that does not fit 64 bits is returned as the nearest that does.
 """
 
@@ -50,7 +50,7 @@ SCALE = 256.0
 #: depths of the first sorted accesses; each next one is twice as deep
 FIRST_DEPTH = 16
 EXACT = 2.0 ** 53
-_MOST = 10 ** 38 - 1
+_MOST = 10 ** 34 - 1  # Spark negates decimals in 34 digits
 _LONG = (1 << 63) - 1
 
 
