@@ -111,6 +111,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layover.llm.toxicity import fit, held_out, predict
+
+    docs = read(prepare(spark), sf_dir, "documents")
+    scored = predict(docs, fit(docs, read(spark, sf_dir, "labels"), ~held_out(), at=0.7))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layover.llm.conversation_repair import conversation_key, damage, digest, gaps, repair, turns
 
@@ -137,5 +145,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_toxicity": op12_toxicity,
     "op13_conversation_repair": op13_conversation_repair,
 }
