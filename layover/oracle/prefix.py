@@ -106,13 +106,13 @@ class OracleSQL(str):
     body: str
 
     def without_prefix(self) -> str:
-        return (("WITH " + self.extra + "\n") if self.extra else "") + self.body
+        return (("WITH RECURSIVE " + self.extra + "\n") if self.extra else "") + self.body
 
 
 def with_prefix(body: str, extra_ctes: str = "") -> OracleSQL:
     """``WITH <prefix>[, extra] <body>``."""
     extra = extra_ctes.strip().rstrip(",")
     ctes = PREFIX + ((",\n" + extra) if extra else "")
-    q = OracleSQL("WITH " + ctes.strip() + "\n" + body.strip())
+    q = OracleSQL("WITH RECURSIVE " + ctes.strip() + "\n" + body.strip())
     q.extra, q.body = extra, body.strip()
     return q

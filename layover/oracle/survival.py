@@ -56,8 +56,14 @@ def shrink_from(per: str, name: str) -> str:
             .replace("SELECT per.*", f"SELECT {per}.*"))
 
 
-WH = "(a / b) * power(1.0 - 1.0 / (9 * a) + ({z}) / (3 * sqrt(a)), 3)"
-Z80, Z95 = "1.2815515655446004", "1.959963984540054"
+BEFORE_AFTER = ("""
+bef AS (
+  SELECT account_id, missed_flight_flag, CASE WHEN days > known THEN 1 ELSE censored_id END AS censored_id,
+         least(days, known) AS days
+  FROM (SELECT *, date_diff('microsecond', actual_arrival, TIMESTAMP '1998-07-01 00:00:00') / 1e6 / 86400.0 AS known
+        FROM surv_ev WHERE actual_arrival < TIMESTAMP '1998-07-01 00:00:00')
+)""", "aft AS (SELECT * FROM surv_ev WHERE actual_arrival >= TIMESTAMP '1998-07-01 00:00:00')",
+                per_from("bef", "per_b"), per_from("aft", "per_a"), shrink_from("per_b", "est_b"))
 
 ORACLE = {
     "mean_days_to_next": _q(f"SELECT count(*) AS n_rows, round(avg(days), {R}) AS mean_days FROM surv"),
@@ -67,11 +73,6 @@ FROM (SELECT sum(n_events) AS n_events_, sum(n_censored) AS n_censored_, sum(exp
      LATERAL (SELECT CAST(n_events_ AS BIGINT) AS n_events, CAST(n_censored_ AS BIGINT) AS n_censored,
                      e_ AS exposure_days, CAST(0.8 AS DOUBLE) + n_events_ AS a, 0.33 + e_ AS b)""", POST),
     "rate_posterior_by_missed": _q(f"SELECT missed_flight_flag, {POST_COLS} FROM post", POST),
-    "rate_interval": _q(f"""
-SELECT missed_flight_flag, round(a / b, {R}) AS rate_mean,
-       round({WH.format(z='-' + Z80)}, {R}) AS lower_80, round({WH.format(z=Z80)}, {R}) AS upper_80,
-       round({WH.format(z='-' + Z95)}, {R}) AS lower_95, round({WH.format(z=Z95)}, {R}) AS upper_95
-FROM post""", POST),
     "mean_time_to_next": _q(f"""
 SELECT missed_flight_flag, round(CASE WHEN a > 1 THEN b / (a - 1) END, {R}) AS mean_days_to_next FROM post""",
                             POST),
@@ -130,15 +131,7 @@ SELECT count(*) AS n_accounts, round(avg(estimate - actual), {R}) AS mean_error,
        round(avg(CASE WHEN estimate <= actual THEN 1.0 ELSE 0.0 END), {R}) AS share_estimate_below
 FROM (SELECT account_id, shrunk_rate AS estimate FROM est_b)
 JOIN (SELECT account_id, events / exposure_days AS actual FROM per_a WHERE exposure_days > 0) USING (account_id)""",
-                              """
-bef AS (
-  SELECT account_id, missed_flight_flag, CASE WHEN days > known THEN 1 ELSE censored_id END AS censored_id,
-         least(days, known) AS days
-  FROM (SELECT *, date_diff('microsecond', actual_arrival, TIMESTAMP '1998-07-01 00:00:00') / 1e6 / 86400.0 AS known
-        FROM surv_ev WHERE actual_arrival < TIMESTAMP '1998-07-01 00:00:00')
-)""",
-                              "aft AS (SELECT * FROM surv_ev WHERE actual_arrival >= TIMESTAMP '1998-07-01 00:00:00')",
-                              per_from("bef", "per_b"), per_from("aft", "per_a"), shrink_from("per_b", "est_b")),
+                              *BEFORE_AFTER),
     "posterior_histogram": _q(f"""
 SELECT has_missed, CAST(bin AS INTEGER) AS bin, round(lo + bin * w, {R}) AS bin_lo,
        round(lo + (bin + 1) * w, {R}) AS bin_hi, count(*) AS n

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from layover.plans import accounts, bookings, fleet, hierarchical, quality, retention, survival
+from layover.plans import accounts, bookings, fleet, hierarchical, posterior, quality, retention, survival
 
 Job = Callable[..., DataFrame]
 
@@ -102,13 +102,19 @@ JOBS: dict[str, Job] = {
     "rate_deciles": survival.rate_deciles,
     "calibration_summary": survival.calibration_summary,
     "posterior_histogram": survival.posterior_histogram,
+    "account_rate_interval": posterior.account_rate_interval,
+    "account_calibration": posterior.account_calibration,
+    "account_calibration_histogram": posterior.account_calibration_histogram,
+    "shrunk_rate_breaks": posterior.shrunk_rate_breaks,
+    "implied_days_histogram": posterior.implied_days_histogram,
+    "account_implied_days_histogram": posterior.account_implied_days_histogram,
 }
 
 
 def oracle() -> dict[str, str]:
-    from layover.oracle import exploration, integrity, retention, survival
+    from layover.oracle import exploration, integrity, posterior, retention, survival
 
     out: dict[str, str] = {}
-    for mod in (exploration, integrity, retention, survival):
+    for mod in (exploration, integrity, retention, survival, posterior):
         out.update(mod.ORACLE)
     return out

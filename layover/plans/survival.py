@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layover.functions.gamma import gamma_quantile
 from layover.functions.time import days_between
 from layover.operators.bounds import attach, scalar_row
 from layover.operators.histogram import equal_width
@@ -36,9 +37,8 @@ from layover.sources.adapter import Airline
 # Fixed values of the reference's rate prior: Gamma(shape 0.8, rate 0.33).
 PRIOR_SHAPE = 0.8
 PRIOR_RATE = 0.33
-# Two-sided interval levels and their standard-normal quantiles.
-Z_80 = 1.2815515655446004
-Z_95 = 1.959963984540054
+# Ends of the two-sided intervals and their probabilities.
+INTERVALS = {"lower_80": 0.1, "upper_80": 0.9, "lower_95": 0.025, "upper_95": 0.975}
 HORIZONS_DAYS = (1.0, 7.0, 30.0, 90.0, 365.0)
 SHARES_BOOKED = (0.25, 0.5, 0.75, 0.9)
 SAMPLE_FRACTION = 0.01
@@ -112,19 +112,12 @@ def rate_posterior_by_missed(air: Airline) -> DataFrame:
     return _conjugate(sums.selectExpr("inline(groups)"), ["missed_flight_flag"])
 
 
-def _wilson_hilferty(a: Column, b: Column, z: float) -> Column:
-    """Gamma(a, rate b) quantile at standard-normal quantile z."""
-    return (a / b) * F.pow(F.lit(1.0) - F.lit(1.0) / (9 * a) + F.lit(z) / (3 * F.sqrt(a)), 3)
-
-
 def rate_interval(air: Airline) -> DataFrame:
+    """Exact two-sided intervals of the booking rate after made and missed flights."""
     p = rate_posterior_by_missed(air)
     a, b = F.col("post_shape"), F.col("post_rate")
     return p.select("missed_flight_flag", "rate_mean",
-                    _r(_wilson_hilferty(a, b, -Z_80)).alias("lower_80"),
-                    _r(_wilson_hilferty(a, b, Z_80)).alias("upper_80"),
-                    _r(_wilson_hilferty(a, b, -Z_95)).alias("lower_95"),
-                    _r(_wilson_hilferty(a, b, Z_95)).alias("upper_95"))
+                    *[_r(gamma_quantile(a, q) / b).alias(name) for name, q in INTERVALS.items()])
 
 
 def mean_time_to_next(air: Airline) -> DataFrame:
@@ -264,18 +257,25 @@ def posterior_histogram(air: Airline, bins: int = 30) -> DataFrame:
                     "n")
 
 
-def calibration_summary(air: Airline, cut: str = CALIBRATION_CUT) -> DataFrame:
-    """Predict each account's later booking rate from what is known at ``cut``
-    of its durations (those still open then are censored there; shrunk
-    estimate), compare with events/exposure of durations that start later."""
+def before_and_after(air: Airline, cut: str) -> tuple[DataFrame, DataFrame]:
+    """Sums per account of the durations as known at ``cut`` (those still open
+    then are censored there), and of the durations that start later."""
     ev = survival_events(air).withColumn("_cut", F.lit(cut).cast("timestamp_ntz"))
     known = days_between("_cut", "actual_arrival")
     before = ev.where(F.col("actual_arrival") < F.col("_cut")).withColumns({
         "censored_id": F.when(F.col("days") > known, 1).otherwise(F.col("censored_id")),
         "days": F.least(F.col("days"), known)})
     after = ev.where(F.col("actual_arrival") >= F.col("_cut"))
-    est = _shrink(_per_account(before)).select("account_id", F.col("shrunk_rate").alias("estimate"))
-    act = _per_account(after).where(F.col("exposure_days") > 0).select(
+    return _per_account(before), _per_account(after)
+
+
+def calibration_summary(air: Airline, cut: str = CALIBRATION_CUT) -> DataFrame:
+    """Predict each account's later booking rate from what is known at ``cut``
+    of its durations (shrunk estimate), compare with events/exposure of
+    durations that start later."""
+    before, after = before_and_after(air, cut)
+    est = _shrink(before).select("account_id", F.col("shrunk_rate").alias("estimate"))
+    act = after.where(F.col("exposure_days") > 0).select(
         "account_id", (F.col("events") / F.col("exposure_days")).alias("actual"))
     j = est.join(act, "account_id", "inner").withColumn("error", F.col("estimate") - F.col("actual"))
     return j.agg(
