@@ -47,11 +47,12 @@ def width(lo: str, hi: str, n: int) -> str:
 
 def breaks(src: str, value: str, n: int = 30) -> str:
     return f"""
-SELECT CAST(bin AS INTEGER) AS bin, round((f + bin) * w, {R}) AS bin_lo, round((f + bin + 1) * w, {R}) AS bin_hi, count(*) AS n
-FROM (SELECT w, f, greatest(ceil({value} / w - 1e-7) - f - 1, 0) AS bin
-      FROM {src} CROSS JOIN (SELECT w, floor(lo / w + 1e-7) AS f
+SELECT CAST(bin AS INTEGER) AS bin, round(CASE WHEN w > 0 THEN (f + bin) * w ELSE lo END, {R}) AS bin_lo,
+       round(CASE WHEN w > 0 THEN (f + bin + 1) * w ELSE lo END, {R}) AS bin_hi, count(*) AS n
+FROM (SELECT w, f, lo, CASE WHEN w > 0 THEN greatest(ceil({value} / w - 1e-7) - f - 1, 0) ELSE 0 END AS bin
+      FROM {src} CROSS JOIN (SELECT w, lo, CASE WHEN w > 0 THEN floor(lo / w + 1e-7) END AS f
                              FROM (SELECT lo, {width('lo', 'hi', n)} AS w FROM (SELECT min({value}) AS lo, max({value}) AS hi FROM {src}))))
-GROUP BY bin, f, w"""
+GROUP BY bin, f, w, lo"""
 
 
 CALIBRATION = f"""

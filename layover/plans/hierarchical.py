@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layover.plans.survival import _account_strata, _survival_input
+from layover.plans.survival import _account_strata, _r, _survival_input
 from layover.sources.adapter import Airline
 
 NODES = 15
@@ -42,7 +42,7 @@ BETA_PRIOR_SD = 0.1
 MAX_STEP = 0.3
 TAU_MIN = 0.001
 MAX_ITER = 100  # a fit that needs more raises
-TOL = 1e-6  # step size; the standard errors are orders of magnitude larger
+TOL = 1e-9  # step size; steps shrink quadratically, so the last one leaves nothing
 
 _FIELDS = ("w", "gb", "gm", "gt", "hbb", "hmm", "htt", "hbt", "hmt", "gbgb", "gmgm", "gtgt", "gbgm", "gbgt", "gmgt")
 
@@ -58,23 +58,27 @@ def account_stats(air: Airline) -> DataFrame:
     return _account_strata(_survival_input(air)).where((F.col("t0") + F.col("t1")) > 0)
 
 
-def _step_sql(nodes: list[tuple[float, float]]) -> list[list[str]]:
-    """The per-account quadrature as layers of SQL expressions (built once).
-
-    First the mode ``_mu`` of eta by Newton steps (the integrand is
-    log-concave) and its scale ``_s``; then layers: node positions h_k,
-    node exposures e0_k, e1_k, log-integrand l_k, the max of l, weights w_k
-    and the weighted sums.  Intermediates stay columns so expensive terms
-    are computed once.
-    """
-    K = range(len(nodes))
-    base = ["d0", "d1", "t0", "t1", "_b", "_m", "_t"]
+def _mode_sql(keep: list[str], more: list[str]) -> list[list[str]]:
+    """Layers that find the mode ``_mu`` of an account's eta by Newton steps
+    (the integrand is log-concave) and its scale ``_s``, keeping the columns
+    ``keep``; ``more`` are kept in the last layer."""
+    base = [*keep, "d0", "d1", "t0", "t1", "_b", "_m", "_t"]
     total = [*base, "d0 + d1 AS _d", "t0 * exp(_b) + t1 * exp(_m) AS _e"]
     # start: the account's own log rate, shrunk by its precision
     g = "greatest(_d, 0.5D)"
     start = [*base, "_d", "_e", f"ln({g} / _e) * _t * {g} / (1 + _t * _t * {g}) AS _mu"]
     newton = [*base, "_d", "_e", "_mu - (_mu - _t * _d + _t * _e * exp(_t * _mu)) / (1 + _t * _t * _e * exp(_t * _mu)) AS _mu"]
-    scale = [*base, "_mu", "1 / sqrt(1 + _t * _t * _e * exp(_t * _mu)) AS _s"]
+    scale = [*base, *more, "_mu", "1 / sqrt(1 + _t * _t * _e * exp(_t * _mu)) AS _s"]
+    return [total, start, *[newton] * NEWTON, scale]
+
+
+def _step_sql(nodes: list[tuple[float, float]]) -> list[list[str]]:
+    """The per-account quadrature as layers of SQL expressions (built once):
+    the mode, then node positions h_k, node exposures e0_k, e1_k,
+    log-integrand l_k, the max of l, weights w_k and the weighted sums.
+    Intermediates stay columns so expensive terms are computed once.
+    """
+    K = range(len(nodes))
     keep = ["d0", "d1", "_b", "_m", "_t", "_s"]
     hk = [f"h_{k}" for k in K]
     h = ["t0", "t1"] + [f"_mu + _s * ({z!r}) AS h_{k}" for k, (_, z) in enumerate(nodes)]
@@ -103,7 +107,7 @@ def _step_sql(nodes: list[tuple[float, float]]) -> list[list[str]]:
     }
     sums = [" + ".join(t.format(k=k) for k in K) + f" AS s_{f}" for f, t in terms.items()]
     return [
-        total, start, *[newton] * NEWTON, scale,
+        *_mode_sql([], []),
         keep + h,
         keep + hk + e,
         keep + hk + ek + ll,
@@ -140,7 +144,8 @@ def _step_aggregate(stats: DataFrame, beta: float, beta_m: float, tau: float) ->
         (e["gbgm"] - e["gb"] * e["gm"]).alias("hbm"),
         (e["hbt"] + e["gbgt"] - e["gb"] * e["gt"]).alias("hbt"),
         (e["hmt"] + e["gmgt"] - e["gm"] * e["gt"]).alias("hmt"))
-    row = per.agg(*[F.sum(c).alias(c) for c in per.columns], F.count(F.lit(1)).alias("n")).first()
+    # without accounts the sums are 0, and the priors alone decide
+    row = per.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in per.columns], F.count(F.lit(1)).alias("n")).first()
     return row.asDict()
 
 
@@ -178,16 +183,13 @@ def fit(stats: DataFrame, priors: dict, start: tuple[float, float, float]) -> di
             "converged": converged, "n_accounts": int(s["n"]), "loglik": float(s["ll"])}
 
 
-def hierarchical_rate_fit(air: Airline, beta_prior: tuple[float, float] | None = None,
-                          beta_missed_prior: tuple[float, float] | None = None,
-                          tau_prior: tuple[float, float] = TAU_PRIOR) -> DataFrame:
-    """Posterior mode and standard errors of beta, beta_missed and tau.
+def _fitted(air: Airline, beta_prior, beta_missed_prior, tau_prior) -> tuple[DataFrame, dict]:
+    """(statistics per account, result of ``fit``).
 
     Priors on the log-rates default to N(log pooled rate, 0.1): the
     reference's N(-2.1, 0.1) encodes its data's 0.12/day and is passed
     explicitly when wanted.
     """
-    spark = air.spark
     stats = account_stats(air).checkpoint(eager=True)
     d_, t_ = F.col("d0") + F.col("d1"), F.col("t0") + F.col("t1")
     tot = stats.agg(*[F.sum(c).alias(c) for c in ("d0", "t0", "d1", "t1")],
@@ -208,15 +210,114 @@ def hierarchical_rate_fit(air: Airline, beta_prior: tuple[float, float] | None =
         m = d / t
         v = (tot["dd"] - 2 * m * tot["dt"] + m * m * tot["tt"] - d) / tot["tt"]
         tau0 = max(math.sqrt(math.log1p(max(v, 0.0) / (m * m))), TAU_MIN)
-    start = (log_rate(tot["d0"], tot["t0"]), log_rate(tot["d1"], tot["t1"]), tau0)
-    res = fit(stats, priors, start)
+    return stats, fit(stats, priors, (log_rate(tot["d0"], tot["t0"]), log_rate(tot["d1"], tot["t1"]), tau0))
+
+
+def hierarchical_rate_fit(air: Airline, beta_prior: tuple[float, float] | None = None,
+                          beta_missed_prior: tuple[float, float] | None = None,
+                          tau_prior: tuple[float, float] = TAU_PRIOR) -> DataFrame:
+    """Posterior mode and standard errors of beta, beta_missed and tau."""
+    _, res = _fitted(air, beta_prior, beta_missed_prior, tau_prior)
     rows = []
     for i, name in enumerate(("beta", "beta_missed", "tau")):
         est, se = float(res["theta"][i]), float(res["se"][i])
         # posterior mean of 1/exp(beta) (the reference's mean(1/exp(beta)) over draws)
         mean_days = math.exp(-est + 0.5 * se * se) if name != "tau" else None
-        rows.append((name, est, se, float(res["grad"][i]), mean_days, res["iterations"], res["converged"],
-                     res["n_accounts"]))
+        # the gradient vanishes at the mode; what is left of it is rounding
+        rows.append((name, est, se, round(float(res["grad"][i]), 4) + 0.0, mean_days, res["converged"], res["n_accounts"]))
     schema = ("parameter STRING, estimate DOUBLE, std_error DOUBLE, gradient DOUBLE, "
-              "mean_days_to_next DOUBLE, iterations INT, converged BOOLEAN, n_accounts BIGINT")
-    return spark.createDataFrame(rows, schema)
+              "mean_days_to_next DOUBLE, converged BOOLEAN, n_accounts BIGINT")
+    return air.spark.createDataFrame(rows, schema)
+
+
+# ---------------------------------------------------------------------------
+# The accounts' own rates
+# ---------------------------------------------------------------------------
+CELLS = 40  # panels of an account's integration range
+REACH = 8  # half-range in standard deviations: the rest is below exp(-32)
+WIDEN = 6  # steps of the left half-range, where the integrand falls more slowly
+INVERT = 6  # Newton steps to a quantile inside its panel
+QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+
+
+def _gauss() -> tuple[list[float], list[float]]:
+    """Positions and weights of five-point Gauss-Legendre panels on (0, 1)."""
+    x, w = np.polynomial.legendre.leggauss(5)
+    return [float(v + 1) / 2 for v in x], [float(v) / 2 for v in w]
+
+
+def _density(eta: str) -> str:
+    """The account's integrand at ``eta`` relative to its mode."""
+    return (f"exp(-0.5D * ({eta} * {eta} - _mu * _mu) + _t * _d * ({eta} - _mu)"
+            f" - _e * (exp(_t * {eta}) - exp(_t * _mu)))")
+
+
+def _account_sql() -> list[list[str]]:
+    """Layers from account statistics to moments and quantiles of ``eta``.
+
+    The range around the mode is cut into panels; a panel's mass is a
+    five-point Gauss-Legendre sum, its moments likewise.  A quantile lies in
+    the panel where the cumulated mass passes it, at the end of the part of
+    the panel (by the same sum) that holds what is missing.
+    """
+    pos, wgt = _gauss()
+    own = ["account_id", "d0", "d1", "_b", "_m", "_t", "_d", "_e", "_mu"]
+    mode = _mode_sql(["account_id"], ["_d", "_e"])
+    reach = [*own, "_s", f"{REACH} * _s AS _l"]
+    # the curvature at a distance _l below the mode bounds the fall from there on
+    widen = [*own, "_s", f"{REACH} / sqrt(1 + (1 / (_s * _s) - 1) * exp(-_t * _l)) AS _l"]
+    span = [*own, "_mu - _l AS _a", f"(_l + {REACH} * _s) / {CELLS} AS _h"]
+    points = ", ".join(f"_a + _h * (k + {p!r}D)" for p in pos)
+    nodes = [*own, "_a", "_h", f"flatten(transform(sequence(0, {CELLS - 1}), k -> array({points}))) AS _x"]
+    weights = "array(" + ", ".join(f"{w!r}D" for w in wgt) + ")"
+    dens = [*own, "_a", "_h", "_x", f"transform(_x, (x, i) -> {weights}[i % 5] * {_density('x')}) AS _g"]
+    total = "aggregate({}, 0D, (s, v) -> s + v)"
+    rise = "zip_with(_g, _x, (g, x) -> g * exp({} * _t * (x - _mu)))"
+    cells = ", ".join(f"_g[5 * k + {i}]" for i in range(5)).replace(", ", " + ")
+    sums = [*own, "_a", "_h", total.format("_g") + " AS _n", total.format(rise.format(1)) + " AS _m1",
+            total.format(rise.format(2)) + " AS _m2", f"transform(sequence(0, {CELLS - 1}), k -> {cells}) AS _c"]
+    base = [*own, "_a", "_h"]
+    cumulated = [*base, "_n", "_m1 / _n AS _m1", "_m2 / _n AS _m2", "_c",
+                 f"transform(sequence(1, {CELLS}), k -> {total.format('slice(_c, 1, k)')}) AS _u"]
+    names = list(QUANTILES)
+    cell = [*base, "_n", "_m1", "_m2", "_c", "_u",
+            *[f"cast(coalesce(array_position(transform(_u, u -> u >= {p!r}D * _n), true), {CELLS}) AS int) - 1 AS _k_{q}" for q, p in QUANTILES.items()]]
+    rest = [*base, "_m1", "_m2", *[f"_c[_k_{q}] AS _c_{q}" for q in names], *[f"_a + _h * _k_{q} AS _a_{q}" for q in names],
+            *[f"{p!r}D * _n - (_u[_k_{q}] - _c[_k_{q}]) AS _r_{q}" for q, p in QUANTILES.items()]]
+
+    def inverted(q: str) -> str:
+        # masses are in units of the panel width, so a part of width v counts v / _h
+        part = " + ".join(f"{w!r}D * {_density(f'(_a_{q} + v * {p!r}D)')}" for p, w in zip(pos, wgt))
+        step = f"v - (v * ({part}) - _r_{q} * _h) / {_density(f'(_a_{q} + v)')}"
+        return f"_a_{q} + aggregate(sequence(1, {INVERT}), _h * _r_{q} / _c_{q}, (v, i) -> greatest(0D, least(_h, {step}))) AS eta_{q}"
+
+    last = ["account_id", "d0", "d1", "_b", "_m", "_t", "_mu", "_m1", "sqrt(greatest(_m2 - _m1 * _m1, 0D)) AS _sd", *[inverted(q) for q in names]]
+    return [*mode, reach, *[widen] * WIDEN, span, nodes, dens, sums, cumulated, cell, rest, last]
+
+
+def account_posterior(stats: DataFrame, beta: float, beta_m: float, tau: float) -> DataFrame:
+    """Posterior mean, standard deviation and quantiles of both rates of each
+    account of ``stats(account_id, d0, t0, d1, t1)``, given the parameters.
+
+    Both rates are the account's effect times a constant, so one integration
+    serves both.  No draws are made and nothing reaches the driver.
+    """
+    par = stats.sparkSession.createDataFrame([(float(beta), float(beta_m), float(tau))], "_b DOUBLE, _m DOUBLE, _t DOUBLE")
+    x = stats.crossJoin(F.broadcast(par))
+    for layer in _account_sql():
+        x = x.selectExpr(*layer)
+    out = []
+    for name, b in (("made", "_b"), ("missed", "_m")):
+        level = F.exp(F.col(b) + F.col("_t") * F.col("_mu"))
+        out += [_r(level * F.col("_m1")).alias(f"{name}_mean"), _r(level * F.col("_sd")).alias(f"{name}_sd"),
+                *[_r(F.exp(F.col(b) + F.col("_t") * F.col(f"eta_{q}"))).alias(f"{name}_{q}") for q in QUANTILES]]
+    return x.select("account_id", F.col("d0").cast("long").alias("events_made"), F.col("d1").cast("long").alias("events_missed"), *out)
+
+
+def account_hierarchical_rates(air: Airline, beta_prior: tuple[float, float] | None = None,
+                               beta_missed_prior: tuple[float, float] | None = None,
+                               tau_prior: tuple[float, float] = TAU_PRIOR) -> DataFrame:
+    """Booking rates after made and missed flights of every account with any
+    exposure, under the fitted hierarchical model."""
+    stats, res = _fitted(air, beta_prior, beta_missed_prior, tau_prior)
+    return account_posterior(stats, *res["theta"])

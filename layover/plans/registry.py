@@ -99,6 +99,7 @@ JOBS: dict[str, Job] = {
     "account_rate_shrinkage": survival.account_rate_shrinkage,
     "stratified_rate_ratio": survival.stratified_rate_ratio,
     "hierarchical_rate_fit": hierarchical.hierarchical_rate_fit,
+    "account_hierarchical_rates": hierarchical.account_hierarchical_rates,
     "rate_deciles": survival.rate_deciles,
     "calibration_summary": survival.calibration_summary,
     "posterior_histogram": survival.posterior_histogram,
@@ -112,9 +113,9 @@ JOBS: dict[str, Job] = {
 
 
 def oracle() -> dict[str, str]:
-    from layover.oracle import exploration, integrity, posterior, retention, survival
+    from layover.oracle import exploration, hierarchical, integrity, posterior, retention, survival
 
     out: dict[str, str] = {}
-    for mod in (exploration, integrity, retention, survival, posterior):
+    for mod in (exploration, integrity, retention, survival, posterior, hierarchical):
         out.update(mod.ORACLE)
     return out

@@ -117,9 +117,14 @@ def test_empty_tables(spark):
     frames = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
     air = Airline.from_frames(spark, **frames)
     for name in ("trips", "time_to_next_flight_2", "censored_accounts", "survival_table",
-                 "flight_length_ntiles", "account_top_passenger"):
+                 "flight_length_ntiles", "account_top_passenger", "account_rate_interval", "account_calibration",
+                 "account_calibration_histogram", "shrunk_rate_breaks", "account_implied_days_histogram",
+                 "account_hierarchical_rates"):
         assert JOBS[name](air).count() == 0, name
     # both groups are always reported, without data at their prior
     post = JOBS["rate_posterior_by_missed"](air).orderBy("missed_flight_flag").collect()
     assert [(r["missed_flight_flag"], r["n_events"], r["post_shape"], r["post_rate"]) for r in post] == [
         (0, 0, 0.8, 0.33), (1, 0, 0.8, 0.33)]
+    # and so does the histogram of a group without data: its prior, on the grid of both
+    masses = JOBS["implied_days_histogram"](air).groupBy("missed_flight_flag").sum("mass").collect()
+    assert len(masses) == 2 and all(abs(r[1] - 1) < 1e-6 for r in masses)

@@ -21,7 +21,9 @@ DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP"
 
 JOBS_UNDER_SKEW = ["trips", "account_booking_rates", "time_to_next_by_ordinal", "time_to_next_flight_2",
                    "time_to_next_flight", "censored_accounts", "survival_table", "account_top_passenger",
-                   "booking_count_comparison", "rate_posterior_by_missed", "account_rate_shrinkage"]
+                   "booking_count_comparison", "rate_posterior_by_missed", "account_rate_shrinkage",
+                   "rate_interval", "account_rate_interval", "account_calibration", "implied_days_histogram",
+                   "hierarchical_rate_fit", "account_hierarchical_rates"]
 
 
 @pytest.fixture(scope="module")

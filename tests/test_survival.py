@@ -107,3 +107,43 @@ def test_hierarchical_tau_to_zero_gives_pooled_rate(spark):
     made = df.where("missed_flight_flag = 0").agg(
         F.sum(F.when(F.col("censored_id") == 0, 1).otherwise(0)).alias("d"), F.sum("days").alias("t")).first()
     assert res["theta"][0] == pytest.approx(math.log(made["d"] / made["t"]), abs=1e-3)
+
+
+@pytest.mark.parametrize("beta,missed,tau", [(-2.0, -1.8, 0.4), (-1.0, -3.0, 1.2), (-2.5, -2.4, 0.02)])
+def test_account_posterior_agrees_with_dense_integration(spark, beta, missed, tau):
+    accounts = [(1, 0.0, 30.0, 0.0, 0.0), (2, 0.0, 0.5, 0.0, 9000.0), (3, 1.0, 5.0, 0.0, 0.0), (4, 0.0, 0.0, 4.0, 2.0), (5, 60.0, 500.0, 40.0, 300.0),
+                (6, 7000.0, 40000.0, 3000.0, 30000.0), (7, 0.0, 5000.0, 0.0, 0.0), (8, 30.0, 1.0, 0.0, 0.0)]
+    stats = spark.createDataFrame(accounts, "account_id LONG, d0 DOUBLE, t0 DOUBLE, d1 DOUBLE, t1 DOUBLE")
+    got = {r["account_id"]: r for r in H.account_posterior(stats, beta, missed, tau).collect()}
+    assert len(got) == len(accounts)
+    for i, d0, t0, d1, t1 in accounts:
+        log = lambda eta: -0.5 * eta * eta + tau * (d0 + d1) * eta - (t0 * math.exp(beta) + t1 * math.exp(missed)) * np.exp(tau * eta)  # noqa: B023,E731
+        wide = np.linspace(-40, 40, 400_001)
+        near = wide[log(wide) > log(wide).max() - 40]
+        eta = np.linspace(near[0] - 1e-3, near[-1] + 1e-3, 1_000_001)
+        w = np.exp(log(eta) - log(eta).max())
+        cum = np.concatenate(([0], np.cumsum((w[1:] + w[:-1]) / 2)))
+        for name, b in (("made", beta), ("missed", missed)):
+            rate = np.exp(b + tau * eta)
+            mean = (w * rate).sum() / w.sum()
+            assert got[i][f"{name}_mean"] == pytest.approx(mean, rel=1e-7, abs=1e-9)
+            assert got[i][f"{name}_sd"] == pytest.approx(math.sqrt((w * (rate - mean) ** 2).sum() / w.sum()), rel=1e-5, abs=2e-9)
+            for q, p in H.QUANTILES.items():
+                assert got[i][f"{name}_{q}"] == pytest.approx(float(np.interp(p * cum[-1], cum, rate)), rel=1e-7, abs=1e-9)
+
+
+def test_account_rates_recover_simulated_rates(spark):
+    rng = np.random.default_rng(12)
+    eta = rng.normal(size=1500)
+    rows, true = [], {}
+    for i, e in enumerate(eta):
+        true[i] = math.exp(-2.0 + 0.5 * e)
+        for _ in range(rng.integers(1, 6)):
+            t = rng.exponential(1 / true[i])
+            rows.append((i, 0, int(t > 30), float(min(t, 30.0))))
+    stats = S._account_strata(spark.createDataFrame(rows, SCHEMA))
+    got = H.account_posterior(stats, -2.0, -2.0, 0.5).toPandas().set_index("account_id")
+    real = np.array([true[i] for i in got.index])
+    for q, p in H.QUANTILES.items():
+        assert abs((real < got[f"made_{q}"]).mean() - p) < 0.03
+    assert abs((real - got["made_mean"]).mean()) < 0.01
