@@ -1,4 +1,5 @@
-"""T3/T4: global ranks, ``ntile`` and exact quantiles without a global window.
+"""T3/T4: global ranks and ``ntile`` without a global window (quantiles: see
+``selection``).
 
 ``row_number() over (order by x)`` and ``ntile(n) over (order by x)`` with
 no PARTITION BY run in one task.  Instead:
@@ -72,34 +73,3 @@ def ntile_of(idx: str, n_total: str, tiles: int) -> "F.Column":
 def ntile(df: DataFrame, order: Sequence[str], tiles: int, out: str = "nt") -> DataFrame:
     x = with_count(global_index(df, order, "_idx"), "_n")
     return x.withColumn(out, ntile_of("_idx", "_n", tiles)).drop("_idx", "_n")
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None) -> DataFrame:
-    """Linear-interpolated quantiles (R type 7, DuckDB ``quantile_cont``),
-    computed from the two order statistics around each probability.
-
-    Only the needed ranks are fetched: a small (probabilities x groups)
-    table of ranks is joined to the indexed rows; no group is collected.
-    """
-    spark = df.sparkSession
-    probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q INT, p DOUBLE")
-    keys = [group] if group else []
-    x = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if group:
-        # rank inside the group: global index over (group, value) minus the group's offset
-        gi = global_index(x, [group, value], "_gidx")
-        first = gi.groupBy(group).agg(F.min("_gidx").alias("_g0"), F.count(F.lit(1)).alias("_n"))
-        gi = gi.join(first, group).withColumn("_idx", F.col("_gidx") - F.col("_g0") + 1)
-        sizes = first.select(group, "_n")
-    else:
-        gi = global_index(x, [value], "_idx")
-        sizes = gi.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = sizes.crossJoin(F.broadcast(probs_df)).withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
-    wanted = wanted.select(*keys, "q", "p", "_h",
-                           F.floor("_h").cast("long").alias("_lo"), F.ceil("_h").cast("long").alias("_hi"))
-    lo = gi.select(*keys, F.col("_idx").alias("_lo"), F.col(value).alias("_vlo"))
-    hi = gi.select(*keys, F.col("_idx").alias("_hi"), F.col(value).alias("_vhi"))
-    res = wanted.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-    return res.select(*keys, "q", "p",
-                      (F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
-                      .alias("quantile"))

@@ -120,6 +120,25 @@ FROM (SELECT t0, t1, CASE WHEN t0 + t1 > 0 THEN d1 * t0 / (t0 + t1) ELSE 0.0 END
                    CAST(sum(CASE WHEN missed_flight_flag = 1 AND censored_id = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS d1,
                    sum(CASE WHEN missed_flight_flag = 1 THEN days ELSE 0.0 END) AS t1
             FROM surv GROUP BY account_id))"""),
+    "rate_ratio_interval": _q(f"""
+SELECT any_value(na) AS n_accounts, any_value(rr) AS rate_ratio, count(ratio) AS replicates, round(stddev_samp(ratio), {R}) AS std_error,
+       round(quantile_cont(ratio, 0.1), {R}) AS lower_80, round(quantile_cont(ratio, 0.9), {R}) AS upper_80,
+       round(quantile_cont(ratio, 0.025), {R}) AS lower_95, round(quantile_cont(ratio, 0.975), {R}) AS upper_95
+FROM (SELECT b, CASE WHEN sum(w * den) > 0 THEN sum(w * num) / sum(w * den) END AS ratio
+      FROM (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+                                       0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020, 0.9999998885745217],
+                                      lambda c: ('0x' || substr(md5(account_id::VARCHAR || ':' || b || ':b'), 1, 13))::BIGINT / 4503599627370496.0 >= c)) AS w
+            FROM terms CROSS JOIN (SELECT unnest(range(1, 201)) AS b)) GROUP BY b)
+CROSS JOIN (SELECT count(*) AS na, round(CASE WHEN sum(den) > 0 THEN sum(num) / sum(den) END, {R}) AS rr FROM terms)""", """
+terms AS (
+  SELECT * FROM (
+    SELECT account_id, coalesce(d1 * t0 / nullif(t0 + t1, 0), 0) AS num, coalesce(d0 * t1 / nullif(t0 + t1, 0), 0) AS den
+    FROM (SELECT account_id, CAST(count(*) FILTER (missed_flight_flag = 0 AND censored_id = 0) AS DOUBLE) AS d0,
+                 coalesce(sum(days) FILTER (missed_flight_flag = 0), 0) AS t0,
+                 CAST(count(*) FILTER (missed_flight_flag = 1 AND censored_id = 0) AS DOUBLE) AS d1,
+                 coalesce(sum(days) FILTER (missed_flight_flag = 1), 0) AS t1 FROM surv GROUP BY account_id))
+  WHERE num > 0 OR den > 0
+)"""),
     "rate_deciles": _q(f"""
 SELECT CAST(i - 1 AS INTEGER) AS q, ps[i] AS p, round(qs[i], {R}) AS quantile
 FROM (SELECT quantile_cont(shrunk_rate, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs,

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layover.functions.text import dotted_name
+from layover.operators.bitmaps import distinct_count, set_counts
 from layover.operators.firsts import argmax_ties
+from layover.operators.heavy import heavy_join
 from layover.operators.sorting import pg_sort
 from layover.sources.adapter import Airline
 
@@ -99,13 +101,19 @@ def passenger_boarding(air: Airline) -> DataFrame:
 def passenger_legs(air: Airline) -> DataFrame:
     p = air.passenger.select("passenger_id", "booking_id")
     legs = air.booking_leg.select("booking_id", "flight_id")
-    return p.join(legs, "booking_id", "left")
+    return heavy_join(p, legs, "booking_id")
 
 
 def passenger_id_coverage(air: Airline) -> DataFrame:
-    a = air.passenger.agg(F.countDistinct("passenger_id").alias("n_passenger_ids"))
-    b = air.boarding_pass.agg(F.countDistinct("passenger_id").alias("n_boarding_passenger_ids"))
-    return a.crossJoin(b)
+    a = distinct_count(air.passenger, "passenger_id", "n_passenger_ids")
+    return a.crossJoin(distinct_count(air.boarding_pass, "passenger_id", "n_boarding_passenger_ids"))
+
+
+def passenger_boarding_counts(air: Airline) -> DataFrame:
+    """Numbers of passengers, of passengers with a boarding pass, and of those
+    without one (as ``passengers_without_boarding`` lists them)."""
+    c = set_counts(air.passenger, air.boarding_pass, "passenger_id")
+    return c.select(F.col("n_a").alias("n_passengers"), F.col("n_both").alias("n_with_boarding"), F.col("n_a_only").alias("n_without_boarding"))
 
 
 def passengers_without_boarding(air: Airline) -> DataFrame:
@@ -114,11 +122,12 @@ def passengers_without_boarding(air: Airline) -> DataFrame:
     return p.join(bp, "passenger_id", "left_anti")
 
 
-def passengers_without_boarding_detail(air: Airline, floor: int = 0, n: int | None = None) -> DataFrame:
-    """Passenger ids above ``floor`` with no boarding pass, with details: all, or the first ``n``.
+def passengers_without_boarding_detail(air: Airline, floor: int | None = None, n: int | None = None) -> DataFrame:
+    """Passenger ids (above ``floor``, if given) with no boarding pass, with details: all, or the first ``n``.
     (The reference used a floor of 8,000,000 on its own ids.)"""
-    p = air.passenger.where(F.col("passenger_id") > floor).select("passenger_id").distinct()
-    bp = air.boarding_pass.where(F.col("passenger_id") > floor).select("passenger_id")
+    above = F.lit(True) if floor is None else F.col("passenger_id") > floor
+    p = air.passenger.where(F.col("passenger_id").isNotNull() & above).select("passenger_id").distinct()
+    bp = air.boarding_pass.where(above).select("passenger_id")
     first = p.join(bp, "passenger_id", "left_anti")
     if n is not None:
         first = first.orderBy("passenger_id").limit(n)
@@ -156,7 +165,7 @@ def _passenger_leg_rows(air: Airline, modulus: int, remainder: int) -> DataFrame
         "passenger_id")
     legs = air.booking_leg.select("booking_id", "flight_id", "leg_num", "booking_leg_id",
                                   F.col("update_ts").alias("leg_update_ts"))
-    return p.join(legs, "booking_id", "left")
+    return heavy_join(p, legs, "booking_id")
 
 
 def _with_passes(aa: DataFrame, air: Airline, on: str) -> DataFrame:

@@ -51,6 +51,7 @@ JOBS: dict[str, Job] = {
     "passenger_boarding": accounts.passenger_boarding,
     "passenger_legs": accounts.passenger_legs,
     "passenger_id_coverage": accounts.passenger_id_coverage,
+    "passenger_boarding_counts": accounts.passenger_boarding_counts,
     "passengers_without_boarding": accounts.passengers_without_boarding,
     "passengers_without_boarding_detail": accounts.passengers_without_boarding_detail,
     "boarding_leg_passenger_sample": accounts.boarding_leg_passenger_sample,
@@ -83,6 +84,7 @@ JOBS: dict[str, Job] = {
     "censored_accounts": retention.censored_accounts,
     "non_censored_flights": retention.non_censored_flights,
     "survival_table": retention.survival_table,
+    "survival_table_ctas": retention.survival_table_ctas,
     # F. survival and booking-rate estimation
     "mean_days_to_next": survival.mean_days_to_next,
     "rate_posterior": survival.rate_posterior,
@@ -98,6 +100,7 @@ JOBS: dict[str, Job] = {
     "stratum_sufficient_stats": survival.stratum_sufficient_stats,
     "account_rate_shrinkage": survival.account_rate_shrinkage,
     "stratified_rate_ratio": survival.stratified_rate_ratio,
+    "rate_ratio_interval": survival.rate_ratio_interval,
     "hierarchical_rate_fit": hierarchical.hierarchical_rate_fit,
     "account_hierarchical_rates": hierarchical.account_hierarchical_rates,
     "rate_deciles": survival.rate_deciles,

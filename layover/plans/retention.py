@@ -338,3 +338,15 @@ def survival_table(air: Airline) -> DataFrame:
     censored rows only for accounts with an observed duration."""
     x = survival_export(air).drop("actual_arrival")
     return pg_sort(x, "account_id", "censored_id", "days")
+
+
+def survival_table_ctas(air: Airline) -> DataFrame:
+    """The survival table kept as a table of its own (``CREATE TABLE AS``) and
+    read back from there."""
+    import uuid
+
+    from layover.session import checkpoint_dir, register_scratch
+    from layover.sources.files import save_table
+
+    path = register_scratch(air.spark, f"{checkpoint_dir(air.spark)}/table-{uuid.uuid4().hex}")
+    return save_table(survival_export(air).drop("actual_arrival"), path=path)

@@ -21,6 +21,7 @@ between its iterations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,8 @@ from layover.functions.gamma import gamma_quantile
 from layover.functions.time import days_between
 from layover.operators.bounds import attach, scalar_row
 from layover.operators.histogram import equal_width
-from layover.operators.ranking import exact_quantiles, global_index
+from layover.operators.ranking import global_index
+from layover.operators.selection import exact_quantiles
 from layover.plans import retention
 from layover.sources.adapter import Airline
 
@@ -240,6 +242,49 @@ def stratified_rate_ratio(air: Airline) -> DataFrame:
     return r.select("n_accounts_both", _r(F.try_divide(F.col("_n"), F.col("_d"))).alias("rate_ratio"))
 
 
+#: replicates of the bootstrap, and what its draws are hashed with
+REPLICATES, BOOTSTRAP_SEED = 200, "b"
+#: distribution function of Poisson(1) at 0, 1, 2, ...: a uniform value past
+#: the kth of them is a weight above k
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(10))
+
+
+def bootstrap_ratios(per: DataFrame, replicates: int = REPLICATES, seed: str = BOOTSTRAP_SEED, keys: Sequence[str] = ()) -> DataFrame:
+    """``per(account_id, num, den)`` -> (keys..., replicate, ratio): sums of num
+    over sums of den with every account weighted by a Poisson(1) number, its
+    own in each replicate.
+
+    The weight is a function of a hash of (account, replicate), so replicates
+    do not depend on partitioning; the sums of all replicates are one partial
+    aggregate, whose map side emits one row a replicate and task."""
+    x = per.select(*keys, "account_id", "num", "den", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    text = F.concat(F.col("account_id").cast("string"), F.lit(":"), F.col("replicate").cast("string"), F.lit(":" + seed))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    x = x.withColumn("w", weight).where("w > 0")
+    g = x.groupBy(*keys, "replicate").agg(F.sum(F.col("w") * F.col("num")).alias("n"), F.sum(F.col("w") * F.col("den")).alias("d"))
+    return g.select(*keys, "replicate", F.try_divide("n", "d").alias("ratio"))
+
+
+def _ratio_terms(s: DataFrame) -> DataFrame:
+    """Each account's terms of the Mantel-Haenszel ratio, where it has any."""
+    tot = F.col("t0") + F.col("t1")
+    term = lambda d, t: F.coalesce(F.try_divide(F.col(d) * F.col(t), tot), F.lit(0.0))
+    return s.select("account_id", term("d1", "t0").alias("num"), term("d0", "t1").alias("den")).where("num > 0 or den > 0")
+
+
+def rate_ratio_interval(air: Airline, replicates: int = REPLICATES) -> DataFrame:
+    """The missed/made rate ratio with its uncertainty: a bootstrap of whole
+    accounts, so that an account's durations stay together."""
+    per = _ratio_terms(_account_strata(_survival_input(air)))
+    ratio = per.agg(F.count(F.lit(1)).alias("n_accounts"), _r(F.try_divide(F.sum("num"), F.sum("den"))).alias("rate_ratio"))
+    b = bootstrap_ratios(per, replicates)
+    ends = F.percentile("ratio", F.array(*[F.lit(p) for p in INTERVALS.values()]))
+    spread = b.agg(F.count("ratio").alias("replicates"), _r(F.stddev_samp("ratio")).alias("std_error"), ends.alias("_e"))
+    x = attach(ratio, spread)
+    return x.select("n_accounts", "rate_ratio", "replicates", "std_error", *[_r(F.col("_e")[i]).alias(n) for i, n in enumerate(INTERVALS)])
+
+
 def rate_deciles(air: Airline, probs: Sequence[float] = DECILES) -> DataFrame:
     """Deciles of the shrunk account rates (linear interpolation, exact)."""
     r = account_rate_shrinkage(air)

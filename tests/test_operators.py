@@ -14,7 +14,8 @@ from layover.operators.asof import next_booking_pairs, unmatched_first_booking
 from layover.operators.firsts import argmax_ties, first_per_key
 from layover.operators.histogram import equal_width
 from layover.operators.ordered import previous_event, row_index, running_sum
-from layover.operators.ranking import exact_quantiles, global_index, ntile
+from layover.operators.ranking import global_index, ntile
+from layover.operators.selection import exact_quantiles
 from layover.oracle.compare import same
 
 T0 = datetime(2000, 1, 1)
