@@ -50,10 +50,10 @@ def _range_partitioned(df: DataFrame, keys: list[str], order: list[Column],
                        partitions: int | None = None) -> DataFrame:
     """Range-partition on (keys, order), tag rows with their partition id and
     checkpoint (reliable, shared folder)."""
-    from layover.session import ensure_checkpoint_dir
+    from layover.session import ensure_checkpoint_dir, range_count
 
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_count(df)
     r = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(_P, F.spark_partition_id())
     ensure_checkpoint_dir(spark)
     return r.checkpoint(eager=True)

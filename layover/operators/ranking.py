@@ -34,7 +34,9 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
                  partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """1-based position of each row in the total order ``order``."""
     order = list(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from layover.session import range_count
+
+    n = partitions or range_count(df)
     r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))

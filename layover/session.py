@@ -99,6 +99,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     _LOCAL_DIRS[sc.applicationId] = local
 
 
+#: bytes of input that a range of a parallel scan should hold, and the most ranges
+RANGE_BYTES, MOST_RANGES = 256 << 20, 50_000
+
+
+def range_count(df) -> int:
+    """Number of ranges to deal ``df`` into: the session's shuffle partitions,
+    or more where the tables it reads are larger than they can hold.  (An
+    explicit number is not adapted at run time, so it has to follow the size.)"""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # a plan without statistics counts as endless
+    return max(least, min(-(-known // RANGE_BYTES), MOST_RANGES))
+
+
 # ---------------------------------------------------------------------------
 # Scratch outputs (staged tables, stored adapter tables) are removed at exit.
 # ---------------------------------------------------------------------------

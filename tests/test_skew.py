@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from layover.oracle.compare import same
+from layover.plans import retention
 from layover.plans.registry import JOBS
 from layover.sources.adapter import TABLES, Airline
 
@@ -57,3 +58,21 @@ def test_jobs_under_skew_match_oracle(spark, skewed, name):
     want = con.execute(E.oracle_sql()[name].without_prefix()).df()
     ok, why = same(got, want)
     assert ok, f"{name}: {why}"
+
+
+@pytest.mark.parametrize("name", ["trips", "missed_connections", "passenger_legs", "passenger_leg_boarding", "boarding_coverage"])
+@pytest.mark.parametrize("many", [1000, 5])
+def test_booking_with_a_third_of_all_legs(spark, stored_air, monkeypatch, name, many):
+    """One booking holds a third of all legs; with a low limit it takes the parallel scan."""
+    monkeypatch.setattr(retention, "MANY_LEGS", many)
+    # (few passengers there, as the boarding joins multiply them with the legs)
+    hot = F.when(F.col("booking_leg_id") % 3 == 0, F.lit(1)).otherwise(F.col("booking_id")).cast("long")
+    frames = {n: getattr(stored_air, n) for n in TABLES}
+    frames["booking_leg"] = frames["booking_leg"].withColumn("booking_id", hot)
+    con = duckdb.connect()
+    for n, df in frames.items():
+        con.register(n, df.toPandas())
+    got = JOBS[name](Airline.from_frames(spark, **frames)).toPandas()
+    want = con.execute(E.oracle_sql()[name].without_prefix()).df()
+    ok, why = same(got, want)
+    assert ok, f"{name}: {why}"
