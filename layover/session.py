@@ -109,7 +109,7 @@ def range_count(df) -> int:
     explicit number is not adapted at run time, so it has to follow the size.)"""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)  # a plan without statistics counts as endless
     return max(least, min(-(-known // RANGE_BYTES), MOST_RANGES))
 
