@@ -5,20 +5,23 @@ L characters matches a document where some part of the document is within
 ``k = int(MAX_EDIT * L)`` edits (of characters) of the whole item.
 
 Embedding
-    A CGK random walk writes out the present character in each step and
-    moves on if a random bit of (walk, step, character) is set.  Walks from
-    two aligned places agree until an edit, and often fall into step again
-    after it, so edit distance becomes Hamming distance.  Measured on items
-    with a fifth of their characters edited, walks over a whole item agree
-    on 0.31 of their places (median; 0.11 for unrelated text), and almost
-    all of it before the first edit.  So a window of an item's size is
-    embedded piecewise: a walk of up to ``STEPS`` steps starts at every place
-    of the item and at every ``STRIDE``-th place of the document.
+    A CGK random walk writes out the present character in each step and moves
+    on with chance ``ADVANCE``, by a hash of (walk, step, character).  Walks
+    from two aligned places agree until an edit, and often fall into step
+    again after it, so edit distance becomes Hamming distance.  Measured on
+    items with a fifth of their characters edited, walks over a whole item
+    agree on 0.31 of their places (median; 0.11 for unrelated text), too few
+    for one sample of a whole window.  So a window of an item's size is
+    embedded piecewise, by a walk of up to ``STEPS`` steps from every place.
+    (A walk that stays half of the time, as in the first description of the
+    method, reads too few characters to tell texts of one language apart.)
 
 Bit sampling
-    Each of ``WALKS`` walks is a table: ``BITS`` of its steps, one from each of
-    equal parts, are hashed; equal samples are a hit.  A hit's diagonal is the
-    place in the document less the place in the item.  In a match, the walks
+    Each of ``WALKS`` walks is a table: a sample of its steps, ``BITS`` of all
+    ``STEPS``, is hashed; equal samples are a hit.  The places of an item are in
+    every table; those of a document take turns, so that each place asks one
+    table and neighbours ask different ones.  A hit's diagonal is the place
+    in the document less the place in the item.  In a match, the walks
     that no edit touches hit on at most k + 1 neighbouring diagonals, so hits
     are summed over item-sized windows of diagonals: in buckets of at least
     that width, two neighbouring buckets at a time.  Where such a window has
@@ -61,15 +64,17 @@ from layover.llm.common import mix64, prepare, staged, text_key
 BLOCK_ITEMS = 2_000  # items sent to the tasks at once
 MAX_EDIT = 0.2
 RECALL, DRAWS = 0.999, 4_000  # of copies with the most edits, at random places
-STEPS, WALKS, BITS = 16, 2, 7  # of a walk; walks from each place; steps sampled
-STRIDE = 2  # places of a document from one walk to the next
-ENOUGH = 10  # hits that tell a copy from other text
+STEPS, WALKS, BITS = 11, 2, 10  # of a walk; walks (tables); steps sampled
+ADVANCE = 0.8  # chance of a step to the next character
+LENGTHS = tuple(range(STEPS, 0, -1))  # steps that an item's walks may have
+ENOUGH = 12  # hits that tell a copy from other text
 CHUNK = 1 << 16  # characters searched at once
 # words: runs of other characters than ASCII and general punctuation and spaces
 _WORD = re.compile("[^\\x00-/:-@\\[-`{-\x7f\xa0-\xbf\u2000-\u206f\u3000-\u303f]+")
 _IN_WORD = np.array([bool(_WORD.match(chr(c))) for c in range(0x3041)])
 _CHARACTER = mix64(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
-_MIX, _TOP = np.uint64(0xD6E8FEB86659FD93), np.uint64(63)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_STAY = np.uint64(int((1 - ADVANCE) * 2 ** 64))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -94,29 +99,29 @@ def _string(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _places(steps: int, walk: int) -> list[int]:
-    """Sampled steps of a walk's table, one from each of equal parts."""
-    rng = np.random.default_rng((walk, steps))
-    cuts = np.linspace(0, steps, min(BITS, steps) + 1).astype(int)
-    return [int(rng.integers(a, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+def _places(walk: int) -> list[int]:
+    """The walk's sampled steps: the first, and others at random."""
+    rng = np.random.default_rng(walk)
+    return [0, *sorted((rng.choice(STEPS - 1, BITS - 1, replace=False) + 1).tolist())]
 
 
-def samples(codes: np.ndarray, start: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """Bit samples of the walk's embeddings of ``codes`` from each ``start``."""
-    h = np.concatenate((_CHARACTER[codes & 0xFFFF], np.zeros(steps + 1, np.uint64)))
-    odd = mix64(np.arange(1, steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(walk * 7919 + 1)) | np.uint64(1)
-    places = _places(steps, walk)
+def samples(codes: np.ndarray, start: np.ndarray, walk: int, lengths: set[int]) -> dict[int, np.ndarray]:
+    """Bit samples of the embeddings of ``codes`` from each ``start``: for each
+    of the ``lengths`` those of so many steps (a walk is the start of a longer one)."""
+    h = np.concatenate((_CHARACTER[codes & 0xFFFF], np.zeros(STEPS + 1, np.uint64)))
+    odd = mix64(np.arange(1, STEPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(walk * 7919 + 1)) | np.uint64(1)
+    places, found = _places(walk), {}
     at, out = start.astype(np.int64), np.full(len(start), walk + 1, np.uint64)
-    for j in range(places[-1] + 1):
+    for j in range(max(lengths)):
         here = h[at]
         if j in places:
             out ^= here
             out *= _MIX
-        if j < places[-1]:
-            here *= odd[j]
-            here >>= _TOP
-            at += here.view(np.int64)
-    return out
+        if j + 1 in lengths:
+            found[j + 1] = out.copy()
+        here *= odd[j]
+        at += here >= _STAY
+    return found
 
 
 def _least(length: int, memory: dict) -> tuple[int, int]:
@@ -130,14 +135,14 @@ def _least(length: int, memory: dict) -> tuple[int, int]:
         place = rng.random((DRAWS, n))
         edited = place <= np.partition(place, k - 1, axis=1)[:, k - 1:k] if k else np.zeros((DRAWS, n), bool)
         before = np.concatenate((np.zeros((DRAWS, 1), np.int32), np.cumsum(edited, axis=1, dtype=np.int32)), axis=1)
-        # the document's places may fall on any residue of the stride
-        asked = (np.arange(n) - rng.integers(STRIDE, size=(DRAWS, 1))) % STRIDE == 0
-        for steps in range(min(STEPS, max(2, n)), 0, -1):
+        turn = (np.arange(n) + rng.integers(WALKS, size=(DRAWS, 1))) % WALKS
+        for steps in [x for x in LENGTHS if x <= max(2, n)]:
             whole = np.zeros(DRAWS, np.int64)
             for walk in range(WALKS):
-                read = np.arange(n) + rng.binomial(_places(steps, walk)[-1], 0.5, size=(DRAWS, n)) + 1
+                last = max(p for p in _places(walk) if p < steps)
+                read = np.arange(n) + rng.binomial(last, ADVANCE, size=(DRAWS, n)) + 1
                 clean = np.take_along_axis(before, np.minimum(read, n), axis=1) == before[:, :-1]
-                whole += (clean & (read <= n) & asked).sum(axis=1)
+                whole += (clean & (read <= n) & (turn == walk)).sum(axis=1)
             least = int(np.quantile(whole, 1 - RECALL, method="lower"))
             if least >= max(1, min(ENOUGH, n // 8)):
                 break
@@ -201,7 +206,7 @@ def _index(items: list[str]) -> dict:
         base = np.cumsum(buckets) - buckets
         tables = []
         for walk in range(WALKS):
-            h = [samples(c := _codes(items[k]), np.arange(len(c)), steps, walk) for k, _ in group]
+            h = [samples(c := _codes(items[k]), np.arange(len(c)), walk, {steps})[steps] for k, _ in group]
             h, at = np.concatenate(h), np.concatenate([np.arange(len(x)) for x in h])
             bits = min(24, max(10, int(16 * len(h)).bit_length()))
             slot = (h >> np.uint64(64 - bits)).view(np.int64)
@@ -215,15 +220,14 @@ def _index(items: list[str]) -> dict:
     return {"longest": longest, "chunk": chunk, "overlap": overlap, "by": out}
 
 
-def _hits(part: np.ndarray, steps: int, walk: int, x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(found: np.ndarray, walk: int, x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, place of the document, longest less place of the item) of the
-    walk's hits, sorted by place."""
-    start = np.arange(0, len(part), STRIDE)
-    slot = (samples(part, start, steps, walk) >> np.uint64(64 - x["bits"])).view(np.int64)
+    hits of a walk's samples, sorted by place."""
+    slot = (found >> np.uint64(64 - x["bits"])).view(np.int64)
     at = np.flatnonzero(x["used"][slot])
     left = x["first"][slot[at]]
     n = x["first"][slot[at] + 1] - left
-    place = np.repeat((at * STRIDE).astype(np.int32), n)
+    place = np.repeat((at * WALKS + walk).astype(np.int32), n)
     e = np.arange(len(place), dtype=np.int32) + np.repeat(left - (np.cumsum(n, dtype=np.int32) - n), n)
     back = x["back"][e]
     return ((place + back) >> x["shift"][e]) + x["base"][e], place, back
@@ -234,12 +238,13 @@ def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
     found, longest = [], index["longest"]
     for lo in range(0, len(codes), index["chunk"]):
         part = codes[lo:lo + index["chunk"] + index["overlap"]]
+        sampled = [samples(part, np.arange(walk, len(part), WALKS), walk, set(index["by"])) for walk in range(WALKS)]
         for steps, x in index["by"].items():
-            walks = [_hits(part, steps, walk, table) for walk, table in enumerate(x["tables"])]
+            walks = [_hits(sampled[walk][steps], walk, table) for walk, table in enumerate(x["tables"])]
             hits = np.zeros(len(x["least"]), np.int64)
             for bucket, place, _ in walks:
                 if len(bucket):
-                    # a place of the document counts once in a bucket and walk
+                    # a place of the document counts once in a bucket
                     fresh = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])))
                     hits += np.bincount(bucket[fresh], minlength=len(hits))
             two = hits.copy()
