@@ -25,8 +25,8 @@ Bit sampling
     that no edit touches hit on at most k + 1 neighbouring diagonals, so hits
     are summed over item-sized windows of diagonals: in buckets of at least
     that width, two neighbouring buckets at a time.  Where such a window has
-    ``least`` hits, on as many places of the item and of the document, the
-    item is a candidate.
+    ``least`` hits, on as many places of the item and of the document, and as
+    many within k + 1 diagonals, the item is a candidate.
 
 ``least`` is stated by recall: of ``DRAWS`` draws of k edited places (the most
 that a match may have, at random among all) and of the walks' advance, the
@@ -262,6 +262,10 @@ def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
             size = length + (2 << shift)
             room = np.cumsum(size) - size
             both = np.zeros((2, len(pair)), np.int64)
+            # hits by diagonal, with room after the last for a window of k + 1
+            wide, edits = 2 << shift, (MAX_EDIT * length).astype(int) + 1
+            line = np.cumsum(wide + edits) - (wide + edits)
+            diagonal = np.zeros(int((wide + edits).sum()), np.int64)
             for bucket, place, back in walks:
                 near = np.flatnonzero((known[bucket] >= 0) | (known[bucket - 1] >= 0))
                 mine, theirs = (np.zeros(int(size.sum()), bool) for _ in range(2))
@@ -271,8 +275,12 @@ def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
                     c = c[in_pair]
                     mine[room[c] + i[in_pair]] = True
                     theirs[room[c] + p[in_pair] - start[c]] = True
+                    diagonal += np.bincount(line[c] + p[in_pair] - i[in_pair] - start[c], minlength=len(diagonal))
                 both += [np.add.reduceat(side, room, dtype=np.int64) for side in (mine, theirs)]
-            ok = both.min(axis=0) >= x["least"][pair]
+            upto = np.concatenate(([0], np.cumsum(diagonal)))
+            end = np.minimum(np.arange(len(diagonal)) + np.repeat(edits, wide + edits), len(diagonal))
+            densest = np.maximum.reduceat(upto[end] - upto[:-1], line)
+            ok = np.minimum(both.min(axis=0), densest) >= x["least"][pair]
             found.append(np.column_stack([x["items"][number], lo + start, lo + start + size + (MAX_EDIT * length).astype(int)])[ok])
     return found
 
