@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layover.session import checkpoint_dir, configure, register_scratch
+from layover.session import checkpoint_dir, configure, register_scratch, remove_scratch
 
 #: rows of an Arrow batch; texts are long, so batches are kept short
 BATCH_ROWS = 512
@@ -44,7 +44,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete ``staged`` tables that nothing reads any more."""
+    for df in tables:
+        remove_scratch(df.sparkSession, df.staged_path)
 
 
 def text_key(text: str | Column = "text") -> Column:
@@ -187,7 +195,8 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         seen = now
         if not now[0]:
             break
-        e = staged(star(star(e, True), False), label)
+        old, e = e, staged(star(star(e, True), False), label)
+        release(old)
     v = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return v.union(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 

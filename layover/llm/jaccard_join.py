@@ -50,11 +50,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layover.llm.common import UNSPACED, WordScanner, connected_components, mix64, prepare, shingles, staged, text_key
+from layover.llm.common import UNSPACED, WordScanner, connected_components, mix64, prepare, release, shingles, staged, text_key
 
 BAND_RATIO = 1.25
+REMEMBERED = 200_000  # sets whose tiles a task has given out
 BLOCK = 1024  # sets of a block of a large tile
-BROADCAST_KEYS = 500_000  # at most this many 16-byte keys are broadcast
+BROADCAST_KEYS = 100_000  # at most this many rows of up to three longs (2.4 MB) are broadcast
 
 
 # ------------------------------------------------------------ band layout
@@ -169,15 +170,20 @@ def _sets_pass(n: int):
 
 
 def _tiles_pass(n: int, num: int, den: int):
-    """One row per tile of a text: straight into the shuffle, never staged."""
+    """One row per tile of a text: straight into the shuffle, never staged.  A
+    task gives out the tiles of equal sets once (as long as it remembers them)."""
     def run(batches):
-        scanner = WordScanner(UNSPACED)
+        scanner, known = WordScanner(UNSPACED), set()
         for b in batches:
             ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for s in _shingle_sets(b.column(0).to_pylist(), scanner, n):
-                if len(s):
-                    keys.append(_i64(tile_keys(s, num, den)))
-                    ids.append(np.full(len(keys[-1]), _set_id(s), np.int64))
+                if not len(s) or (sid := _set_id(s)) in known:
+                    continue
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known.add(sid)
+                keys.append(_i64(tile_keys(s, num, den)))
+                ids.append(np.full(len(keys[-1]), sid, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["sid", "tile"])
     return run
 
@@ -342,7 +348,9 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
         x = (open_.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a")
              .join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b").select("a", "b", "xa", "xb"))
         exact = x.mapInArrow(_exact_pass(num, den), "a long, b long, ok boolean")
-        return staged(exact.union(bound.where("not ok")), "verified")
+        done = staged(exact.union(bound.where("not ok")), "verified")
+        release(bound, ids, wanted, arrays)
+        return done
 
     pairs = tiles.where("sid <> leader").select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"))
     seen = verified(pairs.distinct())
@@ -357,7 +365,10 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
             F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("k"),
             F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("s1"))
             .where("l0 <> l1").groupBy("k", "s0", "s1").agg(F.min("tile").alias("tile")).select("tile"))
-        no = seen.where("not ok").select("a", "b")
+        # refuted pairs matter as long as their classes differ
+        ends = [labels.select(F.col("sid").alias(c), F.col("component").alias(f"l{c}")) for c in "ab"]
+        no = seen.where("not ok").select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        no = no.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         no = no.union(no.select("b", "a")).groupBy(F.col("a").alias("sid")).agg(F.collect_set("b").alias("refuted"))
         rows = (rows.join(still, "tile", "left_semi").join(feats.select("sid", "n", "bits"), "sid")
                 .join(no, "sid", "left"))
@@ -368,8 +379,11 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
         if more.isEmpty():
             return links
         # classes only merge, so a tile without a pair will never have one
-        live = staged(live.join(_some(staged(found.select("tile").distinct(), "again")), "tile", "left_semi"), "live")
+        again = staged(found.select("tile").distinct(), "again")
+        old = [found, again, seen, more] + [live] * (search > 0)
+        live = staged(live.join(_some(again), "tile", "left_semi"), "live")
         seen, search = staged(seen.union(more), "seen"), search + 1
+        release(*old)
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
