@@ -126,19 +126,29 @@ def register_scratch(spark: SparkSession, path: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    if path.startswith("file:") or "://" not in path:
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+        return
+    try:  # other file systems through Hadoop, while the JVM is up
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - best effort
+        pass
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this process before its end."""
+    if (spark, path) in _SCRATCH:
+        _SCRATCH.remove((spark, path))
+        _delete(spark, path)
+
+
 def release_scratch() -> None:
     """Delete the scratch folders written by this process (local or shared FS)."""
     while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        if path.startswith("file:") or "://" not in path:
-            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
-            continue
-        try:  # other file systems through Hadoop, while the JVM is up
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - best effort at shutdown
-            pass
+        _delete(*_SCRATCH.pop())
 
 
 atexit.register(release_scratch)
