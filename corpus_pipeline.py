@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from layover.llm.common import prepare, read, staged, text_key
 
 MIN_SCORE = 0.3
-BROADCAST_KEYS = 100_000
+BROADCAST_KEYS = 400_000
 
 #: not expressible in SQL (trained model, embedding, merges); tested against brute force
 ORACLE_SQL = None

@@ -55,7 +55,7 @@ from layover.llm.common import UNSPACED, WordScanner, connected_components, mix6
 BAND_RATIO = 1.25
 REMEMBERED = 200_000  # sets whose tiles a task has given out
 BLOCK = 1024  # sets of a block of a large tile
-BROADCAST_KEYS = 100_000  # at most this many rows of up to three longs (2.4 MB) are broadcast
+BROADCAST_KEYS = 400_000  # at most this many rows of up to three longs (9.6 MB) are broadcast
 
 
 # ------------------------------------------------------------ band layout
