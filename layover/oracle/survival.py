@@ -121,7 +121,7 @@ FROM (SELECT t0, t1, CASE WHEN t0 + t1 > 0 THEN d1 * t0 / (t0 + t1) ELSE 0.0 END
                    sum(CASE WHEN missed_flight_flag = 1 THEN days ELSE 0.0 END) AS t1
             FROM surv GROUP BY account_id))"""),
     "rate_ratio_interval": _q(f"""
-SELECT any_value(na) AS n_accounts, any_value(rr) AS rate_ratio, count(ratio) AS replicates, round(stddev_samp(ratio), {R}) AS std_error,
+SELECT coalesce(any_value(na), 0) AS n_accounts, any_value(rr) AS rate_ratio, count(ratio) AS replicates, round(stddev_samp(ratio), {R}) AS std_error,
        round(quantile_cont(ratio, 0.1), {R}) AS lower_80, round(quantile_cont(ratio, 0.9), {R}) AS upper_80,
        round(quantile_cont(ratio, 0.025), {R}) AS lower_95, round(quantile_cont(ratio, 0.975), {R}) AS upper_95
 FROM (SELECT b, CASE WHEN sum(w * den) > 0 THEN sum(w * num) / sum(w * den) END AS ratio
