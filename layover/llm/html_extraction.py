@@ -72,13 +72,11 @@ signin signup skip social sponsor sponsored subscribe toolbar widget widgets
 """.split())
 _BAD_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|math|iframe|select|object|canvas|audio|video|button)\b[^>]*?>"
-    r".*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
+_RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "select", "object", "canvas", "audio", "video", "button")
+_RAW_START = re.compile(r"<(?:%s)\b" % "|".join(_RAW), re.I)
+_RAW_END = {name: re.compile(r"</%s\s*>" % name, re.I) for name in _RAW}
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL = re.compile("[>\"']")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,19 +110,91 @@ def _marks_bad(name: str, attrs: str, in_region: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks of a page in order, without empty ones."""
+class _Ahead:
+    """First match of a pattern from a place on; asked for rising places, it
+    reads every character once."""
+
+    def __init__(self, find):
+        self.find, self.since, self.at = find, 0, -1
+
+    def __call__(self, place: int) -> int:
+        """Its start, or -1 if there is none."""
+        if self.at < 0 and self.since or self.since <= place <= self.at:
+            return self.at
+        self.at = self.find(place)
+        self.since = max(place, 1)
+        return self.at
+
+
+def tags(html: str):
+    """(start, end, name, closing, attributes) of the page's markup in order;
+    name is empty for comments, declarations and elements without text for the
+    reader, which are taken with their content.  A ``<`` that starts none of
+    these is text.  Each character is read a bounded number of times."""
+    gt = _Ahead(lambda i: html.find(">", i))
+    dead: set[int] = set()  # places behind an attribute from which a tag does not end
+
+    def quoted_end(i: int) -> int:
+        """End of a tag whose attributes go on at ``i``, ``>`` in quotes not
+        counting; -1 if a quote is left open or the page ends before."""
+        been = []
+        while i not in dead:
+            been.append(i)
+            m = _SPECIAL.search(html, i)
+            if m and m[0] == ">":
+                return m.end()
+            close = html.find(m[0], m.end()) if m else -1
+            if close < 0:
+                break
+            i = close + 1
+        dead.update(been)
+        return -1
+
+    i = html.find("<")
+    while i >= 0:
+        end, name, closing, attrs = -1, "", False, ""
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            end = len(html) if end < 0 else end + 3
+        elif gt(i) < 0:  # no tag ends any more; only a comment may still begin
+            i = html.find("<!--", i)
+            continue
+        elif (m := _RAW_START.match(html, i)):
+            close = _RAW_END[html[i + 1:m.end()].lower()].search(html, gt(m.end()) + 1)
+            end = close.end() if close else len(html)
+        elif (m := _NAME.match(html, i)):
+            end = quoted_end(m.end())
+            if end < 0:
+                end = gt(m.end()) + 1
+            closing, name, attrs = bool(m[1]), m[2].lower(), html[m.end():end - 1]
+        elif html[i + 1:i + 2] in ("!", "?", "/"):
+            end = gt(i + 2) + 1
+        if end > i:
+            yield i, end, name, closing, attrs
+            i = html.find("<", end)
+        else:
+            i = html.find("<", i + 1)
+
+
+def blocks(html: str, exempt: frozenset[int] = frozenset()) -> tuple[list[Block], dict[int, tuple[int, bool]]]:
+    """Blocks of a page in order, without empty ones, and its marked elements
+    by number: (unlinked code points under it, whether it holds an article or
+    main element).  The marks of ``exempt`` elements do not count."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, bad, region
+    stack: list[tuple[str, bool, int, int]] = []  # element, bad, region, nearest marked element
     bad, region, regions, links, breaks, heading = False, 0, 0, 0, 0, False
+    number, linked_at = 0, 0  # of elements; depth of the stack where the open link began
+    prose, above, holds = {}, {}, set()  # by marked element: unlinked code points, the marked one around it
 
     def flush() -> None:
         nonlocal breaks
         text = " ".join("".join(parts).split())
         if text:
             out.append(Block(text, len(" ".join("".join(linked).split())), bad, region, heading))
+            if stack and stack[-1][3]:
+                prose[stack[-1][3]] += len(text) - out[-1].linked
         parts.clear()
         linked.clear()
         breaks = 0
@@ -139,14 +209,12 @@ def blocks(html: str) -> list[Block]:
             breaks = 0
 
     end = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > end:
-            add(html[end:m.start()])
-        end = m.end()
-        name = (m[3] or m[6] or "").lower()
+    for start, stop, name, closing, attrs in tags(html):
+        if start > end:
+            add(html[end:start])
+        end = stop
         if not name:
             continue
-        closing = bool(m[2] or m[5])
         if name == "br":
             breaks += 1
             parts.append(" ")
@@ -154,12 +222,11 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         if name == "a":
-            links = 0 if closing else 1
+            links, linked_at = 0 if closing else 1, len(stack)
             continue
         if name not in _BLOCK:
             continue
         flush()
-        links = 0
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -169,13 +236,20 @@ def blocks(html: str) -> list[Block]:
             if name in ("p", "li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
                 stack.pop()  # these end where the next one begins
             up_bad, up_region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            attrs = m[4] or m[7] or ""
-            now_bad = up_bad or _marks_bad(name, attrs, up_region > 0)
-            if name in ("article", "main") and not now_bad and not up_region:
-                regions += 1
-                up_region = regions
+            number, mark = number + 1, stack[-1][3] if stack else 0
+            marked = _marks_bad(name, attrs, up_region > 0)
+            now_bad = up_bad or marked and number not in exempt
+            if name in ("article", "main"):
+                holds.add(mark)
+                if not now_bad and not up_region:
+                    regions += 1
+                    up_region = regions
+            if marked and name not in _VOID:
+                above[number], prose[number], mark = mark, 0, number
             if name not in _VOID:
-                stack.append((name, now_bad, up_region))
+                stack.append((name, now_bad, up_region, mark))
+        if links and len(stack) < linked_at:
+            links = 0  # a link ends with the element that it began in
         bad, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-2:])
     if end < len(html):
@@ -183,7 +257,12 @@ def blocks(html: str) -> list[Block]:
         cut = rest.rfind("<")  # a tag that the page's end cuts off
         add(rest if cut < 0 or ">" in rest[cut:] or not re.match(r"<[/!a-zA-Z]", rest[cut:]) else rest[:cut])
     flush()
-    return out
+    for k in sorted(above, reverse=True):
+        if above[k]:
+            prose[above[k]] += prose[k]
+            if k in holds:
+                holds.add(above[k])
+    return out, {k: (n, k in holds) for k, n in prose.items()}
 
 
 def _stops(text: str) -> float:
@@ -271,11 +350,23 @@ def labels(page: list[Block]) -> list[int]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    page = blocks(html or "")
+def _text(page: list[Block]) -> str:
     return "\n\n".join(b.text for b, label in zip(page, labels(page), strict=True) if label == GOOD)
 
 
+def main_text(html: str | None) -> str:
+    """A mark is evidence, not a verdict: where an element that is marked by its
+    name, class or role holds most of the page's unlinked text, and the page
+    has no text without it or its only article or main element is in it, the
+    mark is that of a wrapper and does not count."""
+    page, marked = blocks(html or "")
+    text = _text(page)
+    most = sum(len(b.text) - b.linked for b in page) / 2
+    no_region = not any(b.region for b in page)
+    wrappers = frozenset(k for k, (n, holds) in marked.items() if n and n >= most and (not text or holds and no_region))
+    return _text(blocks(html, wrappers)[0]) if wrappers else text
+
+
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns and ``text`` of every row."""
     prepare(df.sparkSession)

@@ -409,3 +409,53 @@ def test_queries_equal_their_sql(spark, duck, name):
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR"}
     want = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
     assert {f.name: kinds[f.dataType.simpleString()] for f in got.schema.fields} == want
+
+
+_ARTICLE = "".join(f"<p>{s}</p>" for s in (
+    "The town council met on Tuesday to talk about the old bridge and what it would cost to mend it before the winter.",
+    "Most of the members were of the view that the work should begin at once, as the river had been high for a week.",
+    "It was said that the money could be found in the fund for roads, which had not been used in the last two years.",
+    "A vote will be held next month, and until then the bridge is to be kept closed to all but those who walk over it."))
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout-with-sidebar"', 'div class="has-header"', 'div class="no-sidebar content"', 'div class="widget-content"',
+                                     'div class="search-results-page"', 'form id="aspnetForm"'])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_html_wrappers_are_no_verdict(wrapper, inner):
+    tag = wrapper.split()[0]
+    page = (f"<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><{wrapper}><{inner}>{_ARTICLE}</{inner}>"
+            f"<div class=sidebar><p>Sign up for our letter and you will never miss what is new in the town.</p></div></{tag}></body>")
+    text = html_extraction.main_text(page)
+    assert text.count("\n\n") == 3 and "Sign up" not in text and "Home" not in text and text.startswith("The town")
+    # reader comments stay out however long they are
+    comments = "".join(f"<div class=comment><article>{_ARTICLE.replace('council', 'mayor')}</article></div>" for _ in range(3))
+    kept = html_extraction.main_text(f"<body><article>{_ARTICLE}</article><section id=comments>{comments}</section></body>")
+    assert kept.count("\n\n") == 3 and "mayor" not in kept
+
+
+def test_html_links_go_on_across_blocks():
+    card = '<a href="/x"><div>Ten things that you should know about the river and the bridge before you come to see it this year</div></a>'
+    assert html_extraction.main_text(f"<body>{card * 4}</body>") == ""
+    text = html_extraction.main_text(f"<body><article>{_ARTICLE}{card * 4}</article></body>")
+    assert "Ten things" not in text and text.count("\n\n") == 3
+    # a link that is never closed ends with its block
+    open_link = _ARTICLE.replace("<p>", '<p><a href="/y">§</a> ', 1).replace("</p>", ' <a href="/z">more</p>', 1)
+    assert html_extraction.main_text(f"<body><article>{open_link}</article></body>").count("\n\n") == 3
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<script ", "<a '\"> ", "<!--", "</script  ", "<div class=ad>", "<p>x", "<a href='", "&lt;<"])
+def test_html_reads_malformed_pages_once(part):
+    import time
+
+    began = time.time()
+    html_extraction.main_text(part * (5_000_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_html_tags():
+    tags = lambda h: [(h[a:z], n, c) for a, z, n, c, _ in html_extraction.tags(h)]
+    assert tags("a<b x='>'>c</b><!-- <i> --><script>1<2</script >d<br/>") == [
+        ("<b x='>'>", "b", False), ("</b>", "b", True), ("<!-- <i> -->", "", False), ("<script>1<2</script >", "", False), ("<br/>", "br", False)]
+    assert tags("1 < 2 <a 'x> <p>") == [("<a 'x>", "a", False), ("<p>", "p", False)]
+    assert tags("<!doctype html><style>p{}") == [("<!doctype html>", "", False), ("<style>p{}", "", False)]
+    assert tags("<a <b <!-- x") == [("<!-- x", "", False)]
