@@ -332,9 +332,10 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Exact links enough to span every class: tiles(tile, sid, leader) of
-    tiles with several sets, feats(sid, n, bits) -> links(a, b).  Arrays are
-    made for the sets of pairs that pass the bound, and only for them."""
+    """Classes by exact links enough to span every one: tiles(tile, sid,
+    leader) of tiles with several sets, feats(sid, n, bits) -> (sid,
+    component) of the sets with a link.  Arrays are made for the sets of
+    pairs that pass the bound, and only for them."""
     def verified(pairs: DataFrame) -> DataFrame:
         fa = feats.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
         fb = feats.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
@@ -377,7 +378,7 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = verified(pairs.join(seen, ["a", "b"], "left_anti"))
         if more.isEmpty():
-            return links
+            return labels
         # classes only merge, so a tile without a pair will never have one
         again = staged(found.select("tile").distinct(), "again")
         old = [found, again, seen, more] + [live] * (search > 0)
@@ -406,8 +407,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     keys = staged(keys, "keys")
     feats = staged(_texts(d, keys).mapInArrow(_bitmaps_pass(n), "sid long, n long, bits binary")
                    .dropDuplicates(["sid"]), "features")
-    links = _link(tiles, feats, d, keys, n, num, den)
-    comp = connected_components(links).select(F.col("id").alias("sid"), "component")
+    comp = _link(tiles, feats, d, keys, n, num, den)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min(first).alias("r"))
     reps = reps.join(comp, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
