@@ -78,9 +78,9 @@ def lead_days_before_after(air: Airline, split_date: str = SPLIT_DATE) -> DataFr
     split = F.lit(split_date).cast("date")
     x = x.select(F.when(F.col("booking_time") < split, F.col("early_days")).alias("early_days_before_june"),
                  F.when(F.col("booking_time") >= split, F.col("early_days")).alias("early_days_after_may"))
-    aaa = x.groupBy("early_days_before_june").agg(F.count(F.lit(1)).alias("before_june_count"))
-    bbb = x.groupBy("early_days_after_may").agg(F.count(F.lit(1)).alias("after_may_count"))
-    x = aaa.join(bbb, aaa.early_days_before_june == bbb.early_days_after_may, "left")
+    before = x.groupBy("early_days_before_june").agg(F.count(F.lit(1)).alias("before_june_count"))
+    after = x.groupBy("early_days_after_may").agg(F.count(F.lit(1)).alias("after_may_count"))
+    x = before.join(after, before.early_days_before_june == after.early_days_after_may, "left")
     return pg_sort(x, "early_days_before_june")
 
 
