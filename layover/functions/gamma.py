@@ -3,15 +3,17 @@
 ``P(a, x)`` is the regularised lower incomplete gamma function, the
 distribution function of a Gamma variable of shape ``a`` and rate 1.  Below
 ``x = a + 1`` it is summed as a series of positive terms, above it is one
-minus a continued fraction, evaluated from its end.  Both are folds over
+minus a continued fraction.  Both are folds over
 ``terms(a)`` steps: near ``x = a`` the terms fall like ``exp(-n^2 / 2a)``, so
 ``9 sqrt(a) + 60`` steps leave out less than 1e-16 of the sum for any ``a``.
-Their common factor ``x^a exp(-x) / Gamma(a + 1)`` is taken relative to its
-peak for large ``a``, where the plain product would lose all its digits.
+Both are evaluated from their end, so that a step is one small expression
+without state.  Their common factor ``x^a exp(-x) / Gamma(a + 1)`` is taken
+relative to its peak for large ``a``, where the plain product would lose all
+its digits.
 
 Quantiles are found by Newton steps in ``ln x`` inside a bracket; a step that
-leaves the bracket halves it instead.  A row stops computing once its step no
-longer changes the value.
+leaves the bracket halves it instead.  A row stops computing once the error
+that the square of its last step leaves is below rounding.
 
 Shapes must be positive (else NULL); NULLs give NULL; ``x <= 0`` gives 0.
 """
@@ -68,13 +70,10 @@ def terms(a: Column) -> Column:
 
 
 def _series(a: Column, x: Column) -> Column:
-    """1 + x/(a+1) + x^2/((a+1)(a+2)) + ...; for x < a + 1."""
-    def add(acc: Column, n: Column) -> Column:
-        t = acc["t"] * x / (a + n)
-        return F.when(acc["t"] < acc["s"] * 1e-18, acc).otherwise(F.struct(t.alias("t"), (acc["s"] + t).alias("s")))
-
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-    return F.aggregate(F.sequence(F.lit(1), terms(a)), start, add, lambda acc: acc["s"])
+    """1 + x/(a+1) (1 + x/(a+2) (1 + ...)); for x < a + 1.  The terms also fall
+    at least like (x / (a+1))^n, which ends the sum early far below the mean."""
+    n = F.least(terms(a), F.ceil(40 / F.log((a + 1) / x)).cast("int") + 1)
+    return F.aggregate(F.sequence(n, F.lit(1)), F.lit(1.0), lambda s, k: 1 + s * x / (a + k))
 
 
 def _fraction(a: Column, x: Column) -> Column:
@@ -121,6 +120,10 @@ def gamma_quantile(a: Column, p: float) -> Column:
     def solve(s: Column) -> Column:
         a = s["a"]
 
+        def settled(old: Column, new: Column) -> Column:
+            moved_by = (new - old) / old
+            return moved_by * moved_by * (1 + F.abs(a - new)) <= 1e-15
+
         def step(acc: Column, _: Column) -> Column:
             def moved(v: Column) -> Column:
                 lo = F.when(v["cdf"] < p, acc["x"]).otherwise(acc["lo"])
@@ -130,7 +133,7 @@ def gamma_quantile(a: Column, p: float) -> Column:
                 good = (v["factor"] > 0) & (newton > lo) & (newton < hi)
                 x = F.when(v["cdf"] == p, acc["x"]).when(good, newton).otherwise(half)
                 return bind(lambda w: F.struct(w["x"].alias("x"), w["lo"].alias("lo"), w["hi"].alias("hi"),
-                                               (F.abs(w["x"] - acc["x"]) <= 1e-14 * acc["x"]).alias("done")), x=x, lo=lo, hi=hi)
+                                               settled(acc["x"], w["x"]).alias("done")), x=x, lo=lo, hi=hi)
 
             factor = _factor(a, acc["x"])
             go = bind(lambda f: bind(moved, factor=f["f"], cdf=_cdf(a, acc["x"], f["f"])), f=factor)

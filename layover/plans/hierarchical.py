@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layover.operators.spread import spread
 from layover.plans.survival import _account_strata, _r, _survival_input
 from layover.sources.adapter import Airline
 
@@ -190,7 +191,7 @@ def _fitted(air: Airline, beta_prior, beta_missed_prior, tau_prior) -> tuple[Dat
     reference's N(-2.1, 0.1) encodes its data's 0.12/day and is passed
     explicitly when wanted.
     """
-    stats = account_stats(air).checkpoint(eager=True)
+    stats = spread(account_stats(air), "account_id").checkpoint(eager=True)
     d_, t_ = F.col("d0") + F.col("d1"), F.col("t0") + F.col("t1")
     tot = stats.agg(*[F.sum(c).alias(c) for c in ("d0", "t0", "d1", "t1")],
                     F.sum(d_ * d_).alias("dd"), F.sum(d_ * t_).alias("dt"), F.sum(t_ * t_).alias("tt")).first()

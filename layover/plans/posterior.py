@@ -13,12 +13,13 @@ population is a point, and so is every account's posterior.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layover.functions.gamma import gamma_cdf, gamma_quantile, gamma_sf
 from layover.operators.bounds import attach
 from layover.operators.histogram import nice_breaks, with_nice_grid
+from layover.operators.spread import spread
 from layover.plans.survival import CALIBRATION_CUT, INTERVALS, _per_account, _r, _shrink, _survival_input, before_and_after, rate_posterior_by_missed
 from layover.sources.adapter import Airline
 
@@ -39,7 +40,7 @@ def account_posteriors(per: DataFrame) -> DataFrame:
 
 def account_rate_interval(air: Airline) -> DataFrame:
     """Exact posterior intervals of every account's booking rate."""
-    x = account_posteriors(_per_account(_survival_input(air)))
+    x = spread(account_posteriors(_per_account(_survival_input(air))), "account_id")
     ends = [_r(F.coalesce(gamma_quantile(F.col("shape"), p) / F.col("rate"), F.col("pop_mean"))).alias(n) for n, p in INTERVALS.items()]
     return x.select("account_id", "events", _r(F.col("exposure_days")).alias("exposure_days"),
                     _r(F.col("shrunk_rate")).alias("shrunk_rate"), *ends)
@@ -55,7 +56,7 @@ def account_calibration(air: Airline, cut: str = CALIBRATION_CUT) -> DataFrame:
         "account_id", F.col("events").alias("events_after"), F.col("exposure_days").alias("exposure_after"))
     actual = F.col("events_after") / F.col("exposure_after")
     rank = F.coalesce(gamma_cdf(F.col("shape"), F.col("rate") * actual), F.when(actual >= F.col("pop_mean"), 1.0).otherwise(0.0))
-    return est.join(act, "account_id").select(
+    return spread(est.join(act, "account_id"), "account_id").select(
         "account_id", F.col("events").alias("events_before"), _r(F.col("exposure_days")).alias("exposure_before"),
         _r(F.col("shrunk_rate")).alias("estimate"), "events_after", _r(F.col("exposure_after")).alias("exposure_after"),
         _r(actual).alias("actual"), _r(F.col("shrunk_rate") - actual).alias("error"), _r(rank).alias("rank"))
@@ -105,14 +106,22 @@ def account_implied_days_histogram(air: Airline, bins: int = BINS) -> DataFrame:
     of 1/rate mixed in equal parts, for accounts with and without a missed
     flight, on the grid of the population."""
     per = account_posteriors(_per_account(_survival_input(air))).withColumn("has_missed", F.when(F.col("n_missed") > 0, 1).otherwise(0))
+    per = per.select("account_id", "has_missed", "shape", "rate", "pop_mean", "pop_shape", "pop_rate")
+    per = spread(per, "account_id").checkpoint(eager=True)  # read for the grid and for the masses
     point = 1 / F.col("pop_mean")
     ends = per.agg(F.first("pop_shape").alias("a"), F.first("pop_rate").alias("b"), F.first("pop_mean").alias("pop_mean"))
     low = F.coalesce(F.col("b") / gamma_quantile(F.col("a"), 1 - ACCOUNT_TAIL), 0.5 * point)
     high = F.coalesce(F.col("b") / gamma_quantile(F.col("a"), ACCOUNT_TAIL), 1.5 * point)
     grid = with_nice_grid(ends, low, high, bins).select("_w", "_first", "_last")
-    x = _days_bins(attach(per.select("has_missed", "shape", "rate", "pop_mean"), grid))
-    hit = (F.coalesce("days_lo", F.lit(float("-inf"))) < point) & (point <= F.coalesce("days_hi", F.lit(float("inf"))))
-    mass = F.when(F.col("shape").isNull(), F.when(hit, 1.0).otherwise(0.0)).otherwise(_days_mass(F.col("shape"), F.col("rate")))
-    g = x.groupBy("has_missed", "bin", "days_lo", "days_hi").agg(F.count(F.lit(1)).alias("n_accounts"), F.avg(mass).alias("mass"))
-    return g.select("has_missed", "bin", _r(F.col("days_lo")).alias("days_lo"), _r(F.col("days_hi")).alias("days_hi"), "n_accounts",
-                    _r(F.col("mass")).alias("mass"))
+    x = attach(per.select("has_missed", "shape", "rate", "pop_mean"), grid)
+    # the probability of 1/rate up to each edge, once an edge; the masses are differences of its means
+    x = x.withColumn("_k", F.explode(F.sequence(F.col("_first"), F.col("_last") + 1)))
+    edge = F.col("_k") * F.col("_w")
+    upto = F.when(F.col("_k") > F.col("_last"), 1.0).when(F.col("shape").isNull(), F.when(point <= edge, 1.0).otherwise(0.0))
+    upto = upto.when(edge <= 0, 0.0).otherwise(gamma_sf(F.col("shape"), F.try_divide(F.col("rate"), edge)))
+    g = x.groupBy("has_missed", "_k", "_w", "_first", "_last").agg(F.count(F.lit(1)).alias("n_accounts"), F.avg(upto).alias("upto"))
+    before = F.coalesce(F.lag("upto").over(Window.partitionBy("has_missed").orderBy("_k")), F.lit(0.0))  # a row an edge
+    return g.select("has_missed", (F.col("_k") - F.col("_first") - 1).cast("int").alias("bin"),
+                    _r(F.when(F.col("_k") > F.col("_first"), (F.col("_k") - 1) * F.col("_w"))).alias("days_lo"),
+                    _r(F.when(F.col("_k") <= F.col("_last"), edge)).alias("days_hi"), "n_accounts",
+                    _r(F.greatest(F.col("upto") - before, F.lit(0.0))).alias("mass"))
