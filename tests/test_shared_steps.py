@@ -72,3 +72,22 @@ def test_last_legs_of_bookings_of_very_many_legs(spark, stored_air, monkeypatch,
         con.register(n, df.toPandas())
     ok, why = same(JOBS[name](Airline.from_frames(spark, **frames)).toPandas(), con.execute(E.oracle_sql()[name].without_prefix()).df())
     assert ok, why
+
+
+def test_shuffles_start_from_partitions_by_size(spark, monkeypatch):
+    """The number that shuffles start from follows the tables, not the session alone."""
+    from layover import session
+    from layover.sources.adapter import stored
+
+    conf = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        stored(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(conf)) == least
+        monkeypatch.setattr(session, "DEAL_BYTES", 1000)
+        air = stored(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(conf)) > 2 * least
+        assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == session.JOINED_BYTES
+        assert air.booking_leg.groupBy("booking_id").count().count() == air.booking_leg.select("booking_id").distinct().count()
+    finally:
+        session.deal_by_size(spark)
