@@ -91,3 +91,15 @@ def test_shuffles_start_from_partitions_by_size(spark, monkeypatch):
         assert air.booking_leg.groupBy("booking_id").count().count() == air.booking_leg.select("booking_id").distinct().count()
     finally:
         session.deal_by_size(spark)
+
+
+def test_lead_days_export_stores_the_join_before_the_sort(spark):
+    """Neither the bounds of the sort nor its rows repeat the join of legs and flights."""
+    from layover.plans import bookings
+
+    want = E._bind("booking_lead_days")(spark, SF_SMALL)
+    tables = E.stored(spark, SF_SMALL).fork()
+    got = bookings.booking_lead_days_export(tables)
+    stored_rows = tables.staged("booking_lead_days")
+    assert stored_rows is not None and stored_rows.count() == want.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
