@@ -53,6 +53,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,7 @@ def _string(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
+@cache
 def _places(walk: int) -> list[int]:
     """The walk's sampled steps: the first, and others at random."""
     rng = np.random.default_rng(walk)
@@ -112,8 +114,9 @@ def samples(codes: np.ndarray, start: np.ndarray, walk: int, lengths: set[int])
     odd = mix64(np.arange(1, STEPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(walk * 7919 + 1)) | np.uint64(1)
     places, found = _places(walk), {}
     at, out = start.astype(np.int64), np.full(len(start), walk + 1, np.uint64)
+    here = np.empty(len(start), np.uint64)
     for j in range(max(lengths)):
-        here = h[at]
+        np.take(h, at, out=here, mode="clip")  # never beyond the end; "raise" would buffer
         if j in places:
             out ^= here
             out *= _MIX
@@ -161,19 +164,24 @@ def edit_match(item: str, text: str, allowed: int) -> tuple[int, int, int] | Non
         for i, c in enumerate(pattern):
             masks[c] |= 1 << i
         full, top = (1 << m) - 1, 1 << (m - 1)
-        pv, mv, score, scores = full, 0, m, [m]
+        pv, mv, score, scores, mask, carry = full, 0, m, [m], masks.get, 0 if free_start else 1
         for c in s:
-            eq = masks.get(c, 0)
+            eq = mask(c, 0)
             xv = eq | mv
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv) & full, pv & xh
-            score += bool(ph & top) - bool(mh & top)
-            ph = (ph << 1) & full | (0 if free_start else 1)
+            if ph & top:  # never both
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = (ph << 1) & full | carry
             mh = (mh << 1) & full
             pv, mv = mh | ~(xv | ph) & full, ph & xv
             scores.append(score)
         return scores
 
+    if item and (start := text.find(item)) >= 0:  # no edit: the scans would end here
+        return 0, start, start + len(item)
     ends = scan(item, text, True)
     best = min(ends)
     if best > allowed:
@@ -215,7 +223,7 @@ def _index(items: list[str]) -> dict:
             number = np.repeat(np.arange(len(group)), length)[o]
             tables.append({"bits": bits, "used": np.diff(first) > 0, "first": first, "back": (longest - at[o]).astype(np.int32),
                            "base": base[number].astype(np.int32), "shift": shift[number].astype(np.int32)})
-        out[steps] = {"tables": tables, "least": np.repeat([x for _, x in group], buckets).astype(np.int32), "starts": base, "ends": base + buckets - 1,
+        out[steps] = {"tables": tables, "least": np.repeat([x for _, x in group], buckets), "few": min(x for _, x in group), "starts": base, "ends": base + buckets - 1,
                       "shifts": shift, "lengths": length, "items": np.array([k for k, _ in group])}
     return {"longest": longest, "chunk": chunk, "overlap": overlap, "by": out}
 
@@ -224,9 +232,10 @@ def _hits(found: np.ndarray, walk: int, x: dict) -> tuple[np.ndarray, np.ndarray
     """(bucket, place of the document, longest less place of the item) of the
     hits of a walk's samples, sorted by place."""
     slot = (found >> np.uint64(64 - x["bits"])).view(np.int64)
-    at = np.flatnonzero(x["used"][slot])
-    left = x["first"][slot[at]]
-    n = x["first"][slot[at] + 1] - left
+    at = np.flatnonzero(x["used"].take(slot))
+    slot = slot[at]
+    left = x["first"][slot]
+    n = x["first"][slot + 1] - left
     place = np.repeat((at * WALKS + walk).astype(np.int32), n)
     e = np.arange(len(place), dtype=np.int32) + np.repeat(left - (np.cumsum(n, dtype=np.int32) - n), n)
     back = x["back"][e]
@@ -241,14 +250,16 @@ def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
         sampled = [samples(part, np.arange(walk, len(part), WALKS), walk, set(index["by"])) for walk in range(WALKS)]
         for steps, x in index["by"].items():
             walks = [_hits(sampled[walk][steps], walk, table) for walk, table in enumerate(x["tables"])]
-            hits = np.zeros(len(x["least"]), np.int64)
+            if sum(len(bucket) for bucket, _, _ in walks) < x["few"]:
+                continue
+            once = []
             for bucket, place, _ in walks:
-                if len(bucket):
-                    # a place of the document counts once in a bucket
-                    fresh = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])))
-                    hits += np.bincount(bucket[fresh], minlength=len(hits))
-            two = hits.copy()
-            two[:-1] += hits[1:]
+                # a place of the document counts once in a bucket
+                fresh = np.ones(len(bucket), bool)
+                fresh[1:] = (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])
+                once.append(bucket[fresh])
+            two = np.bincount(np.concatenate(once), minlength=len(x["least"]))
+            two[:-1] += two[1:]  # numpy buffers operands that overlap
             two[x["ends"]] = 0
             pair = np.flatnonzero(two >= x["least"])
             if not len(pair):
@@ -259,6 +270,8 @@ def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
             # as many places of the item and of the document
             known = np.full(len(two) + 1, -1, np.int32)
             known[pair] = np.arange(len(pair))
+            inside = np.zeros(len(two) + 1, bool)  # buckets of a pair
+            inside[pair] = inside[pair + 1] = True
             size = length + (2 << shift)
             room = np.cumsum(size) - size
             both = np.zeros((2, len(pair)), np.int64)
@@ -267,7 +280,7 @@ def _spans(codes: np.ndarray, index: dict) -> list[np.ndarray]:
             line = np.cumsum(wide + edits) - (wide + edits)
             diagonal = np.zeros(int((wide + edits).sum()), np.int64)
             for bucket, place, back in walks:
-                near = np.flatnonzero((known[bucket] >= 0) | (known[bucket - 1] >= 0))
+                near = np.flatnonzero(inside[bucket])
                 mine, theirs = (np.zeros(int(size.sum()), bool) for _ in range(2))
                 b, i, p = bucket[near], longest - back[near], place[near]
                 for c in (known[b], known[b - 1]):

@@ -459,3 +459,14 @@ def test_html_tags():
     assert tags("1 < 2 <a 'x> <p>") == [("<a 'x>", "a", False), ("<p>", "p", False)]
     assert tags("<!doctype html><style>p{}") == [("<!doctype html>", "", False), ("<style>p{}", "", False)]
     assert tags("<a <b <!-- x") == [("<!-- x", "", False)]
+
+
+def test_exact_copies_are_placed_without_scans():
+    """The first exact copy, as the scans give it, in a text of a million characters."""
+    import time
+
+    item = "the quick brown fox jumps over the lazy dog"
+    text = "lorem ipsum dolor " * 60_000 + item + " and again " + item
+    start = time.process_time()
+    assert decontamination.edit_match(item, text, 3) == (0, text.index(item), text.index(item) + len(item))
+    assert time.process_time() - start < 0.1
