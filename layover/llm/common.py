@@ -168,7 +168,8 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     Alternating large-star and small-star rounds; each is an aggregate
     (minimum of a vertex' neighbourhood) and a join back, on the edges
     alone.  A round's edges are staged, so lineage stays short.  The rounds
-    end when a round changes nothing; their number grows with the
+    end when the edges are stars (every vertex has one edge to a smaller one
+    and none to a larger, or is a centre); their number grows with the
     logarithm of the longest path.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -184,21 +185,20 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         else:
             out = j.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
                 m.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    e = staged(edges.select("a", "b").where("a <> b").distinct(), label)
-    seen = None
-    while seen != (now := state(e)):
-        seen = now
-        if not now[0]:
-            break
-        old, e = e, staged(star(star(e, True), False), label)
+        return out.where("a <> b")
+
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            e.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.where("up + down > 1").isEmpty()
+
+    e = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    while not stars(e):
+        old, e = e, staged(star(star(e, True), False).distinct(), label)
         release(old)
     v = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return v.union(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    return v.union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])

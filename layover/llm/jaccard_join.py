@@ -18,18 +18,19 @@ graph without writing out the pairs of a class.
    ranges then remains); a set with more emits all its ranges.  Both cases
    together lose no link.
 3. Candidates.  First every set of a tile is paired with the tile's
-   smallest id, one row per distinct pair.  After the links found so have
-   been merged, the tiles that still hold several classes are searched
-   whole: bit counts of the bitmaps bound the overlap from above
-   (``|A & B| <= |A| - popcount(a & ~b)``), pairs that reach the threshold
-   on the bound are walked class by class so that a tile gives out a
-   spanning forest rather than its pairs.  Pairs refuted by the exact check
-   are known in the next round; from the fourth search on, all remaining
-   pairs above the bound are given out, so the search ends and is whole.
-4. Exact check by intersection of the sorted arrays.
-
-Tiles with many sets are cut into blocks and searched block against block,
-so that no task holds more than two blocks.
+   smallest id, one row per distinct pair; the pairs are checked exactly.
+   After the links found so have been merged, the tiles that still hold
+   several classes are searched whole, once: bit counts of the bitmaps bound
+   the overlap from above (``|A & B| <= |A| - popcount(a & ~b)``), and the
+   sets that pairs of different classes above the bound connect are a group.
+   A tile gives out the members of its groups, never its pairs; equal groups
+   of several tiles are one.
+4. Exact check of a group: overlaps of the sorted arrays, class by class, so
+   that a group gives out a spanning forest of its links.  Every link lies in
+   a class or in a group, so one search is whole.
+
+Tiles with many or large sets are cut into blocks and searched block against
+block, so that no task holds more than two blocks.
 
 Edge cases: a null or empty text, or one without words, has an empty set
 and links with nothing; texts with fewer than n words form one shingle;
@@ -54,7 +55,7 @@ from layover.llm.common import UNSPACED, WordScanner, connected_components, mix6
 
 BAND_RATIO = 1.25
 REMEMBERED = 200_000  # sets whose tiles a task has given out
-BLOCK = 1024  # sets of a block of a large tile
+BLOCK, BLOCK_HASHES = 1024, 1 << 20  # sets of a block of a large tile, and hashes in them
 BROADCAST_KEYS = 400_000  # at most this many rows of up to three longs (9.6 MB) are broadcast
 
 
@@ -239,76 +240,130 @@ def _exact_pass(num: int, den: int):
     return run
 
 
-def _search(sid, n, label, side, bits, refuted, num, den, everything) -> list[tuple[int, int]]:
-    """Pairs of one tile (or two blocks of one) that the bitmaps admit
-    between different classes: a spanning forest of them, or all."""
+def _search(sid, n, label, side, bits, refuted, num, den) -> list[np.ndarray]:
+    """Groups of one tile (or of two blocks of one): the sets that pairs of
+    different classes above the bound connect."""
     width = min(map(len, bits))
     bm = np.stack([_fold(np.frombuffer(x, np.uint8), width) for x in bits])
     bm = np.ascontiguousarray(bm).view(np.uint64)
-    known = [set(r) if r is not None else () for r in refuted]
-    out = []
+    known = [set(np.asarray(r).tolist()) if r is not None else () for r in refuted]
+    names = sid.tolist()
 
     def near(i: int, js: np.ndarray) -> np.ndarray:
-        js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)]
+        js = js[(label[js] != label[i]) & ((side[js] != side[i]) | (side[i] == 2))
+                & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)]
         if len(js):
             js = js[_reaches(_bound(n[i], bm[i], n[js], bm[js]), n[i], n[js], num, den)]
-        return js[[int(sid[j]) not in known[i] for j in js]] if known[i] and len(js) else js
+        return np.array([j for j in js.tolist() if names[j] not in known[i] and names[i] not in known[j]], np.int64)
 
-    order = np.argsort(sid, kind="stable")
-    if everything:
-        for k, i in enumerate(order):
-            js = order[k + 1:]
-            out += [(int(sid[i]), int(sid[j])) for j in near(i, js[(side[js] != side[i]) | (side[i] == 2)])]
-        return out
-    rest = order
-    while len(rest):  # walk one class after the other
-        queue, rest = [rest[0]], rest[1:]
+    rest, out = np.argsort(sid, kind="stable"), []
+    while len(rest):
+        members, queue, rest = [rest[0]], [rest[0]], rest[1:]
         while queue and len(rest):
-            i = queue.pop()
-            same = rest[label[rest] == label[i]]
-            js = near(i, rest)
-            if len(js):  # one pair for each class reached
-                _, first = np.unique(label[js], return_index=True)
-                js = js[first]
-                out += [(int(sid[i]), int(sid[j])) for j in js]
-            gone = np.concatenate((js, same))
-            queue += [int(j) for j in gone]
-            rest = rest[~np.isin(rest, gone)]
+            js = near(queue.pop(), rest)
+            if len(js):
+                members += js.tolist()
+                queue += js.tolist()
+                rest = rest[~np.isin(rest, js)]
+        if len(members) > 1:
+            out.append(np.array(members))
     return out
 
 
-def _search_pass(num: int, den: int, everything: bool):
-    """Rows sorted by (tile, block pair); a group never spans partitions."""
-    def group(rows: list[tuple]) -> list[tuple[int, int]]:
-        sid, n, label, side = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 5))
-        return _search(sid, n, label, side, [r[6] for r in rows], [r[7] for r in rows], num, den, everything)
+def _group_links(sid, label, arrays: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Exact links of a group, enough to span its classes."""
+    n = np.array([len(x) for x in arrays])
+    at = np.concatenate(([0], np.cumsum(n)))
+    hashes, number = np.unique(np.concatenate(arrays), return_inverse=True)
+    number = [number[at[i]:at[i + 1]] for i in range(len(n))]
+    mark, out = np.zeros(len(hashes), bool), []
+    _, kind, size = np.unique(label, return_inverse=True, return_counts=True)
+    rest = np.lexsort((sid, kind, size[kind]))  # small classes ask large ones
+    while len(rest):
+        same = kind[rest] == kind[rest[0]]
+        queue, rest = rest[same].tolist(), rest[~same]
+        while queue and len(rest):
+            i = queue.pop()
+            js = rest[np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num]
+            if not len(js):
+                continue
+            mark[number[i]] = True
+            overlap = np.add.reduceat(mark[np.concatenate([number[j] for j in js])], np.cumsum(n[js]) - n[js], dtype=np.int64)
+            mark[number[i]] = False
+            js = js[_reaches(overlap, n[i], n[js], num, den)]
+            if len(js):  # one pair for each class reached
+                reached, first = np.unique(kind[js], return_index=True)
+                out += [(int(sid[i]), int(sid[j])) for j in js[first]]
+                gone = np.isin(kind[rest], reached)
+                queue += rest[gone].tolist()
+                rest = rest[~gone]
+    return out
 
-    def out(pairs: list[tuple[int, int, int]]):
-        cols = list(zip(*dict.fromkeys(pairs), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["tile", "a", "b"])
 
-    def run(batches):
-        held, key, pairs = [], None, []
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[:2] != key:
-                    if len(held) > 1:
-                        pairs += [(key[0], *p) for p in group(held)]
-                    held, key = [], r[:2]
-                held.append(r)
+def _runs(batches, keys: int) -> Iterator[list[list]]:
+    """Columns of the rows that agree in the first ``keys`` columns: rows are
+    sorted by them, and a run never spans partitions."""
+    held, key = [], None
+    for b in batches:
+        cols = [[x.values.to_numpy() if x.is_valid else None for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in b.columns]
+        for r in zip(*cols, strict=True):
+            if r[:keys] != key:
+                if len(held) > 1:
+                    yield list(zip(*held, strict=True))
+                held, key = [], r[:keys]
+            held.append(r)
+    if len(held) > 1:
+        yield list(zip(*held, strict=True))
+
+
+def _batches(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns of longs, in batches of some thousand rows."""
+    held, count = [], 0
+    for r in rows:
+        held.append(r)
+        count += len(r[0])
+        if count >= 1 << 13:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held, count = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+
+def _search_pass(num: int, den: int):
+    """Rows sorted by (tile, block pair) -> members of groups.  A group is named
+    by the sum of its members, so that equal ones have the same name (different
+    ones of one name would be checked together)."""
+    def groups(batches):
+        known = set()  # groups that this task has given out
+        for _, _, *cols, bits, refuted in _runs(batches, 2):
+            sid, n, label, side = (np.array(c, np.int64) for c in cols)
+            for g in _search(sid, n, label, side, bits, refuted, num, den):
+                name = int(np.sum(mix64(sid[g].view(np.uint64)), dtype=np.uint64).view(np.int64))
+                if name not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known.add(name)
+                    yield np.full(len(g), name, np.int64), sid[g], label[g]
+
+    return lambda batches: _batches(groups(batches), ["name", "sid", "label"])
+
+
+def _links_pass(num: int, den: int):
+    """Rows(name, sid, label, arr) sorted by name -> links."""
+    def links(batches):
+        for _, sid, label, arrays in _runs(batches, 1):
+            pairs = _group_links(np.array(sid, np.int64), np.array(label, np.int64), arrays, num, den)
             if pairs:
-                yield out(pairs)
-                pairs = []
-        if len(held) > 1 and (pairs := [(key[0], *p) for p in group(held)]):
-            yield out(pairs)
-    return run
+                yield tuple(np.array(pairs, np.int64).T)
 
+    return lambda batches: _batches(links(batches), ["a", "b"])
 
-def _search_tiles(rows: DataFrame, num: int, den: int, everything: bool) -> DataFrame:
-    """rows(tile, sid, n, label, bits, refuted) -> candidate pairs (tile, a, b).  A tile of
-    more than BLOCK sets is cut into blocks by the hash of the id; block
-    pairs are groups of their own."""
-    size = rows.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+
+def _search_tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows(tile, sid, n, label, bits, refuted) -> members of groups (name, sid, label).  A
+    tile of more than BLOCK sets or BLOCK_HASHES hashes is cut into blocks by the
+    hash of the id; block pairs are searched on their own."""
+    size = rows.groupBy("tile").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
     x = rows.join(size, "tile").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.withColumn("pair", F.least("blk", "other") * F.lit(1 << 20) + F.greatest("blk", "other"))
@@ -316,7 +371,7 @@ def _search_tiles(rows: DataFrame, num: int, den: int, everything: bool) -> Data
     x = x.withColumn("side", F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1))
     x = x.select("tile", "pair", "sid", "n", "label", "side", "bits", "refuted")
     x = x.repartition("tile", "pair").sortWithinPartitions("tile", "pair")
-    return x.mapInArrow(_search_pass(num, den, everything), "tile long, a long, b long")
+    return x.mapInArrow(_search_pass(num, den), "name long, sid long, label long").distinct()
 
 
 def _some(df: DataFrame) -> DataFrame:
@@ -336,55 +391,46 @@ def _link(tiles: DataFrame, feats: DataFrame, docs: DataFrame, keys: DataFrame,
     leader) of tiles with several sets, feats(sid, n, bits) -> (sid,
     component) of the sets with a link.  Arrays are made for the sets of
     pairs that pass the bound, and only for them."""
-    def verified(pairs: DataFrame) -> DataFrame:
-        fa = feats.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-        fb = feats.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-        j = pairs.join(fa, "a").join(fb, "b").select("a", "b", "na", "nb", "ba", "bb")
-        bound = staged(j.mapInArrow(_bound_pass(num, den), "a long, b long, ok boolean"), "bound")
-        open_ = bound.where("ok").select("a", "b")
-        ids = staged(open_.select(F.col("a").alias("sid")).union(open_.select("b")).distinct(), "ids")
+    def arrays(ids: DataFrame) -> DataFrame:
+        ids = staged(ids.distinct(), "ids")
         wanted = staged(keys.join(_some(ids), "sid", "left_semi"), "wanted")
-        arrays = staged(_texts(docs, wanted).mapInArrow(_arrays_pass(n), "sid long, arr array<long>")
-                        .dropDuplicates(["sid"]), "arrays")
-        x = (open_.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a")
-             .join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b").select("a", "b", "xa", "xb"))
-        exact = x.mapInArrow(_exact_pass(num, den), "a long, b long, ok boolean")
-        done = staged(exact.union(bound.where("not ok")), "verified")
-        release(bound, ids, wanted, arrays)
-        return done
-
-    pairs = tiles.where("sid <> leader").select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"))
-    seen = verified(pairs.distinct())
-    search, live = 0, tiles.select("tile", "sid")
-    while True:
-        links = seen.where("ok").select("a", "b")
-        labels = connected_components(links).withColumnRenamed("id", "sid")
-        rows = (live.join(labels, "sid", "left")
-                .withColumn("label", F.coalesce("component", "sid")).drop("component"))
-        # tiles with several classes, one of those with the same sets
-        still = (rows.groupBy("tile").agg(
-            F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("k"),
-            F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("s1"))
-            .where("l0 <> l1").groupBy("k", "s0", "s1").agg(F.min("tile").alias("tile")).select("tile"))
-        # refuted pairs matter as long as their classes differ
-        ends = [labels.select(F.col("sid").alias(c), F.col("component").alias(f"l{c}")) for c in "ab"]
-        no = seen.where("not ok").select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        no = no.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        no = no.union(no.select("b", "a")).groupBy(F.col("a").alias("sid")).agg(F.collect_set("b").alias("refuted"))
-        rows = (rows.join(still, "tile", "left_semi").join(feats.select("sid", "n", "bits"), "sid")
-                .join(no, "sid", "left"))
-        found = _search_tiles(rows, num, den, search >= 3)
-        found = staged(found, "found")
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(pairs.join(seen, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            return labels
-        # classes only merge, so a tile without a pair will never have one
-        again = staged(found.select("tile").distinct(), "again")
-        old = [found, again, seen, more] + [live] * (search > 0)
-        live = staged(live.join(_some(again), "tile", "left_semi"), "live")
-        seen, search = staged(seen.union(more), "seen"), search + 1
-        release(*old)
+        out = staged(_texts(docs, wanted).mapInArrow(_arrays_pass(n), "sid long, arr array<long>")
+                     .dropDuplicates(["sid"]), "arrays")
+        release(ids, wanted)
+        return out
+
+    # every set against the leaders of its tiles
+    pairs = tiles.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
+    fa = feats.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    fb = feats.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    j = pairs.join(fa, "a").join(fb, "b").select("a", "b", "na", "nb", "ba", "bb")
+    open_ = staged(j.mapInArrow(_bound_pass(num, den), "a long, b long, ok boolean").where("ok").select("a", "b"), "bound")
+    arr = arrays(open_.select(F.col("a").alias("sid")).union(open_.select("b")))
+    x = (open_.join(arr.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a")
+         .join(arr.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b").select("a", "b", "xa", "xb"))
+    seen = staged(x.mapInArrow(_exact_pass(num, den), "a long, b long, ok boolean"), "verified")
+    release(open_, arr)
+    links = seen.where("ok").select("a", "b")
+    labels = connected_components(links).withColumnRenamed("id", "sid")
+    rows = (tiles.select("tile", "sid").join(labels, "sid", "left")
+            .withColumn("label", F.coalesce("component", "sid")).drop("component"))
+    # tiles with several classes, one of those with the same sets
+    still = (rows.groupBy("tile").agg(
+        F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("s1"))
+        .where("l0 <> l1").groupBy("k", "s0", "s1").agg(F.min("tile").alias("tile")).select("tile"))
+    # leaders that a set does not link with; no more than it has tiles
+    no = seen.where("not ok").groupBy(F.col("b").alias("sid")).agg(F.collect_set("a").alias("refuted"))
+    rows = (rows.join(still, "tile", "left_semi").join(feats.select("sid", "n", "bits"), "sid")
+            .join(no, "sid", "left"))
+    groups = staged(_search_tiles(rows, num, den), "groups")
+    arr = arrays(groups.select("sid"))
+    x = groups.join(arr, "sid").select("name", "sid", "label", "arr").repartition("name").sortWithinPartitions("name")
+    more = x.mapInArrow(_links_pass(num, den), "a long, b long")
+    # the links so far as their stars
+    out = connected_components(labels.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(more))
+    release(seen, groups, arr)
+    return out.withColumnRenamed("id", "sid")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -90,6 +90,44 @@ def test_tiles_lose_no_link():
                 assert jaccard_join._bound(len(a), jaccard_join._fold(x, w), len(b), jaccard_join._fold(y, w)) >= i
 
 
+def test_one_search_finds_every_link(spark, monkeypatch):
+    """Families at the bound, where bitmaps admit pairs that do not link."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(4):
+        base = _text(rng, 60).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(w), "en"))
+    staged, labels = jaccard_join.staged, []
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, label: labels.append(label) or staged(df, label))
+    got = jaccard_join.jaccard_classes(_docs(spark, rows), 2, 8, 10)
+    got = sorted(((r.doc_id, r.n_shingles, r.class_id) for r in got.collect()), key=str)
+    assert got == _classes(rows, 2, 0.8)
+    assert sum(label in ("found", "groups") for label in labels) == 1 and len(labels) <= 16
+
+
+def test_links_of_a_group_span_its_classes():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(-1 << 62, 1 << 62, 60))
+    sets = [np.unique(np.concatenate((rng.permutation(base)[rng.integers(0, 12):], rng.integers(-1 << 62, 1 << 62, rng.integers(0, 6))))) for _ in range(40)]
+    links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+             if i != j and 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))}
+    label = np.arange(40) // 3
+    found = jaccard_join._group_links(np.arange(40), label, sets, 8, 10)
+    assert found and set(found) <= links
+
+    def classes(edges):
+        comp = label.tolist()
+        for i, j in edges:
+            comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+        return comp
+
+    assert classes(found) == classes(sorted(links)) and len(found) < len(links)
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in connected_components(e).collect()}
