@@ -69,7 +69,7 @@ STEPS, WALKS, BITS = 11, 2, 10  # of a walk; walks (tables); steps sampled
 ADVANCE = 0.8  # chance of a step to the next character
 LENGTHS = tuple(range(STEPS, 0, -1))  # steps that an item's walks may have
 ENOUGH = 12  # hits that tell a copy from other text
-CHUNK = 1 << 16  # characters searched at once
+CHUNK = 1 << 18  # characters searched at once; a chunk has a cost of its own
 # words: runs of other characters than ASCII and general punctuation and spaces
 _WORD = re.compile("[^\\x00-/:-@\\[-`{-\x7f\xa0-\xbf\u2000-\u206f\u3000-\u303f]+")
 _IN_WORD = np.array([bool(_WORD.match(chr(c))) for c in range(0x3041)])

@@ -508,3 +508,16 @@ def test_exact_copies_are_placed_without_scans():
     start = time.process_time()
     assert decontamination.edit_match(item, text, 3) == (0, text.index(item), text.index(item) + len(item))
     assert time.process_time() - start < 0.1
+
+
+def test_matches_do_not_depend_on_the_chunks(monkeypatch):
+    rng = random.Random(6)
+    items = [_text(rng, 12), _text(rng, 20)]
+    texts = [_text(rng, 300) + " " + item[:-3] + "xx " + _text(rng, 300) for item in items * 4]
+    whole = decontamination._index(items)
+    assert whole["chunk"] > 100_000  # each chunk has a cost of its own
+    monkeypatch.setattr(decontamination, "CHUNK", 1 << 12)
+    parts = decontamination._index(items)
+    found = list(decontamination._matches(texts, items, whole))
+    assert found == list(decontamination._matches(texts, items, parts))
+    assert {(d, k) for d, k, *_ in found} >= {(d, d % 2) for d in range(8)}
