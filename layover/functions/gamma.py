@@ -65,14 +65,19 @@ def _factor(a: Column, x: Column) -> Column:
     return F.when(a >= LARGE, large).otherwise(F.exp(a * F.log(x) - x - log_gamma(a + 1)))
 
 
+def _enough(a: Column) -> Column:
+    return 9 * F.sqrt(a) + 60
+
+
 def terms(a: Column) -> Column:
-    return F.ceil(9 * F.sqrt(a) + 60).cast("int")
+    return F.ceil(_enough(a)).cast("int")
 
 
 def _series(a: Column, x: Column) -> Column:
     """1 + x/(a+1) (1 + x/(a+2) (1 + ...)); for x < a + 1.  The terms also fall
-    at least like (x / (a+1))^n, which ends the sum early far below the mean."""
-    n = F.least(terms(a), F.ceil(40 / F.log((a + 1) / x)).cast("int") + 1)
+    at least like (x / (a+1))^n, which ends the sum early far below the mean.
+    (Close to a + 1 that number has no bound, so the smaller one is taken first.)"""
+    n = F.ceil(F.least(_enough(a), F.try_divide(F.lit(40.0), F.log((a + 1) / x)) + 1)).cast("int")
     return F.aggregate(F.sequence(n, F.lit(1)), F.lit(1.0), lambda s, k: 1 + s * x / (a + k))
 
 

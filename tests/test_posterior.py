@@ -54,6 +54,15 @@ def test_quantiles_invert_a_high_precision_distribution(spark):
             assert abs(float(_cdf(a, x) - Decimal(p))) / density <= 1e-9 * x, (a, p)
 
 
+def test_cdf_just_below_the_branch_point(spark):
+    """Where the series' ratio x / (a + 1) is 1 but for some last bits."""
+    points = [(a, x) for a in (0.8, 4.0, 57.3, 1234.5) for x in (math.nextafter(a + 1, 0), (a + 1) * (1 - 1e-15), (a + 1) * (1 - 1e-12), (a + 1) * (1 - 1e-9), a + 1)]
+    rows = spark.createDataFrame(points, "a DOUBLE, x DOUBLE").select("a", "x", gamma_cdf(F.col("a"), F.col("x")).alias("p"), gamma_sf(F.col("a"), F.col("x")).alias("q")).collect()
+    for r in rows:
+        p = _cdf(r["a"], r["x"])
+        assert abs(float(Decimal(r["p"]) - p)) < 1e-12 and abs(float(Decimal(r["q"]) - (1 - p))) < 1e-12, r
+
+
 def test_cdf_and_tail(spark):
     points = [(a, a * f) for a in SHAPES for f in (1e-3, 0.5, 0.97, 1.0, 1.02, 1.5, 4.0) if a < 1e5 or abs(f - 1) < 0.1]
     rows = spark.createDataFrame(points, "a DOUBLE, x DOUBLE").select("a", "x", gamma_cdf(F.col("a"), F.col("x")).alias("p"), gamma_sf(F.col("a"), F.col("x")).alias("q")).collect()
