@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -33,3 +36,28 @@ def test_rows_and_order(spark, stored_air, duck, monkeypatch, name, listed):
 def test_pairs_are_made_after_the_sort(air, name):
     plan = JOBS[name](air)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_passes") < plan.index("Sort [")
+
+
+@pytest.mark.parametrize("name", sorted(ORDERS))
+def test_legs_are_dealt_by_booking_once(air, monkeypatch, name):
+    """With their flights they are wide: without heavy keys no salt moves their lists again."""
+    plans, store = {}, Airline.store
+    monkeypatch.setattr(Airline, "store", lambda a, what, df: (plans.update({what: df._jdf.queryExecution().executedPlan().toString()}), store(a, what, df))[1])
+    JOBS[name](air)
+    assert "_salt" not in plans["passengers_legs"]
+    assert plans["passengers_legs"].count("Exchange hashpartitioning(booking_id") <= 2
+
+
+def test_stored_steps_free_their_shuffles(spark, air):
+    def shuffled() -> int:
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(f.startswith("shuffle_") and f.endswith(".data") for top in dirs for _, _, files in os.walk(top) for f in files)
+
+    before = shuffled()
+    df, _ = air.store("counts", air.passenger.groupBy("booking_id").agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(100):  # files are deleted in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert df.agg(F.sum("n")).first()[0] == air.passenger.count()
