@@ -61,3 +61,13 @@ def test_stored_steps_free_their_shuffles(spark, air):
         time.sleep(0.1)
     assert shuffled() <= before
     assert df.agg(F.sum("n")).first()[0] == air.passenger.count()
+
+
+def test_passengers_times_legs_are_not_dealt(spark, air):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = JOBS["passenger_leg_boarding"](air)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange hashpartitioning(booking_id" in plan and "Exchange hashpartitioning(booking_leg_id" not in plan
