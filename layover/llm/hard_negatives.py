@@ -9,16 +9,20 @@ A row met for the first time is scored in full (random access, an integer
 inner product).  After each depth the threshold, the sum over dimensions of
 the anchor's component times the list's present one, bounds the score of
 every row not met; reading ends once it is strictly below the kth score of
-each window that the anchor asks for, or below the window itself.
+each window that the anchor asks for, or below the window itself.  A pack of
+anchors reads a block together: what one of them meets is scored for all that
+still read, by one matrix product, and an anchor leaves when its own threshold
+lets it.
 
 Two searches, each merged over the blocks by a partial aggregate of short
 lists: the anchor's first ``positives`` other rows of its label (one window
 without bounds), then for each positive its first ``negatives`` rows of other
 labels whose scores fall into the window that the positive's score sets.
 
-Anchors are a stated query set: each pack of at most ``PACK`` anchors meets
-each block once, in an equi-join on the block's number; no anchor, row or
-list of all rows is broadcast or collected.
+Anchors are a stated query set: each pack of about ``PACK`` anchors meets
+each block once, in an equi-join on spans of blocks; no anchor, row or list of
+all rows is broadcast or collected.  A task keeps one short list a window over
+all blocks of its span, whose kth scores also bound what later blocks add.
 
 Edge cases: rows with a null label, a null vector or a component that is
 null or not finite take no part; vectors of other lengths count as padded by
@@ -26,15 +30,17 @@ zeros; a null ``vec_id`` is no anchor and comes last among ties; equal rows
 are separate rows, and an anchor leaves out only itself; a positive score
 that is negative has an empty window; without positives or negatives an
 anchor has no rows; other columns are ignored; an empty table gives an empty
-result.  Scores are exact: in doubles while every partial sum stays below
-2^53, else in Python's integers of up to 34 digits (greater ones count as the
-greatest); one that does not fit 64 bits is returned as the nearest that does.
+result.  Scores are exact: in floats while every partial sum stays below 2^24,
+in doubles while it stays below 2^53, else (anchor by anchor) in Python's
+integers of up to 34 digits (greater ones count as the greatest); one that does
+not fit 64 bits is returned as the nearest that does.
 """
 
 from __future__ import annotations
 
 import math
-from decimal import Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +51,16 @@ from layover.llm.common import staged
 from layover.operators.ranking import global_index
 
 BLOCK = 2048
-PACK = 128
+PACK = 1024
+#: pairs of a pack and a block that a task should search
+CELLS = 64
+#: packs whose lists a task holds at once
+HELD = 16
 SCALE = 256.0
 #: depths of the first sorted accesses; each next one is twice as deep
 FIRST_DEPTH = 16
 EXACT = 2.0 ** 53
+SINGLE = 2.0 ** 24
 _MOST = 10 ** 34 - 1  # Spark negates decimals in 34 digits
 _LONG = (1 << 63) - 1
 
@@ -118,6 +129,14 @@ class Block:
     def exact(self, a: np.ndarray) -> bool:
         return self.dims * self.most * float(np.abs(a).max(initial=0)) * 100 < EXACT
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        return self.m.astype(np.float32)
+
+    def at_depth(self, lists: np.ndarray, depth: int) -> np.ndarray:
+        """The component that each list shows at ``depth``."""
+        return self.m[lists[:, depth - 1], np.arange(self.dims)]
+
 
 class Window:
     """The first ``k`` rows with ``lo <= 100 * score <= hi`` among those where
@@ -180,37 +199,173 @@ def threshold_search(block: Block, anchor: np.ndarray, windows: list[Window]) ->
         depth = min(2 * depth, block.size)
 
 
+class Pack:
+    """Anchors that search together, and what their windows hold so far: the
+    first ``k`` rows of each as scores (descending), null ids and ids."""
+
+    def __init__(self, group: int, blocks, ats, labels, vectors: list[bytes], windows: list[list[Decimal]], k: int, same_label: bool):
+        self.group, self.k, self.same_label = group, k, same_label
+        self.blocks, self.ats, self.labels = (np.asarray(x, np.int64) for x in (blocks, ats, labels))
+        rows = [np.frombuffer(v, np.float64) for v in vectors]
+        self.windows = windows
+        self.a = np.zeros((len(rows), max(map(len, rows), default=0)))
+        for to, v in zip(self.a, rows, strict=True):
+            to[:len(v)] = v
+        self.largest = np.abs(self.a).max(axis=1, initial=0)
+        n, width = len(rows), 1 if same_label else max(map(len, windows), default=0)
+        # whole scores from lo to hi; a window that is missing has none
+        self.lo, self.hi = np.full((n, width), -EXACT), np.full((n, width), np.inf if same_label else -np.inf)
+        if not same_label:
+            with localcontext(prec=60):
+                for i, ps in enumerate(windows):
+                    for w, p in enumerate(ps):
+                        if p >= 0:
+                            lo, hi = (p * 30 / 100).to_integral_value(ROUND_CEILING), (p * 90 / 100).to_integral_value(ROUND_FLOOR)
+                            self.lo[i, w], self.hi[i, w] = (float(min(x, Decimal(int(EXACT)))) for x in (lo, hi))
+        self.score, self.none, self.id = np.full((n * width, k), -np.inf), np.zeros((n * width, k), bool), np.zeros((n * width, k), np.int64)
+
+    @property
+    def kth(self) -> np.ndarray:
+        """The kth score of each window, if it holds as many."""
+        return self.score[:, self.k - 1].reshape(self.lo.shape)
+
+    def done(self, who: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+        t = threshold[:, None]
+        return ((t < self.lo[who]) | (t < self.kth[who]) | (self.hi[who] < self.lo[who])).all(axis=1)
+
+    def add(self, block: Block, here: int, who: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
+        """Rows of a block with their scores for the anchors ``who``."""
+        ok = (block.labels[rows] == self.labels[who][:, None]) == self.same_label
+        own = np.flatnonzero(self.blocks[who] == here)
+        at = np.searchsorted(rows, self.ats[who[own]])
+        met = at < len(rows)
+        met[met] = rows[at[met]] == self.ats[who[own[met]]]
+        ok[own[met], at[met]] = False
+        x = np.where(ok, scores, scores.dtype.type(-np.inf))
+        lo, hi, kth, ordered = self.lo[who], self.hi[who], self.kth[who], None
+        found = []
+        for w in range(lo.shape[1]):
+            cut, top = np.maximum(lo[:, w], kth[:, w])[:, None], hi[:, w][:, None]
+            some = (x >= cut) & (x <= top)
+            if np.count_nonzero(some) > 4 * self.k * len(who):  # rows that others of this block keep out
+                ordered = np.sort(x, axis=1) if ordered is None else ordered
+                last = np.count_nonzero(ordered <= top, axis=1) - self.k
+                best = np.where(last >= 0, ordered[np.arange(len(who)), np.maximum(last, 0)], -np.inf)
+                some &= x >= best[:, None]
+            i, j = np.nonzero(some)
+            found.append((who[i] * lo.shape[1] + w, x[i, j].astype(np.float64), rows[j]))
+        at, score, row = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        if len(at):
+            self._merge(at, score, block.nulls[row], block.ids[row])
+
+    def _merge(self, at: np.ndarray, score: np.ndarray, none: np.ndarray, ids: np.ndarray) -> None:
+        which = np.unique(at)
+        at = np.concatenate((np.repeat(which, self.k), at))
+        score, none, ids = (np.concatenate((old[which].ravel(), new)) for old, new in ((self.score, score), (self.none, none), (self.id, ids)))
+        real = score > -np.inf
+        order = np.flatnonzero(real)[np.lexsort((ids[real], none[real], -score[real], at[real]))]
+        at, score, none, ids = (c[order] for c in (at, score, none, ids))
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        first = rank < self.k
+        at, rank = at[first], rank[first]
+        self.score[which] = -np.inf
+        self.score[at, rank], self.none[at, rank], self.id[at, rank] = score[first], none[first], ids[first]
+
+    def found(self, part: int) -> pa.RecordBatch:
+        """The windows that hold rows, as rows of ``_FOUND``."""
+        held = self.score > -np.inf
+        sizes = held.sum(axis=1)
+        at, width = np.flatnonzero(sizes), max(1, self.lo.shape[1])
+        score = pa.array((-self.score[held]).astype(np.int64)).cast(pa.decimal128(38, 0))
+        items = pa.StructArray.from_arrays([score, pa.array(self.none[held]), pa.array(self.id[held])], fields=list(_ITEM))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[at]))).astype(np.int32)), items)
+        of, w = at // width, at % width
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int64)), pa.array(self.blocks[of]), pa.array(self.ats[of].astype(np.int32)),
+                                           pa.array(w.astype(np.int32)), lists.cast(_KINDS[-1])], _NAMES)
+
+
+def pack_search(block: Block, here: int, pack: Pack, who: np.ndarray) -> int:
+    """Fill the windows of the anchors ``who`` by the threshold algorithm, all
+    of them together; the depth that was read."""
+    a = pack.a[:, :block.dims]
+    a = np.pad(a, ((0, 0), (0, block.dims - a.shape[1])))
+    single = block.dims * block.most * float(pack.largest[who].max(initial=0)) < SINGLE
+    m, vectors = (block.single, a.astype(np.float32)) if single else (block.m, a)
+    met, at, depth = np.zeros(block.size, bool), 0, min(FIRST_DEPTH, block.size)
+    while True:
+        new, up = np.zeros(block.size, bool), a[who] < 0
+        down = a[who] > 0
+        if not (up | down).any(axis=1).all():  # every score is 0: nothing bounds, all rows are met at once
+            new[:], depth = True, block.size
+        new[block.down[down.any(axis=0), at:depth]] = True
+        new[block.lists[up.any(axis=0), at:depth]] = True
+        rows = np.flatnonzero(new & ~met)
+        if len(rows):
+            met[rows] = True
+            pack.add(block, here, who, rows, vectors[who] @ m[rows].T)
+        if depth >= block.size or met.all():
+            return depth
+        at = depth
+        threshold = np.maximum(a[who], 0) @ block.at_depth(block.down, at) + np.minimum(a[who], 0) @ block.at_depth(block.lists, at)
+        who = who[~pack.done(who, threshold)]
+        if not len(who):
+            return depth
+        depth = min(2 * depth, block.size)
+
+
 # --------------------------------------------------------------- the grid
 _FOUND = "part long, block long, at int, window int, found array<struct<score:decimal(38,0),none:boolean,id:long>>"
+_NAMES = ["part", "block", "at", "window", "found"]
+_ITEM = pa.struct([("score", pa.decimal128(38, 0)), ("none", pa.bool_()), ("id", pa.int64())])
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(_ITEM)]
+
+
+def _one_by_one(block: Block, here: int, pack: Pack, who: np.ndarray, part: int) -> pa.RecordBatch | None:
+    """The search of anchors whose scores doubles do not hold."""
+    out = []
+    for q in who.tolist():
+        allowed = (block.labels == pack.labels[q]) == pack.same_label
+        if pack.blocks[q] == here:
+            allowed[pack.ats[q]] = False
+        ps = [int(p) for p in pack.windows[q]]
+        asked = [None] if pack.same_label else sorted({p for p in ps if p >= 0})
+        of = {p: Window(block, pack.k, allowed, *(() if p is None else (30 * p, 90 * p))) for p in asked}
+        if not of or not allowed.any():
+            continue
+        threshold_search(block, pack.a[q], list(of.values()))
+        for i, p in enumerate([None] if pack.same_label else ps):
+            if p in of and len(of[p].row):
+                out.append((part, int(pack.blocks[q]), int(pack.ats[q]), i, [{"score": s, "none": n, "id": v} for s, n, v in of[p].found()]))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES) if out else None
 
 
 def _grid(k: int, same_label: bool):
     """Rows of (pack of anchors, block) -> the short list of each window."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("score", pa.decimal128(38, 0)), ("none", pa.bool_()), ("id", pa.int64())]))]
 
     def run(batches):
-        held, block = None, None
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held, block, packs = None, None, {}
         for b in batches:
-            for r in b.to_pylist():
-                if r["here"] != held:
-                    held, block = r["here"], Block(*[r[c] for c in ("size", "dims", "ids", "nulls", "labels", "vectors", "lists")])
-                out = []
-                for x in r["pack"]:
-                    allowed = (block.labels == x["label"]) if same_label else (block.labels != x["label"])
-                    if same_label and x["block"] == held:
-                        allowed[x["at"]] = False
-                    x["windows"] = [int(p) for p in x["windows"]]
-                    asked = [None] if same_label else sorted(set(x["windows"]))
-                    windows = [Window(block, k, allowed, *(() if p is None else (30 * p, 90 * p))) for p in asked if p is None or p >= 0]
-                    if not windows or not allowed.any():
-                        continue
-                    threshold_search(block, np.frombuffer(x["v"], np.float64), windows)
-                    of = {p: w for p, w in zip([p for p in asked if p is None or p >= 0], windows, strict=True)}
-                    for i, p in enumerate([None] if same_label else x["windows"]):
-                        if p in of and len(of[p].row):
-                            out.append((r["number"], x["block"], x["at"], i, [{"score": s, "none": n, "id": v} for s, n, v in of[p].found()]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "block", "at", "window", "found"])
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                if (here := r["here"].as_py()) != held:
+                    held, block = here, Block(*[r[c].as_py() for c in ("size", "dims", "ids", "nulls", "labels", "vectors", "lists")])
+                if (group := r["group"].as_py()) not in packs:
+                    if len(packs) >= HELD:
+                        yield packs.pop(next(iter(packs))).found(part)
+                    x = r["pack"].values
+                    packs[group] = Pack(group, *[x.field(c).to_numpy(zero_copy_only=False) for c in ("block", "at", "label")],
+                                        x.field("v").to_pylist(), x.field("windows").to_pylist(), k, same_label)
+                pack = packs[group]
+                exact = block.dims * block.most * pack.largest * 100 < EXACT
+                if exact.any():
+                    pack_search(block, here, pack, np.flatnonzero(exact))
+                if not exact.all() and (more := _one_by_one(block, here, pack, np.flatnonzero(~exact), part)) is not None:
+                    yield more
+        for pack in packs.values():
+            yield pack.found(part)
 
     return run
 
@@ -218,14 +373,17 @@ def _grid(k: int, same_label: bool):
 def _search(blocks: DataFrame, anchors: DataFrame, packs: int, k: int, same_label: bool) -> DataFrame:
     """(block, at, window, found): each anchor's first ``k`` rows a window."""
     n = blocks.agg(F.max("number")).first()[0] or 1
+    spans = min(n, max(2 * blocks.sparkSession.sparkContext.defaultParallelism, -(-n * packs // CELLS)))
     group = F.pmod(F.xxhash64("block", "at"), F.lit(packs))
     pack = anchors.groupBy(group.alias("group")).agg(F.collect_list(F.struct("block", "at", "label", "v", "windows")).alias("pack"))
-    pack = pack.select("pack", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("number"))
-    cells = pack.join(blocks.withColumnRenamed("block", "here"), "number")
+    pack = pack.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans - 1).cast("long"))))
+    here = blocks.withColumnRenamed("block", "here").withColumn("span", F.pmod("number", F.lit(spans)))
+    # an explicit deal: the rows are few but dear, and must not depend on how files were cut
+    cells = pack.repartition(2 * spans, "span").hint("merge").join(here.repartition(2 * spans, "span"), "span")
     part = cells.mapInArrow(_grid(k, same_label), _FOUND)
     shorter = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k)
-    # in two steps, so that no task holds the lists of all blocks
-    some = part.groupBy("block", "at", "window", (F.col("part") % (math.isqrt(n) + 1)).alias("s")).agg(shorter("found").alias("found"))
+    # in two steps, so that no task holds the lists of all spans
+    some = part.groupBy("block", "at", "window", (F.col("part") % (math.isqrt(spans) + 1)).alias("s")).agg(shorter("found").alias("found"))
     return some.groupBy("block", "at", "window").agg(shorter("found").alias("found"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -96,3 +97,71 @@ def test_reading_ends_before_the_lists_do():
 def test_query_equals_sql(spark, duck):
     got = QUERIES["op11_hard_negatives"](spark, SF).toPandas()
     assert len(got) and same(got, duck.execute(ORACLE["op11_hard_negatives"]).df()) == (True, "")
+
+
+def _block(rng, size, dims, scale):
+    m = np.floor(rng.standard_normal((size, dims)) * scale)
+    lists = np.argsort(m.T, axis=1, kind="stable").astype(np.uint16)
+    ids, nulls = rng.integers(0, 3 * size, size), rng.random(size) < 0.1
+    return hn.Block(size, dims, ids.tobytes(), nulls.tobytes(), rng.integers(0, 4, size).tobytes(), m.tobytes(), lists.tobytes())
+
+
+@pytest.mark.parametrize("scale", [3, 256, 1e5])
+@pytest.mark.parametrize("same_label", [True, False])
+def test_a_pack_keeps_one_list_a_window_over_all_blocks(scale, same_label):
+    """As single searches find them in each block, merged; with ties, and where floats are too short."""
+    rng = np.random.default_rng(6)
+    blocks = [_block(rng, int(n), 5, scale) for n in (300, 1, 700)]
+    b, ats = blocks[0], np.arange(0, 300, 7)
+    a = np.concatenate((b.m[ats], np.zeros((1, 5))))  # the last anchor scores 0 everywhere
+    ats = np.append(ats, 299)
+    asked = [[] if same_label else [Decimal(int(p)) for p in rng.integers(-2, 9 * scale * scale, 3)] for _ in ats]
+    pack = hn.Pack(0, np.zeros(len(ats)), ats, b.labels[ats], [v.tobytes() for v in a], asked, 4, same_label)
+    for here, x in enumerate(blocks):
+        hn.pack_search(x, here, pack, np.arange(len(ats)))
+    got = {(r["at"], r["window"]): [(i["score"], i["none"], i["id"]) for i in r["found"]] for r in pack.found(0).to_pylist()}
+    want = {}
+    for q, at in enumerate(ats):
+        for w, p in enumerate([None] if same_label else asked[q]):
+            found = []
+            for here, x in enumerate(blocks):
+                allowed = (x.labels == b.labels[at]) == same_label
+                if here == 0:
+                    allowed[at] = False
+                window = hn.Window(x, 4, allowed, *(() if p is None else (30 * int(p), 90 * int(p))))
+                if p is None or p >= 0:
+                    hn.threshold_search(x, a[q], [window])
+                found += window.found()
+            if found:
+                want[int(at), w] = sorted(found)[:4]
+    assert got == want and len(got) > 20
+
+
+def test_a_pack_stops_reading_early():
+    rng = np.random.default_rng(4)
+    m = np.floor(np.abs(rng.standard_normal((4096, 2))) ** 6 * 256)
+    lists = np.argsort(m.T, axis=1, kind="stable").astype(np.uint16)
+    b = hn.Block(4096, 2, np.arange(4096).tobytes(), np.zeros(4096, bool).tobytes(), np.zeros(4096, np.int64).tobytes(), m.tobytes(), lists.tobytes())
+    v = np.array([[256.0, 128.0], [64.0, 256.0]])
+    pack = hn.Pack(0, [1, 1], [0, 1], [0, 0], [x.tobytes() for x in v], [[], []], 5, True)
+    assert hn.pack_search(b, 0, pack, np.arange(2)) < 1024
+
+
+def test_blocks_are_dealt_over_tasks_whatever_the_files(spark):
+    """One file, one task that packs: the searches still have several tasks."""
+    rows = hn.taking_part(spark.createDataFrame([(i, [float(i % 7), 1.0], i % 3) for i in range(20_000)], "vec_id long, embedding array<double>, label int").coalesce(1))
+    tasks = {}
+    real = hn._search
+
+    def seen(blocks, anchors, packs, k, same_label):
+        out = real(blocks, anchors, packs, k, same_label)
+        tasks[same_label] = blocks.count(), out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    hn._search = seen
+    try:
+        hn.mine(rows, F.col("vec_id") % 100 == 0).count()
+    finally:
+        hn._search = real
+    for n, plan in tasks.values():
+        assert n > 8 and "REPARTITION_BY_NUM" in plan
