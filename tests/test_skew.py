@@ -76,3 +76,18 @@ def test_booking_with_a_third_of_all_legs(spark, stored_air, monkeypatch, name,
     want = con.execute(E.oracle_sql()[name].without_prefix()).df()
     ok, why = same(got, want)
     assert ok, f"{name}: {why}"
+
+
+@pytest.mark.parametrize("name", ["account_boarding_drilldown", "account_flight_drilldown", "slice_flight_drilldown"])
+def test_drilldowns_of_a_booking_with_many_passengers(spark, stored_air, name):
+    """One booking holds a tenth of all passengers, and some passengers have none."""
+    frames = {n: getattr(stored_air, n) for n in TABLES}
+    booking = F.when(F.col("passenger_id") % 10 == 1, F.lit(1)).when(F.col("passenger_id") % 77 != 0, F.col("booking_id")).cast("long")
+    frames["passenger"] = frames["passenger"].withColumn("booking_id", booking)
+    con = duckdb.connect()
+    for n, df in frames.items():
+        con.register(n, df.toPandas())
+    got = JOBS[name](Airline.from_frames(spark, **frames)).toPandas()
+    want = con.execute(E.oracle_sql()[name].without_prefix()).df()
+    ok, why = same(got, want)
+    assert ok, f"{name}: {why}"
